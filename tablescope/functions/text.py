@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.functions import fixed_values as fx
 from tablescope.plans.lookup import BROADCAST_ROWS, lookup_join
@@ -157,7 +158,7 @@ def invented_numbers(
     return counts.withColumn("pass", F.col("invention_count") <= fx.MAX_INVENTED_NUMBERS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _first_json_value(texts: pd.Series) -> pd.Series:
     """The first decodable JSON object or array inside each text; null texts are passed over."""
     decoder = json.JSONDecoder()
