@@ -128,7 +128,7 @@ ORDER_COLUMNS = [
     ("o_custkey", "bigint", "numeric"),
     ("o_orderstatus", "string", "categorical"),
     ("o_totalprice", "double", "numeric"),
-    ("o_orderdate", "timestamp", "date"),
+    ("o_orderdate", "timestamp_ntz", "date"),
     ("o_orderpriority", "string", "categorical"),
 ]
 
@@ -217,7 +217,7 @@ def role_row(c: str) -> str:
 
 
 ORACLES["column_roles"] = f"""WITH t AS ({TEXT_ORDERS}), r AS ({union([role_row(c) for c in TEXT_COLUMNS])})
-  SELECT column, cardinality, round(ds, 6) AS date_share, round(ns, 6) AS number_share,
+  SELECT "column", cardinality, round(ds, 6) AS date_share, round(ns, 6) AS number_share,
   CASE WHEN ds > 0.6 THEN 'date' WHEN ns > 0.8 THEN 'numeric' WHEN cardinality >= 0.9 * n THEN 'id'
   WHEN cardinality < 100 THEN 'categorical' END AS role FROM r"""
 ORACLES["impute"] = f"""WITH t AS ({GAPPED}), s AS (SELECT
@@ -326,7 +326,7 @@ def period_rows(source: str, metrics: list[str], date: str) -> str:
             for m in metrics
         ]
     )
-    return f"""SELECT metric, period, round(v, 2) AS value, round(CASE WHEN b = 0 THEN 0 ELSE (v - b) / b * 100 END, 2)
+    return f"""SELECT metric, period, round(v, 4) AS value, round(CASE WHEN b = 0 THEN 0 ELSE (v - b) / b * 100 END, 2)
       AS percent_growth FROM (SELECT *, lag(v) OVER (PARTITION BY metric ORDER BY period) AS b FROM ({sums}))"""
 
 
@@ -391,8 +391,8 @@ ORACLES["first_row"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1"
 
 # ---- charts ---------------------------------------------------------------------------------------------
 
-ORACLES["chart_bar"] = f"SELECT nation AS x, round(sum(revenue), 2) AS y FROM ({SALES}) GROUP BY nation"
-ORACLES["chart_stacked_bar"] = f"""SELECT segment AS x, priority AS color, round(sum(revenue), 2) AS y FROM ({SALES})
+ORACLES["chart_bar"] = f"SELECT nation AS x, round(sum(revenue), 4) AS y FROM ({SALES}) GROUP BY nation"
+ORACLES["chart_stacked_bar"] = f"""SELECT segment AS x, priority AS color, round(sum(revenue), 4) AS y FROM ({SALES})
   GROUP BY ALL"""
 ORACLES["chart_histogram"] = """WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events)
   SELECT bin, round(lo + bin * ((hi - lo) / 20), 4) AS lo, round(CASE WHEN bin = 19 THEN hi ELSE lo + (bin + 1) * ((hi - lo) / 20) END, 4)
@@ -406,7 +406,7 @@ ORACLES["chart_box"] = """WITH q AS (SELECT quantile_cont(value, 0.25) AS a, qua
   count(*) FILTER (value NOT BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a)) AS beyond FROM events, q"""
 ORACLES["chart_treemap"] = f"""WITH g AS (SELECT nation AS x, sum(revenue - 35000) AS y FROM ({SALES}) GROUP BY nation
   HAVING sum(revenue - 35000) > 0)
-  SELECT x, round(y, 2) AS y, round(y / (SELECT sum(y) FROM g) * 100, 2) AS share_pct FROM g"""
+  SELECT x, round(y, 4) AS y, round(y / (SELECT sum(y) FROM g) * 100, 4) AS share_pct FROM g"""
 ORACLES["chart_pareto"] = """WITH g AS (SELECT p_brand AS x, avg(p_retailprice) AS y FROM part GROUP BY p_brand)
   SELECT x, round(y, 4) AS y, round(sum(y) OVER (ORDER BY y DESC, x ROWS UNBOUNDED PRECEDING)
   / sum(y) OVER () * 100, 4) AS cumulative_pct FROM g"""
@@ -416,7 +416,7 @@ ORACLES["chart_scatter_points"] = """SELECT CAST(p_size AS DOUBLE) AS x, p_retai
 ORACLES["chart_scatter_line"] = f"""SELECT segment AS color, round(regr_slope(price, quantity), 4) AS slope,
   round(regr_intercept(price, quantity), 4) AS intercept, round(regr_r2(price, quantity), 4) AS r2,
   CAST(regr_count(price, quantity) AS BIGINT) AS n FROM ({SALES}) GROUP BY segment"""
-ORACLES["chart_line"] = """SELECT o_orderdate AS x, round(avg(o_totalprice), 4) AS y FROM orders GROUP BY o_orderdate"""
+ORACLES["chart_line"] = """SELECT o_orderdate AS x, round(avg(o_totalprice), 7) AS y FROM orders GROUP BY o_orderdate"""
 ORACLES["chart_pivot_cells"] = f"""SELECT segment AS x, priority AS y, round(avg(revenue), 4) AS z FROM ({SALES})
   GROUP BY ALL"""
 ORACLES["chart_pivot_heatmap"] = f"""SELECT segment AS x, round(avg(revenue) FILTER (return_flag = 'A'), 4) AS "A",
@@ -462,7 +462,7 @@ PII = union(
     [pii_row("customer", c) for c in ["c_name", "c_mktsegment"]]
     + [pii_row("documents", c) for c in ["text", "lang", "source"]]
 )
-ORACLES["pii_columns"] = f"""SELECT column, name_match, round(e, 6) AS email_share, round(p, 6) AS phone_share,
+ORACLES["pii_columns"] = f"""SELECT "column", name_match, round(e, 6) AS email_share, round(p, 6) AS phone_share,
   round(i, 6) AS id_share, name_match OR greatest(e, p, i) >= 0.5 AS is_sensitive FROM ({PII})"""
 
 

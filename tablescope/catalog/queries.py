@@ -25,8 +25,10 @@ def query(f):
     return f
 
 
-def _sales_stats(spark: SparkSession, d: str) -> DataFrame:
-    return groups.group_stats(inp.sales(spark, d), inp.SALES_METRICS, inp.SALES_CATEGORIES)
+def _sales_stats(spark: SparkSession, d: str, *measures: str) -> DataFrame:
+    return groups.group_stats(
+        inp.sales(spark, d), inp.SALES_METRICS, inp.SALES_CATEGORIES, measures=list(measures) or None
+    )
 
 
 # ---- category findings ----------------------------------------------------------------------------------
@@ -34,27 +36,27 @@ def _sales_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def concentration(spark, d):
-    return groups.concentration(_sales_stats(spark, d))
+    return groups.concentration(_sales_stats(spark, d, "total"))
 
 
 @query
 def pareto_critical(spark, d):
-    return groups.pareto_critical(groups.concentration(_sales_stats(spark, d)))
+    return groups.pareto_critical(groups.concentration(_sales_stats(spark, d, "total")))
 
 
 @query
 def performers(spark, d):
-    return groups.performers(_sales_stats(spark, d), {"revenue": "higher_is_better", "price": "higher_is_better"})
+    return groups.performers(_sales_stats(spark, d, "mean"), {"revenue": "higher_is_better", "price": "higher_is_better"})
 
 
 @query
 def segments(spark, d):
-    return groups.segments(_sales_stats(spark, d))
+    return groups.segments(_sales_stats(spark, d, "mean"))
 
 
 @query
 def key_growth(spark, d):
-    return groups.key_growth(_sales_stats(spark, d))
+    return groups.key_growth(_sales_stats(spark, d, "dated_mean"))
 
 
 @query
@@ -185,7 +187,7 @@ def distribution(spark, d):
 
 @query
 def period_growth(spark, d):
-    return findings.period_growth(table(spark, d, "orders"), ["o_totalprice"], "o_orderdate", "month")
+    return rounded(findings.period_growth(table(spark, d, "orders"), ["o_totalprice"], "o_orderdate", "month"), 4)
 
 
 @query
@@ -194,7 +196,7 @@ def confidence_caps(spark, d):
     gapped = rows.withColumn("tax", F.when(F.col("quantity") > 20, F.col("tax")))
     caps = findings.confidence_caps(
         ["price", "tax", "revenue"],
-        groups.concentration(groups.group_stats(gapped, ["price", "tax"], ["market", "segment"])),
+        groups.concentration(groups.group_stats(gapped, ["price", "tax"], ["market", "segment"], measures=["total"])),
         profile.null_counts(gapped, ["price", "tax", "revenue"]),
         findings.outliers(gapped, ["price", "tax", "revenue"]),
         ["market"],
@@ -210,7 +212,7 @@ def findings_summary(spark, d):
 
 @query
 def findings_json(spark, d):
-    return to_json_rows({"segments": groups.segments(_sales_stats(spark, d))})
+    return to_json_rows({"segments": groups.segments(_sales_stats(spark, d, "mean"))})
 
 
 # ---- order ----------------------------------------------------------------------------------------------
@@ -237,12 +239,12 @@ def first_row(spark, d):
 
 @query
 def chart_bar(spark, d):
-    return rounded(charts.bar(inp.sales(spark, d), "nation", "revenue"), 2)
+    return rounded(charts.bar(inp.sales(spark, d), "nation", "revenue"), 4)
 
 
 @query
 def chart_stacked_bar(spark, d):
-    return rounded(charts.stacked_bar(inp.sales(spark, d), "segment", "revenue", "priority"), 2)
+    return rounded(charts.stacked_bar(inp.sales(spark, d), "segment", "revenue", "priority"), 4)
 
 
 @query
@@ -258,7 +260,7 @@ def chart_box(spark, d):
 @query
 def chart_treemap(spark, d):
     rows = inp.sales(spark, d).withColumn("margin", F.col("revenue") - 35000)
-    return rounded(charts.treemap(rows, "nation", "margin"), 2)
+    return rounded(charts.treemap(rows, "nation", "margin"), 4)
 
 
 @query
@@ -283,7 +285,7 @@ def chart_scatter_line(spark, d):
 
 @query
 def chart_line(spark, d):
-    return rounded(charts.line(table(spark, d, "orders"), "o_orderdate", "o_totalprice"), 4)
+    return rounded(charts.line(table(spark, d, "orders"), "o_orderdate", "o_totalprice"), 7)
 
 
 @query

@@ -186,7 +186,7 @@ def json_payload(c: Column) -> Column:
     Texts that are clean JSON stay in the JVM; only the rest reaches the Python search. Escaped `\\n` and `\\t`
     inside strings become a line break and a tab. Null when there is no JSON.
     """
-    bare = F.trim(F.regexp_replace(c, r"```(?:json)?\s*", ""))
+    bare = F.btrim(F.regexp_replace(c, r"```(?:json)?\s*", ""), F.lit(" \t\n\r\f\v"))
     whole = F.try_parse_json(bare)
     rest = _first_json_value(F.when(whole.isNull(), bare))
     text = F.when(whole.isNotNull(), bare).otherwise(rest)

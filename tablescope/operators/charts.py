@@ -10,7 +10,7 @@ from tablescope.columns import category_columns, date_column, numeric_columns, r
 from tablescope.functions import fixed_values as fx
 from tablescope.functions.scalars import compact_number, number, parse_date, percent_change, title_label
 from tablescope.operators.findings import correlation_matrix
-from tablescope.operators.order import first_values, halves, hash_sample, running_total
+from tablescope.operators.order import first_half, first_values, hash_sample, running_total
 from tablescope.operators.quantiles import exact_quantiles
 
 MAX_PIVOT_COLUMNS = 1000
@@ -225,7 +225,7 @@ def kpis(
     """`label, value, value_str, direction, delta, is_good` of the first `limit` numeric metrics.
 
     delta compares the mean of the later half of the rows with the earlier half, in date order with unreadable
-    dates last; `keys` make the order unique.
+    dates last; `keys` make the order unique. No rows are sorted beyond those at the cut between the halves.
     """
     metrics = [m for m in metrics if m in numeric_columns(df)][:limit]
     if not metrics:
@@ -237,13 +237,12 @@ def kpis(
         *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)],
         *[number(df, m).alias(f"_m{i}") for i, m in enumerate(metrics)],
     )
-    order = [F.asc_nulls_last("_when")] if date else []
-    split = halves(narrow, order + [F.col(f"_k{i}") for i in range(len(keys))])
-    early = F.col("first_half")
+    early = first_half(narrow, [f"_k{i}" for i in range(len(keys))], "_when" if date else None)
+    split = narrow.withColumn("_early", early)
     means = split.agg(
         *[F.avg(f"_m{i}").alias(f"v{i}") for i in range(len(metrics))],
-        *[F.avg(F.when(early, F.col(f"_m{i}"))).alias(f"a{i}") for i in range(len(metrics))],
-        *[F.avg(F.when(~early, F.col(f"_m{i}"))).alias(f"b{i}") for i in range(len(metrics))],
+        *[F.avg(F.when(F.col("_early"), F.col(f"_m{i}"))).alias(f"a{i}") for i in range(len(metrics))],
+        *[F.avg(F.when(~F.col("_early"), F.col(f"_m{i}"))).alias(f"b{i}") for i in range(len(metrics))],
     )
     rows = []
     for i, m in enumerate(metrics):

@@ -398,7 +398,7 @@ def period_growth(
     return long.withColumn("_earlier", earlier).select(
         "metric",
         "period",
-        F.round("value", 2).alias("value"),
+        "value",
         F.round(percent_change(F.col("value"), F.col("_earlier")), 2).alias("percent_growth"),
     )
 

@@ -10,13 +10,23 @@ from tablescope.functions import fixed_values as fx
 from tablescope.functions.scalars import number, parse_date, percent_change
 
 
+MEASURES = {
+    "total": "coalesce(sum({m}), 0.0D)",
+    "mean": "avg({m})",
+    "sd": "stddev({m})",
+    "n": "count({m})",
+    "dated_mean": "avg(CASE WHEN _dated THEN {m} END)",
+}
+
+
 def group_stats(
     df: DataFrame,
     metrics: list[str] | None = None,
     categories: list[str] | None = None,
     date: str | None = None,
+    measures: list[str] | None = None,
 ) -> DataFrame:
-    """`category, key, metric, total, mean, sd, n, dated_mean, dated_rows` for every category value.
+    """`category, key, metric, total, mean, sd, n, dated_mean, dated_rows` (or the chosen measures).
 
     The categories are unpivoted to (category, key), so one map-side combine and one shuffle of group rows serve
     all of them, and a value that holds a third of the table is already reduced to one row per task. Null keys
@@ -24,42 +34,31 @@ def group_stats(
     """
     metrics = require_columns(df, metrics or candidate_metrics(df), numeric=True)
     categories = require_columns(df, categories or category_columns(df))
+    measures = measures or list(MEASURES)
     date = date or date_column(df)
-    dated = parse_date(df, date).isNotNull() if date else F.lit(True)
+    dated = parse_date(df, date).isNotNull() if date and "dated_mean" in measures else F.lit(True)
     narrow = df.select(
         dated.alias("_dated"),
         *[number(df, m).alias(f"_m{i}") for i, m in enumerate(metrics)],
         *[F.col(f"`{c}`").cast("string").alias(c) for c in categories],
     )
-    long = narrow.unpivot(
-        ["_dated", *[f"_m{i}" for i in range(len(metrics))]], categories, "category", "key"
-    ).where(F.col("key").isNotNull())
-    aggs: list[Column] = [F.count_if("_dated").alias("dated_rows")]
-    for i in range(len(metrics)):
-        m = F.col(f"_m{i}")
-        aggs += [
-            F.coalesce(F.sum(m), F.lit(0.0)).alias(f"total{i}"),
-            F.avg(m).alias(f"mean{i}"),
-            F.stddev(m).alias(f"sd{i}"),
-            F.count(m).alias(f"n{i}"),
-            F.avg(F.when(F.col("_dated"), m)).alias(f"dated{i}"),
-        ]
-    wide = long.groupBy("category", "key").agg(*aggs)
-    per_metric = F.array(
+    ids = ["_dated", *[f"_m{i}" for i in range(len(metrics))]]
+    long = narrow.unpivot(ids, categories, "category", "key").where(F.col("key").isNotNull())
+    per_metric = [
+        "struct({}) AS g{}".format(", ".join(f"{MEASURES[k].format(m=f'_m{i}')} AS {k}" for k in measures), i)
+        for i in range(len(metrics))
+    ]
+    wide = long.groupBy("category", "key").agg(
+        F.count_if("_dated").alias("dated_rows"), *[F.expr(e) for e in per_metric]
+    )
+    rows = F.array(
         *[
-            F.struct(
-                F.lit(m).alias("metric"),
-                F.col(f"total{i}").alias("total"),
-                F.col(f"mean{i}").alias("mean"),
-                F.col(f"sd{i}").alias("sd"),
-                F.col(f"n{i}").alias("n"),
-                F.col(f"dated{i}").alias("dated_mean"),
-            )
+            F.struct(F.lit(m).alias("metric"), *[F.col(f"g{i}.{k}").alias(k) for k in measures])
             for i, m in enumerate(metrics)
         ]
     )
-    return wide.select("category", "key", "dated_rows", F.inline(per_metric)).select(
-        "category", "key", "metric", "total", "mean", "sd", "n", "dated_mean", "dated_rows"
+    return wide.select("category", "key", "dated_rows", F.inline(rows)).select(
+        "category", "key", "metric", *measures, "dated_rows"
     )
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablescope.operators.quantiles import Bracket, find_ranks, sketch
 from tablescope.plans.scratch import write_scratch
 
 POSITION_BITS = 33  # fixed by monotonically_increasing_id
@@ -65,12 +66,41 @@ def running_total(df: DataFrame, value: str, order: list[Column]) -> DataFrame:
     )
 
 
-def halves(df: DataFrame, order: list[Column]) -> DataFrame:
-    """`first_half` is true for the first floor(n/2) rows of the order."""
-    indexed = row_index(df, order)
-    return indexed.withColumn("first_half", F.col("row_index") < F.floor(F.col("row_count") / 2)).drop(
-        "row_index", "row_count"
-    )
+def first_half(df: DataFrame, keys: list[str], when: str | None = None) -> Column:
+    """Condition that is true for exactly the first floor(n/2) rows in order of (`when` nulls last, unique keys).
+
+    Nothing is sorted but the rows that share the date at the cut: the date there is found as an exact rank, and
+    only among its rows (a third of the table at worst) the keys are range sorted to find the last one to take.
+    """
+    if when is None:
+        return _keys_before(df, df.count() // 2, keys)
+    at = F.unix_micros(F.col(when).cast("timestamp"))
+    stamps = df.select(at.cast("double").alias("at"))
+    n, dated, least, greatest, ends = stamps.agg(
+        F.count(F.lit(1)), F.count("at"), F.min("at"), F.max("at"), sketch(F.col("at"), [0.5])
+    ).first()
+    rank = n // 2
+    if rank == 0:
+        return F.lit(False)
+    if rank < dated:
+        low, high = ends if n == dated else (least, greatest)
+        cut = find_ranks(stamps, [Bracket("at", rank, low, high, least, greatest)])[0]
+        earlier, ties, taken = at < int(cut.lower), at == int(cut.lower), rank - cut.before
+    else:
+        earlier, ties, taken = F.col(when).isNotNull(), F.col(when).isNull(), rank - dated
+    earlier = F.coalesce(earlier, F.lit(False))
+    if taken == 0:
+        return earlier
+    return earlier | (F.coalesce(ties, F.lit(False)) & _keys_before(df.where(ties), taken, keys))
+
+
+def _keys_before(df: DataFrame, rank: int, keys: list[str]) -> Column:
+    indexed = row_index(df.select(*keys), [F.col(k) for k in keys])
+    cut = indexed.where(F.col("row_index") == rank).select(*keys).first()
+    if cut is None:
+        return F.lit(True)
+    bound = F.struct(*[F.lit(cut[k]).cast(df.schema[k].dataType).alias(k) for k in keys])
+    return F.struct(*keys) < bound
 
 
 def row_hash(keys: list[str]) -> Column:

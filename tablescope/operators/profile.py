@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tablescope.columns import date_column, numeric_columns, string_columns
 from tablescope.functions import fixed_values as fx
-from tablescope.functions.scalars import kurtosis, number, parse_number, skewness
+from tablescope.functions.scalars import kurtosis, number, skewness
 from tablescope.operators.quantiles import exact_quantiles
 from tablescope.plans.lookup import BROADCAST_ROWS
 
@@ -115,18 +115,16 @@ def table_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def _share(hit: Column) -> Column:
-    return F.avg(F.coalesce(hit, F.lit(False)).cast("double"))
+def _share(hit: str) -> str:
+    return f"coalesce(try_divide(sum(CASE WHEN {hit} THEN n END), sum(n)), 0.0D)"
 
 
-def date_share(c: Column) -> Column:
-    """Share of rows that parse with the best single date format. The shape test keeps long texts off the parser."""
-    return F.greatest(
-        *[
-            _share(F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt)).isNotNull()))
-            for fmt, shape in fx.DATE_SHAPES
-        ]
-    )
+# Over values `v` that stand for `n` rows each. The shape test keeps other texts away from the parsers. Written as
+# SQL text because one column would otherwise take hundreds of small expression calls to build.
+DATE_SHARE = "greatest({})".format(
+    ", ".join(_share(f'v RLIKE r"{shape}" AND try_to_timestamp(v, "{fmt}") IS NOT NULL') for fmt, shape in fx.DATE_SHAPES)
+)
+NUMBER_SHARE = _share(f'v RLIKE r"{fx.NUMBER_SHAPE}"')
 
 
 def _role(kind: T.DataType) -> Column:
@@ -144,48 +142,118 @@ def _role(kind: T.DataType) -> Column:
     )
 
 
-def _parse_shares(df: DataFrame) -> DataFrame:
-    """`column, rows, date_share, number_share` for every column; shares are null for typed columns."""
-    texts = set(string_columns(df))
+def _text_facts(df: DataFrame, columns: list[str], approx_distinct: bool = False) -> list[DataFrame]:
+    """`column, rows, filled, cardinality, date_share, number_share` per string column.
+
+    Each column is first grouped to its distinct values, which the exact distinct count needs anyway, so the shape
+    and parse tests run once per distinct value. With `approx_distinct` nothing is shuffled and they run per row.
+    """
+    parts = []
+    for c in columns:
+        v = F.col("v")
+        if approx_distinct:
+            values = df.select(F.col(f"`{c}`").alias("v"), F.lit(1).alias("n"))
+            distinct = F.approx_count_distinct(v, 0.01)
+        else:
+            values = df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            distinct = F.count(v)
+        parts.append(
+            values.agg(
+                F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                F.coalesce(F.sum(F.when(v.isNotNull(), F.col("n"))), F.lit(0)).alias("filled"),
+                distinct.alias("cardinality"),
+                F.expr(DATE_SHARE).alias("date_share"),
+                F.expr(NUMBER_SHARE).alias("number_share"),
+            ).select(F.lit(c).alias("column"), "*")
+        )
+    return parts
+
+
+def _typed_facts(df: DataFrame, columns: list[str]) -> list[DataFrame]:
+    """`column, rows, filled` and the moments, for the columns that are not strings, in one pass per 25 columns."""
     parts = []
-    for names in _chunks(df.columns, COLUMNS_PER_JOB):
+    for names in _chunks(columns, COLUMNS_PER_JOB):
+        numeric = {c: isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType)) for c in names}
+        none = F.lit(None).cast("double")
+        values = df.select(
+            *[(number(df, c) if numeric[c] else _filled(df, c)).alias(f"v{i}") for i, c in enumerate(names)]
+        )
         aggs = [F.count(F.lit(1)).alias("rows")]
         for i, c in enumerate(names):
-            if c in texts:
-                col = F.col(f"`{c}`")
-                aggs.append(date_share(col).alias(f"d{i}"))
-                aggs.append(_share(parse_number(col).isNotNull()).alias(f"p{i}"))
-        none = F.lit(None).cast("double")
+            v = F.col(f"v{i}")
+            aggs.append(F.count(v).alias(f"n{i}"))
+            if numeric[c]:
+                aggs.append(F.struct(*_moments(v)).alias(f"m{i}"))
         parts.append(
             _one_row_per_column(
-                df.agg(*aggs),
+                values.agg(*aggs),
                 [
                     F.struct(
                         F.lit(c).alias("column"),
                         F.col("rows"),
-                        (F.col(f"d{i}") if c in texts else none).alias("date_share"),
-                        (F.col(f"p{i}") if c in texts else none).alias("number_share"),
+                        F.col(f"n{i}").alias("filled"),
+                        *[(F.col(f"m{i}.{m}") if numeric[c] else none).alias(m) for m in MOMENTS],
                     )
                     for i, c in enumerate(names)
                 ],
             )
         )
-    return _union(parts)
+    return parts
+
+
+MOMENTS = ["mean", "std", "min", "max", "skewness", "kurtosis"]
+
+
+def _moments(v: Column) -> list[Column]:
+    return [
+        F.avg(v).alias("mean"),
+        F.stddev(v).alias("std"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        F.round(skewness(v), 3).alias("skewness"),
+        F.round(kurtosis(v), 3).alias("kurtosis"),
+    ]
+
+
+def _split_columns(df: DataFrame) -> tuple[list[str], list[str]]:
+    texts = string_columns(df)
+    return texts, [c for c in df.columns if c not in texts]
 
 
 def column_roles(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
-    """`column, cardinality, date_share, number_share, role`."""
-    roles = F.lit(None).cast("string")
-    for f in df.schema:
-        roles = F.when(F.col("column") == f.name, _role(f.dataType)).otherwise(roles)
-    joined = distinct_counts(df, approx=approx_distinct).join(_parse_shares(df), "column")
-    return joined.select(
-        "column",
-        "cardinality",
-        F.round("date_share", 6).alias("date_share"),
-        F.round("number_share", 6).alias("number_share"),
-        roles.alias("role"),
-    )
+    """`column, cardinality, date_share, number_share, role`; the shares are null for typed columns."""
+    texts, typed = _split_columns(df)
+    parts = [
+        facts.select(
+            "column",
+            "cardinality",
+            F.round("date_share", 6).alias("date_share"),
+            F.round("number_share", 6).alias("number_share"),
+            _role(T.StringType()).alias("role"),
+        )
+        for facts in _text_facts(df, texts, approx_distinct)
+    ]
+    if typed:
+        none = F.lit(None).cast("double")
+        counts = distinct_counts(df, typed, approx_distinct)
+        parts.append(
+            counts.select(
+                "column",
+                "cardinality",
+                none.alias("date_share"),
+                none.alias("number_share"),
+                _by_column({c: _role(df.schema[c].dataType) for c in typed}).alias("role"),
+            )
+        )
+    return _union(parts)
+
+
+def _by_column(choices: dict[str, Column]) -> Column:
+    """The expression that belongs to the row's `column`; the choices come from the schema."""
+    out = F.lit(None)
+    for name, value in choices.items():
+        out = F.when(F.col("column") == name, value).otherwise(out)
+    return out
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
@@ -193,48 +261,31 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool
     columns = columns or [
         f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.BooleanType))
     ]
-    quartiles = exact_quantiles(df, columns, QUARTILES) if exact else {}
-    parts = []
-    for names in _chunks(columns, COLUMNS_PER_JOB):
-        values = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(names)])
-        aggs = []
-        for i in range(len(names)):
-            v = F.col(f"v{i}")
-            aggs += [
-                F.count(v).alias(f"n{i}"),
-                F.avg(v).alias(f"mean{i}"),
-                F.stddev(v).alias(f"std{i}"),
-                F.min(v).alias(f"min{i}"),
-                F.max(v).alias(f"max{i}"),
-                F.round(skewness(v), 3).alias(f"skew{i}"),
-                F.round(kurtosis(v), 3).alias(f"kurt{i}"),
-            ]
-            if not exact:
-                aggs.append(F.percentile_approx(v, QUARTILES).alias(f"q{i}"))
-
-        def quartile(i: int, name: str, j: int) -> Column:
-            return F.lit(quartiles[name][j]).cast("double") if exact else F.get(F.col(f"q{i}"), F.lit(j))
+    facts = _union(_typed_facts(df, columns))
+    return facts.select(
+        "column",
+        F.col("filled").alias("count"),
+        "mean",
+        "std",
+        "min",
+        *_quartiles(df, columns, exact),
+        "max",
+        "skewness",
+        "kurtosis",
+    )
 
-        parts.append(
-            _one_row_per_column(
-                values.agg(*aggs),
-                [
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.col(f"n{i}").alias("count"),
-                        F.col(f"mean{i}").alias("mean"),
-                        F.col(f"std{i}").alias("std"),
-                        F.col(f"min{i}").alias("min"),
-                        *[quartile(i, c, j).alias(q) for j, q in enumerate(["q25", "q50", "q75"])],
-                        F.col(f"max{i}").alias("max"),
-                        F.col(f"skew{i}").alias("skewness"),
-                        F.col(f"kurt{i}").alias("kurtosis"),
-                    )
-                    for i, c in enumerate(names)
-                ],
-            )
-        )
-    return _union(parts)
+
+def _quartiles(df: DataFrame, columns: list[str], exact: bool) -> list[Column]:
+    """The three quartiles as literals by column; exact ones by rank search, otherwise from the sketch."""
+    if exact:
+        found = exact_quantiles(df, columns, QUARTILES)
+    else:
+        row = df.agg(*[F.percentile_approx(number(df, c), QUARTILES) for c in columns]).first()
+        found = {c: row[i] or [None] * len(QUARTILES) for i, c in enumerate(columns)}
+    return [
+        _by_column({c: F.lit(found[c][j]).cast("double") for c in columns}).cast("double").alias(q)
+        for j, q in enumerate(["q25", "q50", "q75"])
+    ]
 
 
 def text_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -260,17 +311,29 @@ def describe(df: DataFrame) -> DataFrame:
 
 def column_profile(df: DataFrame, exact: bool = True, approx_distinct: bool = False) -> DataFrame:
     """One row per column: type, missing values, cardinality, moments, quartiles and role."""
-    kinds = F.lit(None).cast("string")
-    for name, kind in df.dtypes:
-        kinds = F.when(F.col("column") == name, F.lit(kind)).otherwise(kinds)
-    profile = null_counts(df).join(column_roles(df, approx_distinct), "column")
+    texts, typed = _split_columns(df)
+    numeric = [c for c in typed if isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
+    none = F.lit(None).cast("double")
     measures = ["mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis"]
-    if any(isinstance(f.dataType, (T.NumericType, T.BooleanType)) for f in df.schema):
-        profile = profile.join(numeric_summary(df, exact=exact), "column", "left")
-    else:
-        profile = profile.select("*", *[F.lit(None).cast("double").alias(m) for m in measures])
-    return profile.select(
-        "column", kinds.alias("dtype"), "null_count", "null_percent", "cardinality", *measures, "role"
+    common = ["column", "rows", "filled", "cardinality"]
+    parts = [
+        facts.select(*common, *[none.alias(m) for m in measures], _role(T.StringType()).alias("role"))
+        for facts in _text_facts(df, texts, approx_distinct)
+    ]
+    if typed:
+        facts = _union(_typed_facts(df, typed)).join(distinct_counts(df, typed, approx_distinct), "column")
+        quartiles = _quartiles(df, numeric, exact) if numeric else [none.alias(q) for q in ("q25", "q50", "q75")]
+        role = _by_column({c: _role(df.schema[c].dataType) for c in typed}).alias("role")
+        parts.append(facts.select(*common, *MOMENTS, *quartiles, role).select(*common, *measures, "role"))
+    missing = F.col("rows") - F.col("filled")
+    return _union(parts).select(
+        "column",
+        _by_column({n: F.lit(k) for n, k in df.dtypes}).alias("dtype"),
+        missing.alias("null_count"),
+        F.coalesce(F.round(F.try_divide(missing, F.col("rows")) * 100, 2), F.lit(0.0)).alias("null_percent"),
+        "cardinality",
+        *measures,
+        "role",
     )
 
 

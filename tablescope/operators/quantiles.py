@@ -10,42 +10,46 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.scalars import number
 
 SKETCH_ACCURACY = 10_000
 BRACKET_ROWS = 500_000
-MAX_ROUNDS = 4
+MAX_ROUNDS = 5
 
 
 @dataclass
 class Bracket:
+    """A value range that should hold one rank (0-based, may lie between two rows) of a double column."""
+
     column: str
-    prob: float
+    rank: float
     low: float
     high: float
-    rank: float = 0.0
+    least: float
+    greatest: float
     below: int = 0
     inside: int = 0
 
-    @property
-    def lower_rank(self) -> int:
-        return math.floor(self.rank)
+    def holds_rank(self) -> bool:
+        return self.below <= math.floor(self.rank) and math.ceil(self.rank) < self.below + self.inside
 
-    @property
-    def upper_rank(self) -> int:
-        return math.ceil(self.rank)
+    def contains(self) -> Column:
+        return F.col(f"`{self.column}`").between(self.low, self.high)
 
-    def holds_rank(self) -> bool:
-        return self.below <= self.lower_rank and self.upper_rank < self.below + self.inside
 
-    def small_enough(self, limit: int) -> bool:
-        return self.low == self.high or self.inside <= limit
+@dataclass
+class Found:
+    """The rows next to a rank: their values, and how many rows hold a smaller value than the lower one."""
 
+    lower: float
+    upper: float
+    before: int
 
-def _sketch(c, probs: list[float]):
+
+def sketch(c: Column, probs: list[float]) -> Column:
     """Bracket ends around each probability, two sketch errors to each side."""
     slack = 2.0 / SKETCH_ACCURACY
     ends = [max(0.0, min(1.0, p + d)) for p in probs for d in (-slack, slack)]
@@ -59,79 +63,84 @@ def exact_quantiles(
     if not columns:
         return {}
     values = df.select(*[number(df, c).alias(c) for c in columns])
-    first = values.agg(
-        *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.min(F.col(f"`{c}`")).alias(f"l{i}") for i, c in enumerate(columns)],
-        *[F.max(F.col(f"`{c}`")).alias(f"h{i}") for i, c in enumerate(columns)],
-        *[_sketch(F.col(f"`{c}`"), probs).alias(f"s{i}") for i, c in enumerate(columns)],
-    ).first()
-    sizes = {c: first[f"n{i}"] for i, c in enumerate(columns)}
-    limits = {c: (first[f"l{i}"], first[f"h{i}"]) for i, c in enumerate(columns)}
-    brackets = []
+    aggs = []
+    for i, c in enumerate(columns):
+        v = F.col(f"`{c}`")
+        aggs.append(F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).alias(f"e{i}"))
+        aggs.append(sketch(v, probs).alias(f"s{i}"))
+    first = values.agg(*aggs).first()
+    places, brackets = [], []
     for i, c in enumerate(columns):
-        if sizes[c]:
-            for j, p in enumerate(probs):
-                low, high = first[f"s{i}"][2 * j], first[f"s{i}"][2 * j + 1]
-                brackets.append(Bracket(c, p, low, high, rank=(sizes[c] - 1) * p))
-    _narrow(values, brackets, limits, bracket_rows)
-    found = _read_ranks(values, brackets)
-    return {c: [found.get((c, p)) for p in probs] for c in columns}
+        n, lo, hi = first[f"e{i}"]
+        for j, p in enumerate(probs if n else []):
+            low, high = first[f"s{i}"][2 * j : 2 * j + 2]
+            places.append((c, j))
+            brackets.append(Bracket(c, (n - 1) * p, low, high, lo, hi))
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    for (c, j), b, found in zip(places, brackets, find_ranks(values, brackets, bracket_rows)):
+        out[c][j] = found.lower + (found.upper - found.lower) * (b.rank - math.floor(b.rank))
+    return out
+
+
+def find_ranks(values: DataFrame, brackets: list[Bracket], bracket_rows: int = BRACKET_ROWS) -> list[Found]:
+    """Exact rows next to the rank of each bracket."""
+    if not brackets:
+        return []
+    _narrow(values, brackets, bracket_rows)
+    return _read(values, brackets)
+
 
+def _narrow(values: DataFrame, brackets: list[Bracket], bracket_rows: int) -> None:
+    """Count the brackets; widen those that miss their rank, sketch again inside those that hold too many rows.
 
-def _narrow(values: DataFrame, brackets: list[Bracket], limits: dict, bracket_rows: int) -> None:
-    """Count the brackets; widen those that miss their rank, sketch again inside those that hold too many rows."""
+    Each round divides the rows inside a bracket by about 2500, down to the rows of a few heavy values, which
+    grouping collapses.
+    """
     todo = list(brackets)
-    for round_no in range(MAX_ROUNDS):
-        if not todo:
-            return
-        counts = values.agg(
-            *[F.count_if(F.col(f"`{b.column}`") < b.low).alias(f"b{i}") for i, b in enumerate(todo)],
-            *[
-                F.count_if(F.col(f"`{b.column}`").between(b.low, b.high)).alias(f"i{i}")
-                for i, b in enumerate(todo)
-            ],
-        ).first()
-        for i, b in enumerate(todo):
-            b.below, b.inside = counts[f"b{i}"], counts[f"i{i}"]
+    for _ in range(MAX_ROUNDS):
+        _count(values, todo)
         missed = [b for b in todo if not b.holds_rank()]
-        large = [b for b in todo if b.holds_rank() and not b.small_enough(bracket_rows)]
         for b in missed:
-            b.low, b.high = limits[b.column]
-        if large and round_no < MAX_ROUNDS - 1:
-            inner = values.agg(
-                *[
-                    _sketch(
-                        F.when(F.col(f"`{b.column}`").between(b.low, b.high), F.col(f"`{b.column}`")),
-                        [(b.rank - b.below) / max(b.inside - 1, 1)],
-                    ).alias(f"s{i}")
-                    for i, b in enumerate(large)
-                ]
-            ).first()
-            for i, b in enumerate(large):
-                low, high = inner[f"s{i}"]
-                if (low, high) == (b.low, b.high):
-                    large[i] = None  # only a few heavy values are left, and grouping collapses them
-                else:
-                    b.low, b.high = low, high
-        todo = missed + [b for b in large if b is not None]
-    if todo:  # the last change was not counted yet
-        counts = values.agg(
-            *[F.count_if(F.col(f"`{b.column}`") < b.low).alias(f"b{i}") for i, b in enumerate(todo)]
-        ).first()
-        for i, b in enumerate(todo):
-            b.below = counts[f"b{i}"]
-
-
-def _read_ranks(values: DataFrame, brackets: list[Bracket]) -> dict[tuple[str, float], float]:
-    """Group the values inside each bracket and read the two neighbours of each rank."""
+            b.low, b.high = b.least, b.greatest
+        large = [b for b in todo if b not in missed and b.inside > bracket_rows and b.low < b.high]
+        shrunk = _sketch_inside(values, large)
+        todo = missed + shrunk
+        if not todo:
+            return
+    _count(values, todo)
+
+
+def _count(values: DataFrame, brackets: list[Bracket]) -> None:
+    counts = values.agg(
+        *[F.count_if(F.col(f"`{b.column}`") < b.low) for b in brackets], *[F.count_if(b.contains()) for b in brackets]
+    ).first()
+    for i, b in enumerate(brackets):
+        b.below, b.inside = counts[i], counts[len(brackets) + i]
+
+
+def _sketch_inside(values: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
+    """Tighten the brackets and return those that changed."""
     if not brackets:
-        return {}
+        return []
+    ends = values.agg(
+        *[
+            sketch(F.when(b.contains(), F.col(f"`{b.column}`")), [(b.rank - b.below) / max(b.inside - 1, 1)])
+            for b in brackets
+        ]
+    ).first()
+    changed = []
+    for b, (low, high) in zip(brackets, ends):
+        if (low, high) != (b.low, b.high):
+            b.low, b.high = low, high
+            changed.append(b)
+    return changed
+
+
+def _read(values: DataFrame, brackets: list[Bracket]) -> list[Found]:
+    """Group the values inside each bracket (map-side first) and read the rows on both sides of each rank."""
     tagged = F.array(
         *[
-            F.when(
-                F.col(f"`{b.column}`").between(b.low, b.high),
-                F.struct(F.lit(i).alias("target"), F.col(f"`{b.column}`").alias("value")),
-            )
+            F.when(b.contains(), F.struct(F.lit(i).alias("target"), F.col(f"`{b.column}`").alias("value")))
             for i, b in enumerate(brackets)
         ]
     )
@@ -139,21 +148,22 @@ def _read_ranks(values: DataFrame, brackets: list[Bracket]) -> dict[tuple[str, f
     counted = inside.groupBy("target", "value").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("target").orderBy("value")
     ranked = counted.withColumn("seen", F.sum("n").over(upto))
-
-    def at(rank):
-        wanted = F.lit(None).cast("bigint")
-        for i, b in enumerate(brackets):
-            wanted = F.when(F.col("target") == i, F.lit(rank(b) - b.below)).otherwise(wanted)
-        return F.min(F.when(F.col("seen") > wanted, F.col("value")))
-
+    lower = _by_target([math.floor(b.rank) - b.below for b in brackets])
+    upper = _by_target([math.ceil(b.rank) - b.below for b in brackets])
     rows = (
         ranked.groupBy("target")
-        .agg(at(lambda b: b.lower_rank).alias("lower"), at(lambda b: b.upper_rank).alias("upper"))
+        .agg(
+            F.min(F.when(F.col("seen") > lower, F.struct("value", (F.col("seen") - F.col("n")).alias("before")))).alias("at"),
+            F.min(F.when(F.col("seen") > upper, F.col("value"))).alias("upper"),
+        )
         .collect()
     )
-    found = {}
-    for r in rows:
-        b = brackets[r["target"]]
-        share = b.rank - b.lower_rank
-        found[(b.column, b.prob)] = r["lower"] + (r["upper"] - r["lower"]) * share
-    return found
+    found = {r["target"]: r for r in rows}
+    return [
+        Found(found[i]["at"]["value"], found[i]["upper"], found[i]["at"]["before"] + b.below)
+        for i, b in enumerate(brackets)
+    ]
+
+
+def _by_target(numbers: list[int]) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in numbers]).cast("array<bigint>"), F.col("target") + 1)

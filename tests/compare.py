@@ -9,7 +9,7 @@ TABLES = (
 ).split()
 TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
-    "timestamp": "TIMESTAMP", "binary": "BLOB",
+    "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "binary": "BLOB",
 }
 
 
