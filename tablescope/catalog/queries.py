@@ -206,7 +206,7 @@ def confidence_caps(spark, d):
 
 @query
 def findings_summary(spark, d):
-    found = analyse(inp.sales(spark, d), inp.SALES_KEYS, inp.SALES_METRICS, inp.SALES_CATEGORIES)
+    found = analyse(inp.sales(spark, d), inp.SALES_KEYS, inp.SALES_METRICS, inp.SALES_CATEGORIES, store=True)
     return rounded(summary(found), 4)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
@@ -14,6 +15,7 @@ from tablescope.functions.scalars import kurtosis, number, parse_date, parse_dat
 from tablescope.operators.order import hash_limit, row_hash, sorted_ranges
 
 PAIRS_PER_JOB = 60
+METRICS_PER_JOB = 25
 
 
 def _metrics(df: DataFrame, metrics: list[str] | None) -> list[str]:
@@ -25,39 +27,72 @@ def _values(df: DataFrame, metrics: list[str], *others: Column) -> DataFrame:
     return df.select(*others, *[number(df, m).alias(f"_m{i}") for i, m in enumerate(metrics)])
 
 
-def outliers(df: DataFrame, metrics: list[str] | None = None, threshold: float = fx.OUTLIER_Z) -> DataFrame:
+@dataclass
+class MetricStats:
+    """One metric over the whole table; sd is the population deviation."""
+
+    rows: int
+    n: int
+    mean: float | None
+    sd: float | None
+    low: float | None
+    high: float | None
+    skew: float | None
+    kurt: float | None
+
+    @property
+    def varies(self) -> bool:
+        return self.n > 0 and self.low < self.high
+
+    @property
+    def complete(self) -> bool:
+        return self.n == self.rows
+
+
+def metric_stats(df: DataFrame, metrics: list[str] | None = None) -> dict[str, MetricStats]:
+    """One pass per 25 metrics without a shuffle; pass the result to the findings below to save their own pass."""
+    metrics = _metrics(df, metrics)
+    out = {}
+    for at in range(0, len(metrics), METRICS_PER_JOB):
+        names = metrics[at : at + METRICS_PER_JOB]
+        aggs = []
+        for i in range(len(names)):
+            v = F.col(f"_m{i}")
+            parts = [F.count(v), F.avg(v), F.stddev_pop(v), F.min(v), F.max(v), skewness(v), kurtosis(v)]
+            aggs.append(F.struct(*[p.alias(f"p{j}") for j, p in enumerate(parts)]).alias(f"s{i}"))
+        row = _values(df, names).agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
+        out.update({m: MetricStats(row["rows"], *row[f"s{i}"]) for i, m in enumerate(names)})
+    return out
+
+
+def outliers(
+    df: DataFrame,
+    metrics: list[str] | None = None,
+    threshold: float = fx.OUTLIER_Z,
+    stats: dict[str, MetricStats] | None = None,
+) -> DataFrame:
     """`column, counts, max_zscore` of metrics that have values with |z| > threshold (population deviation)."""
     metrics = _metrics(df, metrics)
-    values = _values(df, metrics)
-    stats = values.agg(
-        *[F.avg(f"_m{i}").alias(f"a{i}") for i in range(len(metrics))],
-        *[F.stddev_pop(f"_m{i}").alias(f"s{i}") for i in range(len(metrics))],
-    ).first()
-    live = [i for i in range(len(metrics)) if stats[f"s{i}"]]
-    if not live:
+    stats = stats or metric_stats(df, metrics)
+    metrics = [m for m in metrics if stats[m].varies]
+    if not metrics:
         return df.sparkSession.createDataFrame([], "column string, counts bigint, max_zscore double")
 
     def z(i: int) -> Column:
-        return F.abs((F.col(f"_m{i}") - F.lit(stats[f"a{i}"])) / F.lit(stats[f"s{i}"]))
+        s = stats[metrics[i]]
+        return F.abs((F.col(f"_m{i}") - F.lit(s.mean)) / F.lit(s.sd))
 
-    found = values.agg(
-        *[F.count_if(z(i) > threshold).alias(f"c{i}") for i in live],
-        *[F.round(F.max(z(i)), 3).alias(f"z{i}") for i in live],
+    found = _values(df, metrics).agg(
+        *[
+            F.struct(
+                F.lit(m).alias("column"),
+                F.count_if(z(i) > threshold).alias("counts"),
+                F.round(F.max(z(i)), 3).alias("max_zscore"),
+            ).alias(f"f{i}")
+            for i, m in enumerate(metrics)
+        ]
     )
-    return found.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(metrics[i]).alias("column"),
-                        F.col(f"c{i}").alias("counts"),
-                        F.col(f"z{i}").alias("max_zscore"),
-                    )
-                    for i in live
-                ]
-            )
-        )
-    ).where("counts > 0")
+    return found.select(F.inline(F.array(*[f"f{i}" for i in range(len(metrics))]))).where("counts > 0")
 
 
 def z_scores(df: DataFrame, metric: str) -> DataFrame:
@@ -202,51 +237,38 @@ def _pooled_line(ranges: DataFrame) -> DataFrame:
     )
 
 
-def _pair_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """`i, j, corr` for i < j over rows where both are present; null when a side is constant."""
+def _pair_values(df: DataFrame, columns: list[str], stats: dict[str, MetricStats]) -> DataFrame:
+    """`col1, col2, corr` over rows where both are present; null when a side is constant."""
     values = _values(df, columns)
-    seen = values.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(f"_m{i}").alias(f"n{i}") for i in range(len(columns))],
-        *[(F.min(f"_m{i}") < F.max(f"_m{i}")).alias(f"varies{i}") for i in range(len(columns))],
-    ).first()
-    whole = [seen[f"n{i}"] == seen["rows"] and bool(seen[f"varies{i}"]) for i in range(len(columns))]
 
     def pair(i: int, j: int) -> Column:
         a, b = F.col(f"_m{i}"), F.col(f"_m{j}")
-        if whole[i] and whole[j]:
-            return F.corr(a, b)
-        if not seen[f"varies{i}"] or not seen[f"varies{j}"]:
+        first, second = stats[columns[i]], stats[columns[j]]
+        if not (first.varies and second.varies):
             return F.max(F.lit(None).cast("double"))
+        if first.complete and second.complete:
+            return F.corr(a, b)
         a_both, b_both = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
         return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a_both) * F.stddev_pop(b_both))
 
     pairs = list(combinations(range(len(columns)), 2))
     parts = []
     for at in range(0, len(pairs), PAIRS_PER_JOB):
-        some = pairs[at : at + PAIRS_PER_JOB]
-        totals = values.agg(*[pair(i, j).alias(f"r{i}_{j}") for i, j in some])
-        parts.append(
-            totals.select(
-                F.inline(
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(columns[i]).alias("col1"),
-                                F.lit(columns[j]).alias("col2"),
-                                F.col(f"r{i}_{j}").alias("corr"),
-                                F.lit(bool(seen[f"varies{i}"])).alias("varies1"),
-                            )
-                            for i, j in some
-                        ]
-                    )
-                )
-            )
-        )
+        rows = [
+            F.struct(F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"), pair(i, j).alias("corr"))
+            for i, j in pairs[at : at + PAIRS_PER_JOB]
+        ]
+        totals = values.agg(*[r.alias(f"r{k}") for k, r in enumerate(rows)])
+        parts.append(totals.select(F.inline(F.array(*[f"r{k}" for k in range(len(rows))]))))
     return reduce(DataFrame.unionByName, parts)
 
 
-def correlations(df: DataFrame, columns: list[str] | None = None, minimum: float = fx.CORRELATION_MIN) -> DataFrame:
+def correlations(
+    df: DataFrame,
+    columns: list[str] | None = None,
+    minimum: float = fx.CORRELATION_MIN,
+    stats: dict[str, MetricStats] | None = None,
+) -> DataFrame:
     """`col1, col2, corr, degree, warning` of pairs with |corr| >= minimum; col1 stands before col2 in the table."""
     columns = require_columns(df, columns or numeric_columns(df), numeric=True)
     if len(columns) < 2:
@@ -255,7 +277,7 @@ def correlations(df: DataFrame, columns: list[str] | None = None, minimum: float
         )
     size = F.abs("corr")
     return (
-        _pair_values(df, columns)
+        _pair_values(df, columns, stats or metric_stats(df, columns))
         .where(size >= minimum)
         .select(
             "col1",
@@ -272,21 +294,10 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     columns = require_columns(df, columns or numeric_columns(df), numeric=True)
     if len(columns) < 2:
         raise ValueError("a correlation matrix needs at least two numeric columns")
-    pairs = _pair_values(df, columns).select("col1", "col2", "corr")
-    varies = _values(df, columns).agg(
-        *[(F.min(f"_m{i}") < F.max(f"_m{i}")).alias(f"v{i}") for i in range(len(columns))]
-    )
-    diagonal = varies.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("col1"), F.lit(c).alias("col2"), F.when(F.col(f"v{i}"), 1.0).alias("corr")
-                    )
-                    for i, c in enumerate(columns)
-                ]
-            )
-        )
+    stats = metric_stats(df, columns)
+    pairs = _pair_values(df, columns, stats)
+    diagonal = df.sparkSession.createDataFrame(
+        [(c, c, 1.0 if stats[c].varies else None) for c in columns], "col1 string, col2 string, corr double"
     )
     mirrored = pairs.withColumn(
         "both",
@@ -299,7 +310,11 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
 
 
 def distribution(
-    df: DataFrame, metrics: list[str] | None = None, keys: list[str] | None = None, size: int = fx.NORMALITY_SAMPLE
+    df: DataFrame,
+    metrics: list[str] | None = None,
+    keys: list[str] | None = None,
+    size: int = fx.NORMALITY_SAMPLE,
+    stats: dict[str, MetricStats] | None = None,
 ) -> DataFrame:
     """`column, skew, distribution, p_value, n`.
 
@@ -312,25 +327,17 @@ def distribution(
     if not keys:
         raise ValueError("distribution needs unique row keys for its repeatable sample")
     values = _values(df, metrics, row_hash(keys).alias("_hash"))
-    stats = values.agg(
-        *[F.count(f"_m{i}").alias(f"n{i}") for i in range(len(metrics))],
-        *[skewness(F.col(f"_m{i}")).alias(f"s{i}") for i in range(len(metrics))],
-        *[kurtosis(F.col(f"_m{i}")).alias(f"k{i}") for i in range(len(metrics))],
-    ).first()
-    sampled = _metric_samples(values, metrics, [stats[f"n{i}"] for i in range(len(metrics))], size)
+    stats = stats or metric_stats(df, metrics)
+    sampled = _metric_samples(values, [stats[m].n for m in metrics], size)
     g1, g2, m = F.skewness("_y"), F.kurtosis("_y"), F.count("_y").cast("double")
     tests = sampled.groupBy("_i").agg(
         F.coalesce(F.exp(-(m / 6 * (g1 * g1 + g2 * g2 / 4)) / 2), F.lit(1.0)).alias("p")
     )
-    skew, kurt, n = (F.lit(None).cast(t) for t in ("double", "double", "bigint"))
-    name = F.lit(None).cast("string")
-    for i, metric in enumerate(metrics):
-        here = F.col("_i") == i
-        skew = F.when(here, F.lit(stats[f"s{i}"]).cast("double")).otherwise(skew)
-        kurt = F.when(here, F.lit(stats[f"k{i}"]).cast("double")).otherwise(kurt)
-        n = F.when(here, F.lit(stats[f"n{i}"])).otherwise(n)
-        name = F.when(here, F.lit(metric)).otherwise(name)
-    found = tests.select(name.alias("column"), skew.alias("skew"), kurt.alias("kurt"), n.alias("n"), "p")
+    facts = df.sparkSession.createDataFrame(
+        [(i, m, stats[m].skew, stats[m].kurt, stats[m].n) for i, m in enumerate(metrics)],
+        "_i int, column string, skew double, kurt double, n bigint",
+    )
+    found = facts.join(tests, "_i", "left")
     label = (
         F.when(F.col("n") < 3, F.lit(None))
         .when(F.col("p") > fx.NORMALITY_P, "normal")
@@ -350,15 +357,15 @@ def distribution(
     )
 
 
-def _metric_samples(values: DataFrame, metrics: list[str], counts: list[int], size: int) -> DataFrame:
+def _metric_samples(values: DataFrame, counts: list[int], size: int) -> DataFrame:
     """`_i, _y`: for each metric the `size` non-null rows with the smallest hash.
 
     A hash bound per metric leaves about four times `size` rows before the ranking, so each ranked group is small
     however large the table is.
     """
     picked = []
-    for i in range(len(metrics)):
-        bound = hash_limit(counts[i], size)
+    for i, count in enumerate(counts):
+        bound = hash_limit(count, size)
         keep = F.col(f"_m{i}").isNotNull()
         if bound is not None:
             keep = keep & (F.col("_hash") < bound)

@@ -321,7 +321,10 @@ def column_profile(df: DataFrame, exact: bool = True, approx_distinct: bool = Fa
         for facts in _text_facts(df, texts, approx_distinct)
     ]
     if typed:
-        facts = _union(_typed_facts(df, typed)).join(distinct_counts(df, typed, approx_distinct), "column")
+        facts = _union(_typed_facts(df, typed)).unionByName(
+            distinct_counts(df, typed, approx_distinct), allowMissingColumns=True
+        )
+        facts = facts.groupBy("column").agg(*[F.max(c).alias(c) for c in facts.columns if c != "column"])
         quartiles = _quartiles(df, numeric, exact) if numeric else [none.alias(q) for q in ("q25", "q50", "q75")]
         role = _by_column({c: _role(df.schema[c].dataType) for c in typed}).alias("role")
         parts.append(facts.select(*common, *MOMENTS, *quartiles, role).select(*common, *measures, "role"))

@@ -99,10 +99,10 @@ def _narrow(values: DataFrame, brackets: list[Bracket], bracket_rows: int) -> No
     todo = list(brackets)
     for _ in range(MAX_ROUNDS):
         _count(values, todo)
+        large = [b for b in todo if b.holds_rank() and b.inside > bracket_rows and b.low < b.high]
         missed = [b for b in todo if not b.holds_rank()]
         for b in missed:
             b.low, b.high = b.least, b.greatest
-        large = [b for b in todo if b not in missed and b.inside > bracket_rows and b.low < b.high]
         shrunk = _sketch_inside(values, large)
         todo = missed + shrunk
         if not todo:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.columns import candidate_metrics, category_columns, date_column
+from tablescope.columns import candidate_metrics, category_columns, date_column, numeric_columns
 from tablescope.operators import findings as fd
 from tablescope.operators import groups as gr
 from tablescope.plans.scratch import write_scratch
@@ -20,30 +20,38 @@ def analyse(
     categories: list[str] | None = None,
     date: str | None = None,
     direction: dict[str, str] | None = None,
+    store: bool = False,
 ) -> dict[str, DataFrame]:
     """All findings as named tables. `keys` identify a row.
 
-    The category statistics are computed and written once; five findings read that small table.
+    The metric statistics are one pass that four findings share; the category statistics are computed and written
+    once for five more. With `store` the needed columns are written first: for an input that is itself a join or
+    another costly plan, which every pass would otherwise repeat.
     """
     metrics = metrics or candidate_metrics(df)
     categories = category_columns(df) if categories is None else categories
     date = date or date_column(df)
+    numeric = numeric_columns(df)
+    if store:
+        needed = {*keys, *metrics, *categories, *numeric, *([date] if date else [])}
+        df = write_scratch(df.select(*[F.col(f"`{c}`") for c in df.columns if c in needed]), "input")
+    stats = fd.metric_stats(df, list(dict.fromkeys(metrics + numeric)))
     found = {
-        "outliers": fd.outliers(df, metrics),
-        "correlations": fd.correlations(df),
-        "distribution": fd.distribution(df, metrics, keys),
+        "outliers": fd.outliers(df, metrics, stats=stats),
+        "correlations": fd.correlations(df, numeric, stats=stats),
+        "distribution": fd.distribution(df, metrics, keys, stats=stats),
     }
     if date:
         found["trend"] = fd.trend(df, metrics, date, keys)
         found["period_growth"] = fd.period_growth(df, metrics, date)
     if categories:
-        stats = write_scratch(gr.group_stats(df, metrics, categories, date), "groups")
-        found["segments"] = gr.segments(stats)
-        found["performers"] = gr.performers(stats, direction)
-        found["concentration"] = gr.concentration(stats)
+        groups = write_scratch(gr.group_stats(df, metrics, categories, date), "groups")
+        found["segments"] = gr.segments(groups)
+        found["performers"] = gr.performers(groups, direction)
+        found["concentration"] = gr.concentration(groups)
         found["pareto_critical"] = gr.pareto_critical(found["concentration"])
         if date:
-            found["key_growth"] = gr.key_growth(stats)
+            found["key_growth"] = gr.key_growth(groups)
     return found
 
 
