@@ -14,8 +14,8 @@ from tablescope.functions import fixed_values as fx
 from tablescope.functions.scalars import kurtosis, number, parse_date, parse_date_strict, percent_change, skewness
 from tablescope.operators.order import hash_limit, row_hash, sorted_ranges
 
-PAIRS_PER_JOB = 60
-METRICS_PER_JOB = 25
+METRICS_PER_JOB = 4
+PAIR_SUMS_PER_JOB = 40
 
 
 def _metrics(df: DataFrame, metrics: list[str] | None) -> list[str]:
@@ -50,19 +50,23 @@ class MetricStats:
 
 
 def metric_stats(df: DataFrame, metrics: list[str] | None = None) -> dict[str, MetricStats]:
-    """One pass per 25 metrics without a shuffle; pass the result to the findings below to save their own pass."""
+    """One scan of each metric without a shuffle; pass the result to the findings below to save their own.
+
+    Few metrics per aggregate keep its generated code small enough to be compiled; the aggregates run side by side
+    and each reads only its own columns.
+    """
     metrics = _metrics(df, metrics)
-    out = {}
+    parts = []
     for at in range(0, len(metrics), METRICS_PER_JOB):
         names = metrics[at : at + METRICS_PER_JOB]
-        aggs = []
-        for i in range(len(names)):
+        rows = []
+        for i, m in enumerate(names):
             v = F.col(f"_m{i}")
-            parts = [F.count(v), F.avg(v), F.stddev_pop(v), F.min(v), F.max(v), skewness(v), kurtosis(v)]
-            aggs.append(F.struct(*[p.alias(f"p{j}") for j, p in enumerate(parts)]).alias(f"s{i}"))
-        row = _values(df, names).agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
-        out.update({m: MetricStats(row["rows"], *row[f"s{i}"]) for i, m in enumerate(names)})
-    return out
+            facts = [F.count(F.lit(1)), F.count(v), F.avg(v), F.stddev_pop(v), F.min(v), F.max(v), skewness(v), kurtosis(v)]
+            rows.append(F.struct(F.lit(m).alias("m"), *[c.alias(f"p{j}") for j, c in enumerate(facts)]).alias(f"s{i}"))
+        totals = _values(df, names).agg(*rows)
+        parts.append(totals.select(F.inline(F.array(*[f"s{i}" for i in range(len(names))]))))
+    return {r[0]: MetricStats(*r[1:]) for r in reduce(DataFrame.unionAll, parts).collect()}
 
 
 def outliers(
@@ -238,26 +242,36 @@ def _pooled_line(ranges: DataFrame) -> DataFrame:
 
 
 def _pair_values(df: DataFrame, columns: list[str], stats: dict[str, MetricStats]) -> DataFrame:
-    """`col1, col2, corr` over rows where both are present; null when a side is constant."""
-    values = _values(df, columns)
+    """`col1, col2, corr` over rows where both are present; null when a side is constant.
+
+    Columns without gaps are standardised first, so a pair is one plain mean of products.
+    """
+    standard = [
+        (number(df, c) - F.lit(stats[c].mean)) / F.lit(stats[c].sd) if stats[c].varies else F.lit(None).cast("double")
+        for c in columns
+    ]
+    values = df.select(*[z.alias(f"_m{i}") for i, z in enumerate(standard)])
 
-    def pair(i: int, j: int) -> Column:
+    def pair(i: int, j: int) -> tuple[Column, int]:
         a, b = F.col(f"_m{i}"), F.col(f"_m{j}")
         first, second = stats[columns[i]], stats[columns[j]]
-        if not (first.varies and second.varies):
-            return F.max(F.lit(None).cast("double"))
-        if first.complete and second.complete:
-            return F.corr(a, b)
+        if (first.complete and second.complete) or not (first.varies and second.varies):
+            return F.avg(a * b), 1
         a_both, b_both = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a_both) * F.stddev_pop(b_both))
-
-    pairs = list(combinations(range(len(columns)), 2))
+        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a_both) * F.stddev_pop(b_both)), 6
+
+    jobs, room = [[]], PAIR_SUMS_PER_JOB
+    for i, j in combinations(range(len(columns)), 2):
+        corr, size = pair(i, j)
+        if jobs[-1] and size > room:
+            jobs.append([])
+            room = PAIR_SUMS_PER_JOB
+        room -= size
+        jobs[-1].append(
+            F.struct(F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"), corr.alias("corr"))
+        )
     parts = []
-    for at in range(0, len(pairs), PAIRS_PER_JOB):
-        rows = [
-            F.struct(F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"), pair(i, j).alias("corr"))
-            for i, j in pairs[at : at + PAIRS_PER_JOB]
-        ]
+    for rows in jobs:
         totals = values.agg(*[r.alias(f"r{k}") for k, r in enumerate(rows)])
         parts.append(totals.select(F.inline(F.array(*[f"r{k}" for k in range(len(rows))]))))
     return reduce(DataFrame.unionByName, parts)
@@ -363,9 +377,11 @@ def _metric_samples(values: DataFrame, counts: list[int], size: int) -> DataFram
     A hash bound per metric leaves about four times `size` rows before the ranking, so each ranked group is small
     however large the table is.
     """
+    bounds = [hash_limit(count, size) for count in counts]
+    if None not in bounds:
+        values = values.where(F.col("_hash") < max(bounds))
     picked = []
-    for i, count in enumerate(counts):
-        bound = hash_limit(count, size)
+    for i, bound in enumerate(bounds):
         keep = F.col(f"_m{i}").isNotNull()
         if bound is not None:
             keep = keep & (F.col("_hash") < bound)

@@ -15,6 +15,7 @@ from tablescope.operators.quantiles import exact_quantiles
 from tablescope.plans.lookup import BROADCAST_ROWS
 
 COLUMNS_PER_JOB = 25
+MOMENT_COLUMNS_PER_JOB = 4  # keeps the generated code of one aggregate small enough to be compiled
 QUARTILES = [0.25, 0.5, 0.75]
 
 
@@ -170,9 +171,9 @@ def _text_facts(df: DataFrame, columns: list[str], approx_distinct: bool = False
 
 
 def _typed_facts(df: DataFrame, columns: list[str]) -> list[DataFrame]:
-    """`column, rows, filled` and the moments, for the columns that are not strings, in one pass per 25 columns."""
+    """`column, rows, filled` and the moments, for the columns that are not strings, in side-by-side aggregates of a few columns."""
     parts = []
-    for names in _chunks(columns, COLUMNS_PER_JOB):
+    for names in _chunks(columns, MOMENT_COLUMNS_PER_JOB):
         numeric = {c: isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType)) for c in names}
         none = F.lit(None).cast("double")
         values = df.select(
@@ -347,6 +348,26 @@ def column_types(df: DataFrame) -> DataFrame:
     )
 
 
+def _gap_facts(df: DataFrame, columns: list[str]) -> list[DataFrame]:
+    """`column, rows, filled, mean, skew` of numeric columns."""
+    parts = []
+    for names in _chunks(columns, MOMENT_COLUMNS_PER_JOB):
+        values = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(names)])
+        rows = [
+            F.struct(
+                F.lit(c).alias("column"),
+                F.count(F.lit(1)).alias("rows"),
+                F.count(f"v{i}").alias("filled"),
+                F.avg(f"v{i}").alias("mean"),
+                skewness(F.col(f"v{i}")).alias("skew"),
+            ).alias(f"s{i}")
+            for i, c in enumerate(names)
+        ]
+        totals = values.agg(*rows)
+        parts.append(_one_row_per_column(totals, [F.col(f"s{i}") for i in range(len(names))]))
+    return parts
+
+
 def impute(df: DataFrame, date: str | None = None) -> DataFrame:
     """Fill strings with 'Unknown' and numbers with the mean, or the median when |skewness| > 1 or undefined.
 
@@ -355,17 +376,10 @@ def impute(df: DataFrame, date: str | None = None) -> DataFrame:
     date = date or date_column(df)
     numbers = [c for c in numeric_columns(df) if c != date]
     fills: dict[str, float | None] = {}
-    for names in _chunks(numbers, COLUMNS_PER_JOB):
-        stats = df.agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(names)],
-            *[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(names)],
-            *[skewness(number(df, c)).alias(f"s{i}") for i, c in enumerate(names)],
-        ).first()
-        for i, c in enumerate(names):
-            if stats[f"n{i}"] < stats["rows"]:
-                skew = stats[f"s{i}"]
-                fills[c] = stats[f"m{i}"] if skew is not None and abs(skew) <= 1 else None
+    facts = [t.select("column", "rows", "filled", "mean", "skew") for t in _gap_facts(df, numbers)]
+    for r in _union(facts).collect() if numbers else []:
+        if r["filled"] < r["rows"]:
+            fills[r["column"]] = r["mean"] if r["skew"] is not None and abs(r["skew"]) <= 1 else None
     medians = exact_quantiles(df, [c for c, v in fills.items() if v is None], [0.5])
     out = []
     for f in df.schema:

@@ -1,5 +1,7 @@
 """Files in, findings out, landing folder."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,7 +99,7 @@ def test_landing_folder_takes_each_file_once(spark, tmp_path):
     (landing / "1.csv").write_text("k,cat,v\n1,a,1.5\n2,b,2.5\n")
 
     def run():
-        query = profile_landing(spark, str(landing), "k int, cat string, v double", out, tmp_path.name)
+        query = profile_landing(spark, str(landing), "k int, cat string, v double", out, uuid.uuid4().hex)
         query.awaitTermination(120)
         assert query.exception() is None
 
