@@ -416,7 +416,7 @@ ORACLES["chart_scatter_points"] = """SELECT CAST(p_size AS DOUBLE) AS x, p_retai
 ORACLES["chart_scatter_line"] = f"""SELECT segment AS color, round(regr_slope(price, quantity), 4) AS slope,
   round(regr_intercept(price, quantity), 4) AS intercept, round(regr_r2(price, quantity), 4) AS r2,
   CAST(regr_count(price, quantity) AS BIGINT) AS n FROM ({SALES}) GROUP BY segment"""
-ORACLES["chart_line"] = """SELECT o_orderdate AS x, round(avg(o_totalprice), 7) AS y FROM orders GROUP BY o_orderdate"""
+ORACLES["chart_line"] = """SELECT o_orderdate AS x, round(avg(o_totalprice), 8) AS y FROM orders GROUP BY o_orderdate"""
 ORACLES["chart_pivot_cells"] = f"""SELECT segment AS x, priority AS y, round(avg(revenue), 4) AS z FROM ({SALES})
   GROUP BY ALL"""
 ORACLES["chart_pivot_heatmap"] = f"""SELECT segment AS x, round(avg(revenue) FILTER (return_flag = 'A'), 4) AS "A",
@@ -566,8 +566,14 @@ ORACLES["chart_check"] = CHART_CHECK
 ORACLES["repeated_pairs"] = f"""SELECT run_id, place, x, y, row_number() OVER (PARTITION BY run_id, x, y ORDER BY place) > 1
   AS repeated FROM (SELECT run_id, concat_ws('-', key1, key2, key3) AS place, x, y FROM ({CHART_SPECS}))"""
 ORACLES["causal_check"] = CAUSAL_CHECK
-ORACLES["scorecard"] = f"""WITH n AS (
+ORACLES["anonymisation_check"] = f"""SELECT CAST(1 AS INTEGER) AS run_id, CAST(sum(CAST(missing AS INTEGER)
+  + CAST(leaked_values > 0 AS INTEGER) + CAST(untokenised_values > 0 AS INTEGER) + CAST(collisions > 0 AS INTEGER))
+  AS BIGINT) AS issue_count, false AS pass FROM ({ORACLES["leak_check"]})"""
+ORACLES["scorecard"] = f"""WITH h AS ({ORACLES["section_check"]}), f AS ({ORACLES["invented_numbers"]}), n AS (
   SELECT run_id, 'domain' AS node, {PASSED} AS passed, 5 AS total FROM ({DOMAIN_CHECK})
+  UNION ALL SELECT doc_id, 'report', CAST(has_all_sections AS INTEGER) + CAST(actions_under_5 AS INTEGER)
+  + CAST(length_ok AS INTEGER), 3 FROM h
+  UNION ALL SELECT doc_id, 'faithfulness', CAST(pass AS INTEGER), 1 FROM f
   UNION ALL SELECT run_id, 'charts', CAST(pass AS INTEGER), 1 FROM ({CHART_CHECK})
   UNION ALL SELECT run_id, 'causal', CAST(pass AS INTEGER), 1 FROM ({CAUSAL_CHECK})),
   b AS (SELECT run_id, node, passed, total FROM n

@@ -285,7 +285,7 @@ def chart_scatter_line(spark, d):
 
 @query
 def chart_line(spark, d):
-    return rounded(charts.line(table(spark, d, "orders"), "o_orderdate", "o_totalprice"), 7)
+    return rounded(charts.line(table(spark, d, "orders"), "o_orderdate", "o_totalprice"), 8)
 
 
 @query
@@ -490,4 +490,14 @@ def scorecard(spark, d):
     domain = checks.node_scores(checks.domain_check(inp.domain_records(spark, d)), "domain")
     plots = checks.node_scores(checks.chart_check(inp.chart_specs(spark, d)), "charts")
     causal = checks.node_scores(checks.causal_check(inp.causal_records(spark, d)), "causal")
-    return checks.scorecard([domain, plots, causal])
+    report = inp.reports(spark, d).withColumnRenamed("doc_id", "run_id")
+    heads = checks.node_scores(checks.report_check(report), "report")
+    truth = tx.ground_truth_numbers(table(spark, d, "benchmark"), "text")
+    documents = table(spark, d, "documents").withColumnRenamed("doc_id", "run_id")
+    faith = checks.node_scores(tx.invented_numbers(documents, "run_id", "text", truth), "faithfulness")
+    return checks.scorecard([domain, heads, plots, faith, causal])
+
+
+@query
+def anonymisation_check(spark, d):
+    return privacy.anonymisation_check(leak_check(spark, d), 1)

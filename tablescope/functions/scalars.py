@@ -41,6 +41,16 @@ def parse_number(c: Column) -> Column:
     return F.when(c.rlike(fx.NUMBER_SHAPE), F.trim(c).try_cast("double"))
 
 
+def short_key(c: Column) -> Column:
+    """A text that stands for the value in distinct counts: long texts are replaced by their SHA-256.
+
+    Keeps whole texts out of the shuffle. Numbers keep their form at any length, so they can still be recognised.
+    """
+    return F.when(
+        (F.length(c) > 64) & ~c.rlike(fx.NUMBER_SHAPE), F.concat(F.lit("sha256 "), F.sha2(c, 256))
+    ).otherwise(c)
+
+
 def skewness(c: Column) -> Column:
     """Bias-corrected sample skewness; null below three values, 0 for a constant."""
     n = F.count(c).cast("double")

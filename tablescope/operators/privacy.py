@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablescope.columns import require_columns, string_columns
 from tablescope.functions import fixed_values as fx
+from tablescope.functions.scalars import short_key
 from tablescope.plans.lookup import BROADCAST_ROWS, lookup_join
 
 TOKEN_MARK = "ID-"
@@ -152,21 +153,22 @@ def leak_check(original: DataFrame, tokenised: DataFrame, columns: list[str]) ->
             )
             continue
         # one row per distinct value with marks for the side it was seen on: one shuffle for all three counts
-        before = original.select(F.col(f"`{c}`").cast("string").alias("v"), F.lit(1).alias("b"), F.lit(0).alias("a"))
-        after = tokenised.select(F.col(f"`{c}`").cast("string").alias("v"), F.lit(0).alias("b"), F.lit(1).alias("a"))
+        value = F.col(f"`{c}`").cast("string")
+        plain = ~F.startswith(value, F.lit(TOKEN_MARK))
+        no, yes = F.lit(False), F.lit(True)
+        before = original.select(short_key(value).alias("v"), yes.alias("b"), no.alias("a"), no.alias("plain"))
+        after = tokenised.select(short_key(value).alias("v"), no.alias("b"), yes.alias("a"), plain.alias("plain"))
         seen = (
             before.unionAll(after)
             .where("v is not null")
             .groupBy("v")
-            .agg(F.max("b").alias("b"), F.max("a").alias("a"))
+            .agg(*[F.bool_or(m).alias(m) for m in ("b", "a", "plain")])
         )
         parts.append(
             seen.agg(
-                F.count_if((F.col("b") == 1) & (F.col("a") == 1)).alias("leaked_values"),
-                F.count_if((F.col("a") == 1) & ~F.startswith(F.col("v"), F.lit(TOKEN_MARK))).alias(
-                    "untokenised_values"
-                ),
-                (F.count_if(F.col("b") == 1) - F.count_if(F.col("a") == 1)).alias("collisions"),
+                F.count_if(F.col("b") & F.col("a")).alias("leaked_values"),
+                F.count_if("plain").alias("untokenised_values"),
+                (F.count_if("b") - F.count_if("a")).alias("collisions"),
             ).select(
                 F.lit(c).alias("column"),
                 F.lit(False).alias("missing"),
@@ -178,3 +180,15 @@ def leak_check(original: DataFrame, tokenised: DataFrame, columns: list[str]) ->
     checked = reduce(DataFrame.unionByName, parts)
     clean = ~F.col("missing") & (F.col("leaked_values") == 0) & (F.col("untokenised_values") == 0)
     return checked.withColumn("pass", clean & (F.col("collisions") == 0))
+
+
+def anonymisation_check(leaks: DataFrame, run_id) -> DataFrame:
+    """`run_id, issue_count, pass` from the leak check of one run: an issue per failing test of a column."""
+    issues = (
+        F.col("missing").cast("int")
+        + (F.col("leaked_values") > 0).cast("int")
+        + (F.col("untokenised_values") > 0).cast("int")
+        + (F.col("collisions") > 0).cast("int")
+    )
+    total = leaks.agg(F.coalesce(F.sum(issues), F.lit(0)).alias("issue_count"))
+    return total.select(F.lit(run_id).alias("run_id"), "issue_count", (F.col("issue_count") == 0).alias("pass"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tablescope.columns import date_column, numeric_columns, string_columns
 from tablescope.functions import fixed_values as fx
-from tablescope.functions.scalars import kurtosis, number, skewness
+from tablescope.functions.scalars import kurtosis, number, short_key, skewness
 from tablescope.operators.quantiles import exact_quantiles
 from tablescope.plans.lookup import BROADCAST_ROWS
 
@@ -39,6 +39,10 @@ def _filled(df: DataFrame, c: str) -> Column:
     return col
 
 
+def _distinct_key(df: DataFrame, c: str) -> Column:
+    return short_key(F.col(f"`{c}`")) if isinstance(df.schema[c].dataType, T.StringType) else _filled(df, c)
+
+
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """`column, null_count, null_percent`."""
     parts = []
@@ -83,7 +87,9 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: boo
         )
     return _union(
         [
-            df.agg(F.countDistinct(_filled(df, c)).alias("cardinality")).select(F.lit(c).alias("column"), "cardinality")
+            df.agg(F.countDistinct(_distinct_key(df, c)).alias("cardinality")).select(
+                F.lit(c).alias("column"), "cardinality"
+            )
             for c in columns
         ]
     )
@@ -153,10 +159,10 @@ def _text_facts(df: DataFrame, columns: list[str], approx_distinct: bool = False
     for c in columns:
         v = F.col("v")
         if approx_distinct:
-            values = df.select(F.col(f"`{c}`").alias("v"), F.lit(1).alias("n"))
+            values = df.select(short_key(F.col(f"`{c}`")).alias("v"), F.lit(1).alias("n"))
             distinct = F.approx_count_distinct(v, 0.01)
         else:
-            values = df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            values = df.groupBy(short_key(F.col(f"`{c}`")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
             distinct = F.count(v)
         parts.append(
             values.agg(
@@ -311,7 +317,10 @@ def describe(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame, exact: bool = True, approx_distinct: bool = False) -> DataFrame:
-    """One row per column: type, missing values, cardinality, moments, quartiles and role."""
+    """One row per column: type, missing values, cardinality, moments, quartiles and role.
+
+    The columns are read side by side, several times in all: give a stored columnar table, not a costly plan.
+    """
     texts, typed = _split_columns(df)
     numeric = [c for c in typed if isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
     none = F.lit(None).cast("double")
