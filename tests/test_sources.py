@@ -94,12 +94,12 @@ def test_scratch_table_is_written_below_it(spark):
 
 
 def test_landing_folder_takes_each_file_once(spark, tmp_path):
-    landing, out = tmp_path / "in", str(tmp_path / "out")
+    landing, out, name = tmp_path / "in", str(tmp_path / "out"), uuid.uuid4().hex
     landing.mkdir()
     (landing / "1.csv").write_text("k,cat,v\n1,a,1.5\n2,b,2.5\n")
 
     def run():
-        query = profile_landing(spark, str(landing), "k int, cat string, v double", out, uuid.uuid4().hex)
+        query = profile_landing(spark, str(landing), "k int, cat string, v double", out, name)
         query.awaitTermination(120)
         assert query.exception() is None
 
