@@ -15,6 +15,7 @@ from tablescope.functions.scalars import kurtosis, number, parse_date, parse_dat
 from tablescope.operators.order import hash_limit, row_hash, sorted_ranges
 
 METRICS_PER_JOB = 4
+SUMS_PER_JOB = 12
 PAIR_SUMS_PER_JOB = 40
 
 
@@ -82,21 +83,22 @@ def outliers(
     if not metrics:
         return df.sparkSession.createDataFrame([], "column string, counts bigint, max_zscore double")
 
-    def z(i: int) -> Column:
-        s = stats[metrics[i]]
-        return F.abs((F.col(f"_m{i}") - F.lit(s.mean)) / F.lit(s.sd))
-
-    found = _values(df, metrics).agg(
-        *[
-            F.struct(
-                F.lit(m).alias("column"),
-                F.count_if(z(i) > threshold).alias("counts"),
-                F.round(F.max(z(i)), 3).alias("max_zscore"),
-            ).alias(f"f{i}")
-            for i, m in enumerate(metrics)
-        ]
-    )
-    return found.select(F.inline(F.array(*[f"f{i}" for i in range(len(metrics))]))).where("counts > 0")
+    parts = []
+    for at in range(0, len(metrics), SUMS_PER_JOB):
+        names = metrics[at : at + SUMS_PER_JOB]
+        rows = []
+        for i, m in enumerate(names):
+            z = F.abs((F.col(f"_m{i}") - F.lit(stats[m].mean)) / F.lit(stats[m].sd))
+            rows.append(
+                F.struct(
+                    F.lit(m).alias("column"),
+                    F.count_if(z > threshold).alias("counts"),
+                    F.round(F.max(z), 3).alias("max_zscore"),
+                ).alias(f"f{i}")
+            )
+        totals = _values(df, names).agg(*rows)
+        parts.append(totals.select(F.inline(F.array(*[f"f{i}" for i in range(len(names))]))))
+    return reduce(DataFrame.unionByName, parts).where("counts > 0")
 
 
 def z_scores(df: DataFrame, metric: str) -> DataFrame:
@@ -169,52 +171,32 @@ def _index_fit(rows: DataFrame, metrics: list[str], keys: list[str]) -> DataFram
     ).first()
     dense = [i for i in range(len(metrics)) if counts[f"n{i}"] == counts["rows"]]
     sparse = [i for i in range(len(metrics)) if 0 < counts[f"n{i}"] < counts["rows"]]
+    order = [F.col("_when"), *[F.col(k) for k in keys]]
     parts = []
-    if dense:
-        placed = sorted_ranges(
-            rows.select("_when", *keys, *[f"_m{i}" for i in dense]), [F.col("_when"), *[F.col(k) for k in keys]]
-        )
-        parts.append(_wide_moments(placed, {i: metrics[i] for i in dense}))
-    if sparse:
-        names = [metrics[i] for i in sparse]
-        long = (
-            rows.select("_when", *keys, *[F.col(f"_m{i}").alias(metrics[i]) for i in sparse])
-            .unpivot(["_when", *keys], names, "column", "_y")
-            .where("_y is not null")
-        )
-        placed = sorted_ranges(long, [F.col("column"), F.col("_when"), *[F.col(k) for k in keys]])
-        parts.append(_moments(placed, ["_range", "column"], "_y"))
+    if dense:  # one sort for all of them; they are unpivoted only after their place is known
+        named = [F.col(f"_m{i}").alias(metrics[i]) for i in dense]
+        placed = sorted_ranges(rows.select("_when", *keys, *named), order)
+        long = placed.unpivot(["_range", "_pos"], [metrics[i] for i in dense], "column", "_y")
+        parts.append(_moments(long))
+    if sparse:  # each metric has its own index, so the metric leads the order
+        named = [F.col(f"_m{i}").alias(metrics[i]) for i in sparse]
+        long = rows.select("_when", *keys, *named).unpivot(["_when", *keys], [metrics[i] for i in sparse], "column", "_y")
+        parts.append(_moments(sorted_ranges(long.where("_y is not null"), [F.col("column"), *order])))
     if not parts:
         return rows.sparkSession.createDataFrame([], "column string, slope double, r2 double")
     return _pooled_line(reduce(DataFrame.unionByName, parts))
 
 
-def _moments(placed: DataFrame, groups: list[str], y: str) -> DataFrame:
-    """Per range: count, mean and variance of y, covariance of y with the position in the range."""
-    return placed.groupBy(*groups).agg(
+def _moments(placed: DataFrame) -> DataFrame:
+    """Per range and metric: count, mean and variance of y, covariance of y with the position in the range."""
+    return placed.groupBy("_range", "column").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(y).alias("mean"),
-        F.var_pop(y).alias("var"),
-        F.covar_pop(F.col("_pos").cast("double"), F.col(y)).alias("cov"),
+        F.avg("_y").alias("mean"),
+        F.var_pop("_y").alias("var"),
+        F.covar_pop(F.col("_pos").cast("double"), F.col("_y")).alias("cov"),
     )
 
 
-def _wide_moments(placed: DataFrame, metrics: dict[int, str]) -> DataFrame:
-    """The same for several gap-free metrics in one pass, one output row per range and metric."""
-    x = F.col("_pos").cast("double")
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i in metrics:
-        aggs.append(
-            F.struct(
-                F.lit(metrics[i]).alias("column"),
-                F.avg(f"_m{i}").alias("mean"),
-                F.var_pop(f"_m{i}").alias("var"),
-                F.covar_pop(x, F.col(f"_m{i}")).alias("cov"),
-            ).alias(f"r{i}")
-        )
-    return placed.groupBy("_range").agg(*aggs).select("_range", "n", F.inline(F.array(*[f"r{i}" for i in metrics])))
-
-
 def _pooled_line(ranges: DataFrame) -> DataFrame:
     """Merge the per-range moments (one row per range and metric) into slope and r2 over the whole index."""
     whole = Window.partitionBy("column")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tablescope.functions import fixed_values as fx
 from tablescope.functions.scalars import number, parse_date, percent_change
 
 
+METRICS_PER_JOB = 5  # keeps the generated code of one aggregate small enough to be compiled
 MEASURES = {
     "total": "coalesce(sum({m}), 0.0D)",
     "mean": "avg({m})",
@@ -29,13 +32,23 @@ def group_stats(
     """`category, key, metric, total, mean, sd, n, dated_mean, dated_rows` (or the chosen measures).
 
     The categories are unpivoted to (category, key), so one map-side combine and one shuffle of group rows serve
-    all of them, and a value that holds a third of the table is already reduced to one row per task. Null keys
+    all of them (per five metrics), and a value that holds a third of the table is already reduced to one row per task. Null keys
     are dropped. `dated_*` use only the rows whose date can be read (all rows when there is no date column).
     """
     metrics = require_columns(df, metrics or candidate_metrics(df), numeric=True)
     categories = require_columns(df, categories or category_columns(df))
     measures = measures or list(MEASURES)
     date = date or date_column(df)
+    parts = [
+        _group_stats(df, metrics[at : at + METRICS_PER_JOB], categories, date, measures)
+        for at in range(0, len(metrics), METRICS_PER_JOB)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _group_stats(
+    df: DataFrame, metrics: list[str], categories: list[str], date: str | None, measures: list[str]
+) -> DataFrame:
     dated = parse_date(df, date).isNotNull() if date and "dated_mean" in measures else F.lit(True)
     narrow = df.select(
         dated.alias("_dated"),

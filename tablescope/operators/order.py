@@ -99,8 +99,11 @@ def _keys_before(df: DataFrame, rank: int, keys: list[str]) -> Column:
     cut = indexed.where(F.col("row_index") == rank).select(*keys).first()
     if cut is None:
         return F.lit(True)
-    bound = F.struct(*[F.lit(cut[k]).cast(df.schema[k].dataType).alias(k) for k in keys])
-    return F.struct(*keys) < bound
+    before = F.lit(False)
+    for k in reversed(keys):
+        bound = F.lit(cut[k]).cast(df.schema[k].dataType)
+        before = (F.col(k) < bound) | ((F.col(k) == bound) & before)
+    return before
 
 
 def row_hash(keys: list[str]) -> Column:

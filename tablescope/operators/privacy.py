@@ -15,7 +15,7 @@ from tablescope.plans.lookup import BROADCAST_ROWS, lookup_join
 TOKEN_MARK = "ID-"
 TOKEN_DIGITS = 16
 TOKEN_PATTERN = r"ID-[0-9a-f]{16}"
-COLUMNS_PER_JOB = 25
+COLUMNS_PER_JOB = 8
 
 
 def sensitive_columns(df: DataFrame, share: float = 0.5, columns: list[str] | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from tablescope.operators.quantiles import exact_quantiles
 from tablescope.plans.lookup import BROADCAST_ROWS
 
 COLUMNS_PER_JOB = 25
+TEXT_COLUMNS_PER_JOB = 8
 MOMENT_COLUMNS_PER_JOB = 4  # keeps the generated code of one aggregate small enough to be compiled
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -413,7 +414,7 @@ def normalise_types(df: DataFrame, keep_leading_zeros: bool = False) -> DataFram
     if not texts:
         return df
     numeric: dict[str, str] = {}
-    for names in _chunks(texts, COLUMNS_PER_JOB):
+    for names in _chunks(texts, TEXT_COLUMNS_PER_JOB):
         cols = [F.col(f"`{c}`") for c in names]
         checks = df.agg(
             *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],

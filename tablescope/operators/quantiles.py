@@ -18,6 +18,7 @@ from tablescope.functions.scalars import number
 SKETCH_ACCURACY = 10_000
 BRACKET_ROWS = 500_000
 MAX_ROUNDS = 5
+COLUMNS_PER_JOB = 8
 
 
 @dataclass
@@ -60,6 +61,9 @@ def exact_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], bracket_rows: int = BRACKET_ROWS
 ) -> dict[str, list[float | None]]:
     """`{column: [value per prob]}`; None for a column without values."""
+    if len(columns) > COLUMNS_PER_JOB:  # every pass reads only the columns of its group
+        head, tail = columns[:COLUMNS_PER_JOB], columns[COLUMNS_PER_JOB:]
+        return exact_quantiles(df, head, probs, bracket_rows) | exact_quantiles(df, tail, probs, bracket_rows)
     if not columns:
         return {}
     values = df.select(*[number(df, c).alias(c) for c in columns])
