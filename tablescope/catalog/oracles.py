@@ -233,6 +233,14 @@ ORACLES["normalise_types"] = f"""SELECT CAST(order_no AS BIGINT) AS order_no, or
 ORACLES["csv_scan"] = """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey,
   o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"""
 
+ORACLES["slim_profile"] = f"SELECT \"column\", null_percent, role FROM ({ORACLES['profile_columns']})"
+ORACLES["landing_profile"] = """SELECT count(*) AS rows, CAST(6 AS INTEGER) AS columns,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) AS duplicates FROM orders"""
+ORACLES["search_results"] = """SELECT source || '/' || doc_id AS query,
+  CAST(len(string_split(text, chr(10))) AS INTEGER) AS results, replace(text, chr(10), ' | ') AS content
+  FROM documents"""
+ORACLES["stored_findings"] = f"SELECT *, 'second' AS run_id FROM ({ORACLES['concentration']})"
+
 # ---- findings over metrics ------------------------------------------------------------------------------
 
 
@@ -392,6 +400,7 @@ ORACLES["first_row"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1"
 # ---- charts ---------------------------------------------------------------------------------------------
 
 ORACLES["chart_bar"] = f"SELECT nation AS x, round(sum(revenue), 4) AS y FROM ({SALES}) GROUP BY nation"
+ORACLES["stored_charts"] = ORACLES["chart_bar"]
 ORACLES["chart_stacked_bar"] = f"""SELECT segment AS x, priority AS color, round(sum(revenue), 4) AS y FROM ({SALES})
   GROUP BY ALL"""
 ORACLES["chart_histogram"] = """WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events)
@@ -417,6 +426,8 @@ ORACLES["chart_scatter_line"] = f"""SELECT segment AS color, round(regr_slope(pr
   round(regr_intercept(price, quantity), 4) AS intercept, round(regr_r2(price, quantity), 4) AS r2,
   CAST(regr_count(price, quantity) AS BIGINT) AS n FROM ({SALES}) GROUP BY segment"""
 ORACLES["chart_line"] = """SELECT o_orderdate AS x, round(avg(o_totalprice), 8) AS y FROM orders GROUP BY o_orderdate"""
+ORACLES["chart_line_text"] = """SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS x,
+  round(avg(o_totalprice), 6) AS y FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1"""
 ORACLES["chart_pivot_cells"] = f"""SELECT segment AS x, priority AS y, round(avg(revenue), 4) AS z FROM ({SALES})
   GROUP BY ALL"""
 ORACLES["chart_pivot_heatmap"] = f"""SELECT segment AS x, round(avg(revenue) FILTER (return_flag = 'A'), 4) AS "A",
@@ -472,6 +483,9 @@ def token_sql(c: str, namespace: str) -> str:
 
 ORACLES["tokenise"] = f"""SELECT c_custkey, {token_sql('c_name', 'c_name')} AS c_name, c_nationkey, c_acctbal, c_mktsegment
   FROM customer"""
+# 12 bytes of IV and a 16-byte tag around each value; the content is compared by token_map_opened
+ORACLES["token_map"] = f"""SELECT DISTINCT 'c_name' AS column, {token_sql('c_name', 'c_name')} AS token,
+  CAST(strlen(c_name) + 28 AS INTEGER) AS ciphertext_bytes FROM customer"""
 ORACLES["token_map_opened"] = union(
     [
         f"SELECT DISTINCT '{c}' AS column, {token_sql(c, c)} AS token, {c} AS value FROM customer"

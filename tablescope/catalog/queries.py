@@ -15,7 +15,8 @@ from tablescope.functions import text as tx
 from tablescope.operators import charts, checks, findings, groups, order, privacy, profile
 from tablescope.plans.analysis import analyse, summary, to_json_rows
 from tablescope.plans.scratch import shared_folder
-from tablescope.sources import readers
+from tablescope.sources import readers, stores
+from tablescope.streaming.landing import profile_landing
 
 QUERIES = {}
 
@@ -133,6 +134,49 @@ def csv_scan(spark, d):
     return readers.read_csv(spark, path)
 
 
+@query
+def slim_profile(spark, d):
+    return cols.slim_profile(profile.column_profile(table(spark, d, "orders"), exact=False))
+
+
+@query
+def landing_profile(spark, d):
+    orders, place = table(spark, d, "orders"), f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    orders.write.option("header", True).csv(f"{place}/in")
+    run = profile_landing(spark, f"{place}/in", orders.schema, f"{place}/out", uuid.uuid4().hex)
+    run.awaitTermination()
+    return spark.read.parquet(f"{place}/out/table_profile").select("rows", "columns", "duplicates")
+
+
+@query
+def search_results(spark, d):
+    path = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    lines = F.transform(F.split("text", "\n"), lambda s: F.struct(s.alias("content"), F.length(s).alias("score")))
+    stored = table(spark, d, "documents").select(
+        F.concat("source", F.lit("/"), "doc_id").alias("query"), F.struct(lines.alias("results")).alias("response")
+    )
+    stored.write.json(path)
+    return readers.read_search_results(spark, path).select(
+        "query", F.size("content").alias("results"), F.array_join("content", " | ").alias("content")
+    )
+
+
+@query
+def stored_findings(spark, d):
+    folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    found = groups.concentration(_sales_stats(spark, d, "total"))
+    for run in ("first", "second"):
+        stores.save_findings({"concentration": found}, folder, run)
+    return stores.load_findings(spark, folder, "concentration", "second")
+
+
+@query
+def stored_charts(spark, d):
+    folder = f"{shared_folder(spark)}/charts-{uuid.uuid4().hex}"
+    stores.save_charts({"bar": chart_bar(spark, d), "box": chart_box(spark, d)}, folder)
+    return spark.read.parquet(f"{folder}/bar")
+
+
 # ---- findings over metrics ------------------------------------------------------------------------------
 
 
@@ -288,6 +332,12 @@ def chart_line(spark, d):
     return rounded(charts.line(table(spark, d, "orders"), "o_orderdate", "o_totalprice"), 8)
 
 
+@query
+def chart_line_text(spark, d):
+    day = F.when(F.col("o_orderstatus") == "F", "unknown").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return rounded(charts.line(table(spark, d, "orders").withColumn("day", day), "day", "o_totalprice", "month"), 6)
+
+
 @query
 def chart_pivot_cells(spark, d):
     return rounded(charts.pivot_cells(inp.sales(spark, d), "segment", "priority", "revenue"), 4)
@@ -340,7 +390,8 @@ def tokenise(spark, d):
 
 @query
 def token_map(spark, d):
-    return privacy.token_map(table(spark, d, "customer"), ["c_name"], inp.SECRET)
+    tokens = privacy.token_map(table(spark, d, "customer"), ["c_name"], inp.SECRET)
+    return tokens.select("column", "token", F.octet_length("ciphertext").alias("ciphertext_bytes"))
 
 
 @query

@@ -21,19 +21,21 @@ def number(df: DataFrame, name: str) -> Column:
 
 
 def parse_date(df: DataFrame, name: str, fmt: str | None = None) -> Column:
-    """Lenient date parse: what cannot be read becomes null."""
-    c = F.col(f"`{name}`")
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
-    return c.cast("timestamp")
+    """Lenient date parse: what cannot be read becomes null. Timestamps keep their type."""
+    return _as_time(df, name, F.try_to_timestamp, fmt)
 
 
 def parse_date_strict(df: DataFrame, name: str, fmt: str | None = None) -> Column:
     """Strict date parse: a bad value fails the query."""
+    return _as_time(df, name, lambda c, *f: F.to_timestamp(c, fmt) if f else F.to_timestamp(c), fmt)
+
+
+def _as_time(df: DataFrame, name: str, parse, fmt: str | None) -> Column:
+    kind = df.schema[name].dataType
     c = F.col(f"`{name}`")
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return F.to_timestamp(c, fmt) if fmt else F.to_timestamp(c)
-    return c.cast("timestamp")
+    if isinstance(kind, T.StringType):
+        return parse(c, F.lit(fmt)) if fmt else parse(c)
+    return c if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else c.cast("timestamp")
 
 
 def parse_number(c: Column) -> Column:

@@ -14,8 +14,9 @@ from tablescope.functions import fixed_values as fx
 from tablescope.functions.scalars import kurtosis, number, parse_date, parse_date_strict, percent_change, skewness
 from tablescope.operators.order import hash_limit, row_hash, sorted_ranges
 
-METRICS_PER_JOB = 4
-SUMS_PER_JOB = 12
+# An aggregate with more than about 100 buffer fields leaves whole-stage code generation, so wide ones are split.
+METRICS_PER_JOB = 5
+SUMS_PER_JOB = 40
 PAIR_SUMS_PER_JOB = 40
 
 
@@ -53,8 +54,8 @@ class MetricStats:
 def metric_stats(df: DataFrame, metrics: list[str] | None = None) -> dict[str, MetricStats]:
     """One scan of each metric without a shuffle; pass the result to the findings below to save their own.
 
-    Few metrics per aggregate keep its generated code small enough to be compiled; the aggregates run side by side
-    and each reads only its own columns.
+    A few metrics per aggregate keep it inside code generation; the aggregates run side by side and each reads only
+    its own columns.
     """
     metrics = _metrics(df, metrics)
     parts = []

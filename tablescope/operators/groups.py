@@ -12,7 +12,7 @@ from tablescope.functions import fixed_values as fx
 from tablescope.functions.scalars import number, parse_date, percent_change
 
 
-METRICS_PER_JOB = 5  # keeps the generated code of one aggregate small enough to be compiled
+METRICS_PER_JOB = 8  # keeps the buffer of one aggregate below the 100 fields that code generation takes
 MEASURES = {
     "total": "coalesce(sum({m}), 0.0D)",
     "mean": "avg({m})",
@@ -32,7 +32,7 @@ def group_stats(
     """`category, key, metric, total, mean, sd, n, dated_mean, dated_rows` (or the chosen measures).
 
     The categories are unpivoted to (category, key), so one map-side combine and one shuffle of group rows serve
-    all of them (per five metrics), and a value that holds a third of the table is already reduced to one row per task. Null keys
+    all of them (per eight metrics), and a value that holds a third of the table is already reduced to one row per task. Null keys
     are dropped. `dated_*` use only the rows whose date can be read (all rows when there is no date column).
     """
     metrics = require_columns(df, metrics or candidate_metrics(df), numeric=True)

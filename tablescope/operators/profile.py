@@ -16,7 +16,7 @@ from tablescope.plans.lookup import BROADCAST_ROWS
 
 COLUMNS_PER_JOB = 25
 TEXT_COLUMNS_PER_JOB = 8
-MOMENT_COLUMNS_PER_JOB = 4  # keeps the generated code of one aggregate small enough to be compiled
+MOMENT_COLUMNS_PER_JOB = 4  # keeps an aggregate below the 100 buffer fields that code generation takes
 QUARTILES = [0.25, 0.5, 0.75]
 
 

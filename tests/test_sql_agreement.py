@@ -22,13 +22,8 @@ def test_query_agrees_with_sql(spark, con, name):
     assert [f for f in found if f not in MAY_BE_EMPTY] == []
 
 
-def test_every_query_without_sql_runs(spark):
-    for name in set(entry.queries()) - set(entry.oracle_sql()):
-        assert entry.queries()[name](spark, FOLDER).count() > 0
-
-
-def test_every_sql_has_a_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_queries_and_sql_go_together():
+    assert set(entry.oracle_sql()) == set(entry.queries())
 
 
 def test_entry_runs(spark):
