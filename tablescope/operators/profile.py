@@ -88,9 +88,7 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: boo
         )
     return _union(
         [
-            df.agg(F.countDistinct(_distinct_key(df, c)).alias("cardinality")).select(
-                F.lit(c).alias("column"), "cardinality"
-            )
+            df.agg(F.lit(c).alias("column"), F.countDistinct(_distinct_key(df, c)).alias("cardinality"))
             for c in columns
         ]
     )
@@ -167,12 +165,13 @@ def _text_facts(df: DataFrame, columns: list[str], approx_distinct: bool = False
             distinct = F.count(v)
         parts.append(
             values.agg(
+                F.lit(c).alias("column"),
                 F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
                 F.coalesce(F.sum(F.when(v.isNotNull(), F.col("n"))), F.lit(0)).alias("filled"),
                 distinct.alias("cardinality"),
                 F.expr(DATE_SHARE).alias("date_share"),
                 F.expr(NUMBER_SHARE).alias("number_share"),
-            ).select(F.lit(c).alias("column"), "*")
+            )
         )
     return parts
 

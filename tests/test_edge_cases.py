@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tablescope import columns as cols
 from tablescope.functions import text as tx
+
 from tablescope.operators import charts, checks, findings, groups, order, privacy, profile
+from tablescope.plans import lookup
 
 
 def frame(spark, rows, schema):
@@ -396,3 +398,38 @@ def test_pivot_needs_few_columns(spark, monkeypatch):
     monkeypatch.setattr(charts, "MAX_PIVOT_COLUMNS", 0)
     with pytest.raises(ValueError, match="pivot_cells"):
         charts.pivot_heatmap(df, "r", "c", "v")
+
+
+def test_broadcast_is_measured_in_rows_and_bytes(spark):
+    few = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    assert lookup.fits_broadcast(few) and lookup.fits_broadcast(few, rows=100, size=200_000)
+    assert not lookup.fits_broadcast(few, rows=99) and not lookup.fits_broadcast(few, size=50_000)
+    assert lookup.fits_broadcast(few.where("id < 0"), rows=0)
+
+
+def test_salted_lookup_spreads_a_hot_key(spark):
+    big = spark.range(3000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("key")
+    )
+    small = spark.createDataFrame([("hot", 1), ("1", 2)], "key string, v int")
+    joined = lookup.lookup_join(big, small, "key", F.col("id"), broadcast_rows=0)
+    rows = {r["id"]: r["v"] for r in joined.collect()}
+    assert len(rows) == 3000 and rows[0] == 1 and rows[1] == 2 and rows[2] is None and rows[4] is None
+    salts = big.where("key = 'hot'").groupBy(F.pmod(F.xxhash64("id"), F.lit(lookup.SALTS))).count().collect()
+    assert len(salts) == lookup.SALTS and max(r["count"] for r in salts) < 120
+
+
+def test_long_texts_are_counted_by_digest(spark):
+    long = "a" * 500
+    df = frame(spark, [(long + "1",), (long + "2",), (long + "1",), ("9" * 200,), (None,)], "t string")
+    got = profile.column_profile(df).first()
+    assert (got["cardinality"], got["null_count"]) == (3, 1)
+    assert profile.column_roles(frame(spark, [("9" * 200,), ("8" * 100,)], "t string")).first()["role"] == "numeric"
+
+
+def test_many_metrics_are_grouped_in_several_jobs(spark):
+    df = spark.range(50).select((F.col("id") % 2).cast("string").alias("cat"), *[(F.col("id") * i).cast("double").alias(f"m{i:02d}") for i in range(1, 20)])
+    stats = groups.group_stats(df, [f"m{i:02d}" for i in range(1, 20)], ["cat"])
+    got = {(r["metric"], r["key"]): r["total"] for r in stats.collect()}
+    assert len(got) == 38 and got[("m19", "0")] == 19.0 * 600
+    assert len(findings.metric_stats(df)) == 19 and profile.numeric_summary(df).count() == 19
