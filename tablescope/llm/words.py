@@ -33,6 +33,9 @@ class Words:
 
     array: pa.Array
     offsets: np.ndarray
+    #: First byte of each word, and the byte behind it, in the joined bytes of all rows.
+    begin: np.ndarray
+    end: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -81,11 +84,12 @@ def split(texts: pa.Array, inside: np.ndarray = SPACED, lower: bool = False) ->
     ends = word.copy()
     ends[:-1] &= ~word[1:] | bounds[1:-1]
     at = np.flatnonzero(starts)
-    lengths = np.flatnonzero(ends) - at + 1
+    behind = np.flatnonzero(ends) + 1
+    lengths = behind - at
     cuts = np.zeros(len(at) + 1, np.int32)
     np.cumsum(lengths, out=cuts[1:])
     array = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data[word]))])
-    return Words(array, np.searchsorted(at, offsets))
+    return Words(array, np.searchsorted(at, offsets), at, behind)
 
 
 def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
