@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import chat, decontaminate, pieces
+from tablescope.llm import chat, decontaminate, pieces, rules
 
 QUERIES = {}
 ORACLES = {}
@@ -60,6 +60,12 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+@query
+def op4_quality_rules(spark, d):
+    judged = rules.judge(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "labels", "doc_id", "quality"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 @query
 def op5_sentencepiece(spark, d):
     return pieces.round_trip(table(spark, d, "documents", "doc_id", "text"), piece_model())
