@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: Bytes of text that are expanded into arrays at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text, and rows, that are expanded into arrays at once.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 1 << 15
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -47,12 +47,12 @@ class Words:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in consecutive parts of at most `limit` bytes of text, one row at least."""
+    """The batch in consecutive parts of at most `limit` bytes of text (one row at least) and SLICE_ROWS rows."""
     offsets = raw(batch.column(column))[1]
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-        end = min(max(end, start + 1), batch.num_rows)
+        end = min(max(end, start + 1), start + SLICE_ROWS, batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
 
