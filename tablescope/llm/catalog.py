@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import chat, decontaminate, jaccard, language, pieces, rules
+from tablescope.llm import chat, decontaminate, jaccard, language, pieces, rules, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -94,6 +94,21 @@ def op5_sentencepiece(spark, d):
     return pieces.round_trip(table(spark, d, "documents", "doc_id", "text"), piece_model())
 
 
+#: (action, host, path) of the registered query.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query
+def op7_url_filters(spark, d):
+    return urls.judge(table(spark, d, "pages", "page_id", "url", "html"), urls.rules_of(spark, URL_RULES))
+
+
 @query
 def op9_language(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text", "lang")
