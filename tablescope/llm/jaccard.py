@@ -14,7 +14,7 @@ case) and buy one-deletion neighbourhoods where that is cheaper.
 
 Rows that share a signature form a bucket. Each bucket is streamed in sorted order and every member is paired with its first
 prober only, so pairs grow with the rows; crowded buckets are salted and their first probers paired again. Pairs are
-verified on the whole sets. Where a bucket still spans several components, further probers (twice as many in each round) are
+verified on the whole sets, unless their sets are in one component by then. Where a bucket still spans several components, further probers (twice as many in each round) are
 paired with the members of other components, until every prober of such a bucket has met all others: no link is lost.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows and equal texts share a component; a null
@@ -23,6 +23,7 @@ id is left out of a component's smallest id unless no other is there. Empty tabl
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -327,6 +328,12 @@ def _linked(percent: int):
     return run
 
 
+def _released(spark) -> None:
+    """Lets Spark drop the shuffle files of frames that nobody refers to any more, before the next large shuffle."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _node(member: str):
     return F.col(member).bitwiseAND(F.lit(NODE))
 
@@ -350,6 +357,8 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
     rows = docs.mapInArrow(_signature_pass(width, percent, spark.sparkContext.broadcast(counts), crowded), "bucket long, sig long, member long")
     sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "member")
     stars = write_scratch(sorted_rows.mapInArrow(_stars, "sig long, pivot long, member long, salted boolean"), "stars")
+    del rows, sorted_rows
+    _released(spark)
     whole, split_up = stars.where("NOT salted"), stars.where("salted")
     tops = split_up.groupBy("sig").agg(F.min("pivot").alias("top")).where(F.col("top") < INDEX_ONLY)
     split_up = split_up.join(tops, "sig")
@@ -368,13 +377,23 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
         fits = (F.least(F.length("left"), F.length("right")) * 100) >= (F.greatest(F.length("left"), F.length("right")) * percent)
         return write_scratch(nodes.join(left, "a").join(right, "b").where(fits).mapInArrow(_linked(percent), "a long, b long"), "links")
 
-    edges = verified(stars.where(_meet()))
-    found = components(edges)
+    _released(spark)
 
     def of_node(rows: DataFrame, member: str, name: str) -> DataFrame:
         own = found.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
         return rows.join(own, _node(member) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", _node(member))).drop("_node", "_component")
 
+    # One pair for each member first, which joins most groups of near copies; then the pairs that are still apart.
+    meeting = stars.where(_meet()).select(_node("pivot").alias("pivot"), _node("member").alias("member")).distinct()
+    nearest = write_scratch(meeting.groupBy("member").agg(F.min("pivot").alias("pivot")), "nearest")
+    edges = verified(nearest)
+    found = components(edges)
+    rest = of_node(of_node(meeting.join(nearest, ["pivot", "member"], "left_anti"), "pivot", "ours"), "member", "theirs").where("ours <> theirs")
+    more = verified(rest)
+    if not more.isEmpty():
+        edges = edges.unionAll(more)
+        found = components(edges)
+
     apart = of_node(of_node(stars, "pivot", "ours"), "member", "theirs").where("ours <> theirs").select("sig").distinct()
     open_ = stars.join(apart, "sig", "left_semi")
     members = open_.select("sig", "salted", F.explode(F.array("pivot", "member")).alias("member")).groupBy("sig", "member").agg(F.max("salted").alias("salted"))
