@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import chat, decontaminate, jaccard, language, pieces, rules, urls
+from tablescope.llm import chat, decontaminate, jaccard, language, pieces, rules, secrets, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -109,6 +109,19 @@ def op7_url_filters(spark, d):
     return urls.judge(table(spark, d, "pages", "page_id", "url", "html"), urls.rules_of(spark, URL_RULES))
 
 
+def secret_forest(docs: DataFrame) -> secrets.Forest:
+    """A forest of the corpus's own sure findings and the fixed ones."""
+    return secrets.train(secrets.labelled_from(docs).unionByName(secrets.known_findings(docs.sparkSession)))
+
+
+@query
+def op8_secret_scan(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text")
+    found = secrets.scan(docs, secret_forest(docs))
+    digest = F.sha2(F.coalesce("redacted", F.lit("")), 256)
+    return found.select("doc_id", "n_candidates", "n_secrets", F.length("redacted").cast("long").alias("redacted_chars"), digest.alias("redacted_sha256"))
+
+
 @query
 def op9_language(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text", "lang")
