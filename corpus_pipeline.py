@@ -1,23 +1,84 @@
-"""Corpus pipeline: stages over `documents`, each one of the text operators."""
+"""Corpus pipeline: five text operators in a row over `documents`.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that it gets. All but the last return the columns of `docs`.
+Rows may repeat, and any column may be null; further columns are kept, names that start with an underscore are refused.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablescope.llm import decontaminate, jaccard, language, pieces, secrets
+from tablescope.llm.catalog import piece_model, secret_forest, table
+from tablescope.plans.scratch import write_scratch
+
+#: A text of which its language explains less than this share of the n-grams is rejected.
+LEAST_SHARE = 0.2
+#: Words of a shingle and percent of similarity at which documents count as copies.
+WORDS, PERCENT = 5, 80
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has a language; a null `lang` becomes the predicted one."""
+    filters = language.train(docs.where(~language.held_out()))
+    judged = language.predict(docs, filters, predicted="_language", score="_share")
+    kept = judged.where((F.col("_language") != language.UNKNOWN) & (F.col("_share") >= LEAST_SHARE))
+    return kept.withColumn("lang", F.coalesce("lang", "_language")).select(*docs.columns)
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies: the one with the smallest id, then text hash. Texts without words all stay."""
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    linked = jaccard.link(docs.select(key.alias("_key"), "text"), doc="_key", width=WORDS, percent=PERCENT)
+    linked = write_scratch(linked.withColumnsRenamed({"doc_id": "_key", "component_id": "_first"}), "copies")
+    spoken = linked.where("n_shingles > 0")
+    keys = spoken.groupBy("_key").agg(F.count("*").alias("_rows"), F.min("_first").alias("_first"))
+    keyed = docs.withColumn("_key", key)
+    same = lambda a, b: F.expr(f"{a} <=> {b}")
+    gone = keys.where(~same("_key", "_first")).select(F.col("_key").alias("_gone"))
+    repeated = keys.where(same("_key", "_first") & (F.col("_rows") > 1)).select(F.col("_key").alias("_gone"))
+    left = keyed.join(gone, F.expr("_key <=> _gone"), "left_anti")
+    once = left.join(repeated, F.expr("_key <=> _gone"), "left_anti")
+    first = left.join(repeated, F.expr("_key <=> _gone"), "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(first).select(*docs.columns)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of which less than a twentieth of the words lies in passages of the benchmark."""
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return decontaminate.judged(found).where(~F.col("contaminated")).select(*docs.columns)
+
 
-from tablescope.llm.catalog import piece_model
-from tablescope.llm.pieces import round_trip
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the secrets in their texts replaced and `n_chars` counted again where that changed a text."""
+    found = secrets.scan(docs, secret_forest(docs), redacted="_redacted")
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        found = found.withColumn("n_chars", F.when(F.col("n_secrets") > 0, F.length("_redacted").cast(kind)).otherwise(F.col("n_chars")))
+    return found.withColumn("text", F.col("_redacted")).select(*docs.columns)
 
 
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return round_trip(docs, piece_model())
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the ids of their texts and how many these are."""
+    return pieces.encode(docs, piece_model()).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-STAGES = [("sentencepiece", encoding)]
+STAGES = [
+    ("language ID", languages),
+    ("n-gram Jaccard join", copies),
+    ("benchmark decontamination", benchmarks),
+    ("secret scans", leaks),
+    ("SentencePiece encoding and decoding", encoded),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage over `documents`; each stage is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at + 1 < len(STAGES):
+            docs = write_scratch(docs, "stage")
     return docs
