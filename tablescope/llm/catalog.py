@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import chat, decontaminate, jaccard, language, pieces, rules, secrets, urls
+from tablescope.llm import chat, decontaminate, jaccard, language, passages, pieces, rules, secrets, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -109,6 +109,13 @@ def op7_url_filters(spark, d):
     return urls.judge(table(spark, d, "pages", "page_id", "url", "html"), urls.rules_of(spark, URL_RULES))
 
 
+@query
+def op6_passages(spark, d):
+    found = passages.recurring(table(spark, d, "documents", "doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
+    return found.select("doc_id", "n_words", "n_recurring", "n_removed", spans.alias("removed_spans"))
+
+
 def secret_forest(docs: DataFrame) -> secrets.Forest:
     """A forest of the corpus's own sure findings and the fixed ones."""
     return secrets.train(secrets.labelled_from(docs).unionByName(secrets.known_findings(docs.sparkSession)))
