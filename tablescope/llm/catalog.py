@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import chat, decontaminate, jaccard, language, passages, pieces, rules, secrets, urls
+from tablescope.llm import chat, decontaminate, jaccard, language, passages, pieces, quality, rules, secrets, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -83,6 +83,12 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+@query
+def op3_quality(spark, d):
+    judged = quality.judge(table(spark, d, "documents", "doc_id", "text", "lang"), table(spark, d, "labels", "doc_id", "quality"))
+    return judged.select("doc_id", "units", "perplexity", "kept")
+
+
 @query
 def op4_quality_rules(spark, d):
     judged = rules.judge(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "labels", "doc_id", "quality"))
