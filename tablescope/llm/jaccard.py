@@ -14,7 +14,7 @@ case) and buy one-deletion neighbourhoods where that is cheaper.
 
 Rows that share a signature form a bucket. Each bucket is streamed in sorted order and every member is paired with its first
 prober only, so pairs grow with the rows; crowded buckets are salted and their first probers paired again. Pairs are
-verified on the whole sets, unless their sets are in one component by then. Where a bucket still spans several components, further probers (twice as many in each round) are
+verified on the whole sets, unless their sets are in one component by then. Where a bucket still spans several components, further probers (eight times as many in each round) are
 paired with the members of other components, until every prober of such a bucket has met all others: no link is lost.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows and equal texts share a component; a null
@@ -278,21 +278,36 @@ def _set_pass(width: int, shared):
     """(node, elements) of the distinct sets of each slice that the filter lets through."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        words = shared.value.view(np.uint64)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = Sets(part.column("text"), width)
                 nodes, _ = sets.names()
                 rows = np.sort(np.unique(nodes, return_index=True)[1])
-                bit = nodes[rows] % (FILTER_WORDS * 64)
-                rows = rows[(words[bit // 64] >> (bit % 64).astype(np.uint64) & np.uint64(1)) > 0]
-                rows = rows[sets.sizes[rows] > 0]
+                rows = rows[let_through(shared.value, nodes[rows]) & (sets.sizes[rows] > 0)]
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), sets.packed(rows)], names=["node", "elements"])
 
     return run
 
 
+def let_through(words: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Which nodes a filter knows."""
+    bit = nodes % (FILTER_WORDS * 64)
+    return (words.view(np.uint64)[bit // 64] >> (bit % 64).astype(np.uint64) & np.uint64(1)) > 0
+
+
+def _sifted(shared):
+    """The rows whose node the filter knows."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.flatnonzero(let_through(shared.value, batch.column("node").to_numpy(zero_copy_only=False)))
+            if len(rows):
+                yield batch if len(rows) == batch.num_rows else batch.take(pa.array(rows))
+
+    return run
+
+
 def filter_of(nodes: DataFrame) -> np.ndarray:
     """A filter of fixed size over a column `node`, put together by an aggregate of at most FILTER_WORDS rows."""
     bit = F.col("node") % F.lit(FILTER_WORDS * 64)
@@ -366,16 +381,21 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
     stars = whole.unionAll(split_up.drop("top")).unionAll(over).where(_node("pivot") != _node("member"))
 
     candidates = stars.select(F.explode(F.array(_node("pivot"), _node("member"))).alias("node"))
-    let_through = spark.sparkContext.broadcast(filter_of(candidates))
-    sets = write_scratch(docs.mapInArrow(_set_pass(width, let_through), "node long, elements binary").dropDuplicates(["node"]), "elements")
+    known = spark.sparkContext.broadcast(filter_of(candidates))
+    sets = write_scratch(docs.mapInArrow(_set_pass(width, known), "node long, elements binary").dropDuplicates(["node"]), "elements")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (pivot, member) that link, as edges of nodes."""
+        """The pairs (pivot, member) that link, as edges of nodes. Only sets that the pairs need are shuffled."""
         nodes = pairs.select(F.least(_node("pivot"), _node("member")).alias("a"), F.greatest(_node("pivot"), _node("member")).alias("b")).distinct()
-        left = sets.select(F.col("node").alias("a"), F.col("elements").alias("left"))
-        right = sets.select(F.col("node").alias("b"), F.col("elements").alias("right"))
+        nodes = write_scratch(nodes, "pairs")
+        asked = spark.sparkContext.broadcast(filter_of(nodes.select(F.explode(F.array("a", "b")).alias("node"))))
+        needed = sets.mapInArrow(_sifted(asked), "node long, elements binary")
+        left = needed.select(F.col("node").alias("a"), F.col("elements").alias("left"))
+        right = needed.select(F.col("node").alias("b"), F.col("elements").alias("right"))
         fits = (F.least(F.length("left"), F.length("right")) * 100) >= (F.greatest(F.length("left"), F.length("right")) * percent)
-        return write_scratch(nodes.join(left, "a").join(right, "b").where(fits).mapInArrow(_linked(percent), "a long, b long"), "links")
+        out = write_scratch(nodes.join(left, "a").join(right, "b").where(fits).mapInArrow(_linked(percent), "a long, b long"), "links")
+        _released(spark)
+        return out
 
     _released(spark)
 
@@ -409,7 +429,7 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
         if not more.isEmpty():
             edges = edges.unionAll(more)
             found = components(edges)
-        low, high = high, 2 * high
+        low, high = high, 8 * high
 
     same = F.when(F.min("other") != F.max("other"), F.raise_error(F.lit("two sets have one 61-bit name"))).otherwise(F.min("doc"))
     least = heads.where("n > 0").groupBy("node").agg(same.alias("least"))
