@@ -43,6 +43,8 @@ KEY_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----E
 ASSIGNED = r"(?i:(?<![a-z0-9])(?:" + "|".join(NAMES) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[^\s\"',;<>]{8,}+"
 LONG_RUN = r"(?<![A-Za-z0-9+/_.=\-])(?=[A-Za-z+/_.=\-]{0,80}[0-9])[A-Za-z0-9+/_.=\-]{16,}+"
 CANDIDATE = f"{KEY_BLOCK}|{ASSIGNED}|{LONG_RUN}"
+#: Every candidate holds one of these.
+HINT = "[0-9:=]|-----BEGIN"
 #: What of a candidate is the name, up to the value.
 HEAD = r"^(?i:(?:" + "|".join(NAMES) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?=[^\s\"',;<>]{8})"
 
@@ -80,8 +82,10 @@ KNOWN_FINDINGS = (
 
 
 def pieces(text: Column) -> tuple[Column, Column]:
-    """The texts between candidates, and the candidates: one fewer."""
-    return F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    """The texts between candidates, and the candidates: one fewer. Texts without any of HINT have none, and are not searched."""
+    hinted = text.rlike(HINT)
+    between = F.when(hinted, F.split(text, CANDIDATE, -1)).otherwise(F.array(text))
+    return between, F.when(hinted, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def features(candidate: Column, before: Column, after: Column) -> dict[str, Column]:
