@@ -13,8 +13,8 @@ indexed segments of the corpus says how crowded each one is. Probes skip crowded
 case) and buy one-deletion neighbourhoods where that is cheaper.
 
 Rows that share a signature form a bucket. Each bucket is streamed in sorted order and every member is paired with its first
-prober only, so pairs grow with the rows; crowded buckets are salted and their first probers paired again. Pairs are
-verified on the whole sets, unless their sets are in one component by then. Where a bucket still spans several components, further probers (eight times as many in each round) are
+prober only, so pairs grow with the rows; crowded buckets are salted and their first probers paired again. Histograms of
+the sets rule out most pairs that can't link (their difference is a lower bound); the others are verified on the whole sets, unless their sets are in one component by then. Where a bucket still spans several components, further probers (four times as many in each round) are
 paired with the members of other components, until every prober of such a bucket has met all others: no link is lost.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows and equal texts share a component; a null
@@ -318,21 +318,67 @@ def filter_of(nodes: DataFrame) -> np.ndarray:
     return filled
 
 
+def histogram(elements: np.ndarray) -> np.ndarray:
+    """Elements of a set per cell, 255 at most; as many cells as a power of two that is at least half the size, 256 or more."""
+    cells = 1 << max(8, int(len(elements) // 2).bit_length())
+    return np.minimum(np.bincount((elements & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def least_difference(one: np.ndarray, other: np.ndarray) -> int:
+    """A lower bound for the elements that are in one set only, from the histograms of two sets."""
+    one, other = one.astype(np.int64), other.astype(np.int64)
+    while len(one) > len(other):
+        one = one.reshape(2, -1).sum(axis=0)
+    while len(other) > len(one):
+        other = other.reshape(2, -1).sum(axis=0)
+    return int(np.abs(one - other).sum())
+
+
+def _histogram_pass(batches) -> Iterator[pa.RecordBatch]:
+    """(node, elements) to (node, size, cells)."""
+    for batch in batches:
+        for part in slices(batch, "elements", COMPARED):
+            elements, sizes = _unpacked(part.column("elements"))
+            ends = np.cumsum(sizes)
+            cells = [histogram(elements[a:b] & ELEMENT).tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sizes, pa.int64()), pa.array(cells, pa.binary())], names=["node", "size", "cells"])
+
+
+def _possible(percent: int):
+    """Rows (a, b, left_size, right_size, left, right) to the pairs (a, b) that their histograms don't rule out."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("left_size").to_numpy(zero_copy_only=False) + batch.column("right_size").to_numpy(zero_copy_only=False)
+            most = allowed(sizes, percent)
+            (left, left_cuts), (right, right_cuts) = raw(batch.column("left")), raw(batch.column("right"))
+            keep = [
+                k for k in range(batch.num_rows)
+                if least_difference(left[left_cuts[k] : left_cuts[k + 1]], right[right_cuts[k] : right_cuts[k + 1]]) <= most[k]
+            ]
+            if keep:
+                yield batch.select(["a", "b"]).take(pa.array(keep))
+
+    return run
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of all rows, with the row above the element's bits, and how many each row has."""
+    data, cuts = raw(packed)
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = data.reshape(-1, 6)
+    sizes = np.diff(cuts) // 6
+    return wide.reshape(-1).view(np.uint64) | (np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64) << np.uint64(48)), sizes
+
+
 def _linked(percent: int):
     """Rows (a, b, left, right) to the pairs (a, b) whose sets link, compared whole."""
 
-    def unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, cuts = raw(packed)
-        wide = np.zeros((len(data) // 6, 8), np.uint8)
-        wide[:, :6] = data.reshape(-1, 6)
-        sizes = np.diff(cuts) // 6
-        return wide.reshape(-1).view(np.uint64) | (np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64) << np.uint64(48)), sizes
-
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "left", COMPARED):
-                left, left_sizes = unpacked(part.column("left"))
-                right, right_sizes = unpacked(part.column("right"))
+                left, left_sizes = _unpacked(part.column("left"))
+                right, right_sizes = _unpacked(part.column("right"))
                 both = np.sort(np.concatenate([left, right]))
                 shared = both[1:][both[1:] == both[:-1]] >> np.uint64(48)
                 common = np.bincount(shared.astype(np.int64), minlength=part.num_rows)
@@ -384,16 +430,22 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
     known = spark.sparkContext.broadcast(filter_of(candidates))
     sets = write_scratch(docs.mapInArrow(_set_pass(width, known), "node long, elements binary").dropDuplicates(["node"]), "elements")
 
+    cells = write_scratch(sets.mapInArrow(_histogram_pass, "node long, size long, cells binary"), "histograms")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (pivot, member) that link, as edges of nodes. Only sets that the pairs need are shuffled."""
+        """The pairs (pivot, member) that link, as edges of nodes. Histograms rule out most of the others exactly; sets are
+        shuffled only for the pairs that are left."""
         nodes = pairs.select(F.least(_node("pivot"), _node("member")).alias("a"), F.greatest(_node("pivot"), _node("member")).alias("b")).distinct()
-        nodes = write_scratch(nodes, "pairs")
-        asked = spark.sparkContext.broadcast(filter_of(nodes.select(F.explode(F.array("a", "b")).alias("node"))))
+        one = cells.select(F.col("node").alias("a"), F.col("size").alias("left_size"), F.col("cells").alias("left"))
+        two = cells.select(F.col("node").alias("b"), F.col("size").alias("right_size"), F.col("cells").alias("right"))
+        fits = F.least("left_size", "right_size") * 100 >= F.greatest("left_size", "right_size") * percent
+        left_over = nodes.join(one, "a").join(two, "b").where(fits).mapInArrow(_possible(percent), "a long, b long")
+        left_over = write_scratch(left_over, "pairs")
+        asked = spark.sparkContext.broadcast(filter_of(left_over.select(F.explode(F.array("a", "b")).alias("node"))))
         needed = sets.mapInArrow(_sifted(asked), "node long, elements binary")
         left = needed.select(F.col("node").alias("a"), F.col("elements").alias("left"))
         right = needed.select(F.col("node").alias("b"), F.col("elements").alias("right"))
-        fits = (F.least(F.length("left"), F.length("right")) * 100) >= (F.greatest(F.length("left"), F.length("right")) * percent)
-        out = write_scratch(nodes.join(left, "a").join(right, "b").where(fits).mapInArrow(_linked(percent), "a long, b long"), "links")
+        out = write_scratch(left_over.join(left, "a").join(right, "b").mapInArrow(_linked(percent), "a long, b long"), "links")
         _released(spark)
         return out
 
@@ -429,7 +481,7 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
         if not more.isEmpty():
             edges = edges.unionAll(more)
             found = components(edges)
-        low, high = high, 8 * high
+        low, high = high, 4 * high
 
     same = F.when(F.min("other") != F.max("other"), F.raise_error(F.lit("two sets have one 61-bit name"))).otherwise(F.min("doc"))
     least = heads.where("n > 0").groupBy("node").agg(same.alias("least"))

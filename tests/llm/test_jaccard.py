@@ -91,3 +91,13 @@ def test_bands_keep_linked_sizes_adjacent():
     band = np.searchsorted(starts, np.arange(5001), side="right") - 1
     for a in range(1, 4000):
         assert band[100 * a // 85] - band[a] <= 1
+
+
+def test_histograms_never_overstate_a_difference():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        common, one, two = (np.unique(r.integers(0, 1 << 48, n)).astype(np.uint64) for n in r.integers(0, 3000, 3))
+        a, b = np.union1d(common, one), np.union1d(common, two)
+        bound = jaccard.least_difference(jaccard.histogram(a), jaccard.histogram(b))
+        assert bound <= len(np.setxor1d(a, b))
+    assert jaccard.least_difference(jaccard.histogram(a), jaccard.histogram(a)) == 0
