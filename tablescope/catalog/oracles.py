@@ -306,7 +306,7 @@ ORACLES["correlations"] = f"WITH sales AS ({SALES}) {strong_pairs(pairs_sql('sal
 ORACLES["correlation_matrix"] = f"WITH t AS ({GAPPED}) {matrix_sql('t', ['quantity', 'line_count', 'heavy'])}"
 
 
-def distribution_row(source: str, c: str, key: str, places: int = 4) -> str:
+def distribution_row(source: str, c: str, places: int = 4) -> str:
     return f"""SELECT '{c}' AS column, round(f.g, {places}) AS skew, CASE WHEN f.n < 3 THEN NULL WHEN p.p > 0.05 THEN 'normal'
       WHEN f.k > 3 THEN 'heavy_tailed' WHEN f.g > 1 THEN 'right_skewed' WHEN abs(f.g) < 0.5 THEN 'symmetric'
       WHEN f.g < -1 THEN 'left_skewed' WHEN f.g > 0 THEN 'slightly_right_skewed' ELSE 'slightly_left_skewed' END
@@ -315,14 +315,13 @@ def distribution_row(source: str, c: str, key: str, places: int = 4) -> str:
       SELECT exp(-(m / 6 * (g1 * g1 + g2 * g2 / 4)) / 2) AS p FROM (
       SELECT count(*) AS m, avg(pow(y - mu, 3)) / pow(avg(pow(y - mu, 2)), 1.5) AS g1,
       avg(pow(y - mu, 4)) / pow(avg(pow(y - mu, 2)), 2) - 3 AS g2 FROM (
-      SELECT y, avg(y) OVER () AS mu FROM (SELECT {c} AS y FROM {source} WHERE {c} IS NOT NULL
-      ORDER BY md5(concat_ws('~', {key})) LIMIT 5000)))) p"""
+      SELECT y, avg(y) OVER () AS mu FROM (SELECT {c} AS y FROM {source} WHERE {c} IS NOT NULL)))) p"""
 
 
 LINE_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 ORACLES["distribution"] = union(
-    [distribution_row("lineitem", c, LINE_KEY) for c in ["l_quantity", "l_extendedprice"]]
-    + [distribution_row("events", "value", "event_id")]
+    [distribution_row("lineitem", c) for c in ["l_quantity", "l_extendedprice"]]
+    + [distribution_row("events", "value")]
 )
 
 
@@ -376,7 +375,7 @@ ORACLES["findings_summary"] = f"""{STATS} SELECT "analysis", "column", "counts",
                 "order_key", "line_number", "part_key", "supp_key", "quantity", "price", "discount", "tax", "revenue",
             ])),
         ),
-        summary_part("distribution", union([distribution_row("sales", m, SALES_KEY) for m in SALES_METRICS])),
+        summary_part("distribution", union([distribution_row("sales", m) for m in SALES_METRICS])),
         summary_part("trend", union([trend_row("sales", m, SALES_ORDER) for m in SALES_METRICS])),
         summary_part("period_growth", period_rows("sales", SALES_METRICS, "order_date")),
         summary_part("segments", SEGMENTS),
@@ -594,3 +593,20 @@ ORACLES["scorecard"] = f"""WITH h AS ({ORACLES["section_check"]}), f AS ({ORACLE
   UNION ALL SELECT run_id, 'overall', sum(passed), sum(total) FROM n GROUP BY run_id)
   SELECT run_id, node, CAST(passed AS BIGINT) AS passed, CAST(total AS BIGINT) AS total,
   CAST(round(CAST(passed AS DOUBLE) / total * 100) AS INTEGER) AS node_score FROM b"""
+
+
+# ---- inputs that real files bring ------------------------------------------------------------------------
+
+ORACLES["trend_us_dates"] = ORACLES["trend"]
+ORACLES["period_growth_us_dates"] = ORACLES["period_growth"]
+ORACLES["csv_quoted"] = """SELECT CAST(doc_id AS INTEGER) AS doc_id, text, lang, source, CAST(n_chars AS INTEGER) AS n_chars
+  FROM documents"""
+ORACLES["csv_missing_words"] = """SELECT CAST(p_partkey AS INTEGER) AS p_partkey,
+  CASE WHEN p_size <= 20 THEN CAST(p_size AS INTEGER) END AS p_size FROM part"""
+ORACLES["wide_metrics"] = union(
+    [distribution_row(f"(SELECT l_quantity * {i + 1} AS amount_{i} FROM lineitem)", f"amount_{i}") for i in range(36)]
+)
+ORACLES["decimal_findings"] = """WITH e AS (SELECT CAST(CAST(value AS DECIMAL(18,4)) AS DOUBLE) AS v FROM events),
+  s AS (SELECT avg(v) AS m, stddev_pop(v) AS sd FROM e)
+  SELECT 'value' AS column, count(*) FILTER (abs((v - m) / sd) > 3) AS counts, round(max(abs((v - m) / sd)), 3) AS max_zscore
+  FROM e, s"""

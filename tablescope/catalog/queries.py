@@ -222,10 +222,8 @@ def correlation_matrix(spark, d):
 
 @query
 def distribution(spark, d):
-    lines = findings.distribution(
-        table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], inp.LINE_KEYS
-    )
-    events = findings.distribution(table(spark, d, "events"), ["value"], ["event_id"])
+    lines = findings.distribution(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"])
+    events = findings.distribution(table(spark, d, "events"), ["value"])
     return rounded(lines.unionByName(events), 4)
 
 
@@ -356,7 +354,7 @@ def chart_specs_valid(spark, d):
 @query
 def chart_specs_chosen(spark, d):
     specs = inp.chart_specs(spark, d)
-    return charts.chosen_charts(specs, inp.sales(spark, d), ["run_id", "key1", "key2", "key3"])
+    return charts.chosen_charts(specs, inp.sales(spark, d), ["run_id", "key1", "key2", "key3"], 6)
 
 
 @query
@@ -371,7 +369,7 @@ def kpis(spark, d):
 
 @query
 def dimension_values(spark, d):
-    return charts.dimension_values(table(spark, d, "part"), ["p_partkey"])
+    return charts.dimension_values(table(spark, d, "part"), ["p_partkey"], 5)
 
 
 # ---- personal data --------------------------------------------------------------------------------------
@@ -405,7 +403,7 @@ def detokenise(spark, d):
     customers = table(spark, d, "customer")
     tokens = privacy.token_map(customers, ["c_mktsegment"], inp.SECRET)
     hidden = privacy.tokenise(customers, ["c_mktsegment"], inp.SECRET)
-    return privacy.detokenise(hidden, "c_mktsegment", tokens, inp.SECRET, ["c_custkey"])
+    return privacy.detokenise(hidden, "c_mktsegment", tokens, inp.SECRET)
 
 
 @query
@@ -498,7 +496,7 @@ def nested_contents(spark, d):
 @query
 def map_keys(spark, d):
     keyed = table(spark, d, "events").select("event_id", F.create_map("user_id", "value").alias("m"))
-    texts = keyed.select("event_id", tx.text_keys(F.col("m")).alias("m"))
+    texts = keyed.select("event_id", tx.text_keys(F.col("m"), keyed.schema["m"].dataType).alias("m"))
     return texts.select("event_id", F.explode("m").alias("key", "value"))
 
 
@@ -552,3 +550,51 @@ def scorecard(spark, d):
 @query
 def anonymisation_check(spark, d):
     return privacy.anonymisation_check(leak_check(spark, d), 1)
+
+
+# ---- inputs that real files bring ------------------------------------------------------------------------
+
+
+def _us_orders(spark, d):
+    """Orders with the day as MM/dd/yyyy text."""
+    return table(spark, d, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "MM/dd/yyyy"))
+
+
+@query
+def trend_us_dates(spark, d):
+    return findings.trend(_us_orders(spark, d), ["o_totalprice"], "o_orderdate", ["o_orderkey"])
+
+
+@query
+def period_growth_us_dates(spark, d):
+    return rounded(findings.period_growth(_us_orders(spark, d), ["o_totalprice"], "o_orderdate", "month"), 4)
+
+
+@query
+def csv_quoted(spark, d):
+    """Documents with quotes and line breaks, through a delimited file and back."""
+    path = f"{shared_folder(spark)}/documents-csv-{uuid.uuid4().hex}"
+    writer = table(spark, d, "documents").write.option("header", True).option("escape", '"').option("quoteAll", True)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.read_csv(spark, path)
+
+
+@query
+def csv_missing_words(spark, d):
+    path = f"{shared_folder(spark)}/parts-csv-{uuid.uuid4().hex}"
+    size = F.when(F.col("p_size") > 25, F.lit("NA")).when(F.col("p_size") > 20, F.lit("null")).otherwise(F.col("p_size").cast("string"))
+    table(spark, d, "part").select("p_partkey", size.alias("p_size")).write.option("header", True).csv(path)
+    return readers.read_csv(spark, path)
+
+
+@query
+def wide_metrics(spark, d):
+    """More metrics than any default ever took, and no list of them given."""
+    rows = table(spark, d, "lineitem").select(*[(F.col("l_quantity") * (i + 1)).alias(f"amount_{i}") for i in range(36)])
+    return rounded(findings.distribution(rows), 4)
+
+
+@query
+def decimal_findings(spark, d):
+    rows = table(spark, d, "events").select(F.col("value").cast("decimal(18,4)").alias("value"))
+    return findings.outliers(rows)

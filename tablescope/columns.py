@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tablescope.functions import fixed_values as fx
 
-PLAIN_NUMBERS = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+PLAIN_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -32,8 +32,8 @@ def category_columns(df: DataFrame) -> list[str]:
     return [c for c in string_columns(df) if c != date]
 
 
-def candidate_metrics(df: DataFrame, limit: int = fx.MAX_METRICS) -> list[str]:
-    """Plain number columns whose names do not look like keys, codes or calendar parts; the first `limit`."""
+def candidate_metrics(df: DataFrame, limit: int | None = None) -> list[str]:
+    """Number columns whose names do not look like keys, codes or calendar parts; all of them unless a limit is given."""
     names = [f.name for f in df.schema if isinstance(f.dataType, PLAIN_NUMBERS)]
     return [n for n in names if not any(w in n.lower() for w in fx.METRIC_NAME_EXCLUSIONS)][:limit]
 

@@ -4,13 +4,13 @@
 METRIC_NAME_EXCLUSIONS = [
     "key", "code", "num", "index", "date", "time", "year", "month",
 ]
-MAX_METRICS = 30
 DATE_SHARE = 0.6
 NUMBER_SHARE = 0.8
 ID_SHARE = 0.9
 CATEGORY_LIMIT = 100
 CHART_CATEGORY_LIMIT = 50
 MISSING_TEXT = "Unknown"
+MISSING_WORDS = ("", "NA", "N/A", "n/a", "#N/A", "NaN", "nan", "null", "NULL", "None", "<NA>")
 
 # --- fixed values: findings -------------------------------------------------------------------------
 OUTLIER_Z = 3.0
@@ -20,17 +20,12 @@ CORRELATION_STRONG = 0.7
 CORRELATION_SAME = 0.95
 CONCENTRATED_PCT = 50.0
 CRITICAL_PCT = 80.0
-NORMALITY_SAMPLE = 5000
 NORMALITY_P = 0.05
 CAP_GEOGRAPHY_PCT = 70.0
 CAP_MISSING_PCT = 20.0
 
 # --- fixed values: charts and headline numbers ------------------------------------------------------
 HISTOGRAM_BINS = 20
-MAX_CHARTS = 6
-MAX_KPIS = 6
-MAX_DIMENSIONS = 7
-MAX_FILTER_VALUES = 5
 
 # --- fixed values: run-record checks ----------------------------------------------------------------
 DOMAINS = [
@@ -117,10 +112,25 @@ DATE_SHAPES = [
     ("yyyyMMdd", r"^[0-9]{8}$"),
     ("HH:mm", r"^[0-9]{2}:[0-9]{2}$"),
 ]
+ISO_DATE_SHAPE = r"^\s*[0-9]{4}-[0-9]{1,2}(-|\s*$)"
+DATE_FORMATS = [
+    ("M/d/yyyy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
+    ("d/M/yyyy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
+    ("yyyy/M/d", r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"),
+    ("d-M-yyyy", r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"),
+    ("d.M.yyyy", r"^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}$"),
+    ("yyyyMMdd", r"^[0-9]{8}$"),
+    ("M/d/yyyy H:mm", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$"),
+    ("d/M/yyyy H:mm", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$"),
+    ("M/d/yyyy H:mm:ss", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$"),
+]
 SENSITIVE_NAME = (
-    r"(^|_)(name|email|e_mail|mail|phone|mobile|fax|ssn|passport|national_id|employee|operator|patient)(_|$)"
+    r"^name$|(^|_)(first|last|full|user|contact|person)_?name(_|$)"
+    r"|(^|_)(email|e_mail|mail|phone|mobile|fax|ssn|passport|national_id|employee|operator|patient)(_|$)"
     r"|(employee|operator|customer|patient|national|passport).*(id|name|no|number|email|phone)$"
 )
 EMAIL_SHAPE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE_SHAPE = r"(^|[^0-9A-Za-z])(\+[0-9]{1,3}[ .-]?)?(\([0-9]{2,4}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}([^0-9A-Za-z]|$)"
 ID_SHAPE = r"^[A-Za-z]+[#_-]?[0-9]{5,}$"
+# products, parts and equipment are no personal data, whatever their codes look like
+PRODUCT_ID = r"^(?i:sku|prod|product|part|item|article|brand|model|eq|equip|equipment|mach|machine)[#_-]?[0-9]"

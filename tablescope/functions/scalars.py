@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +22,37 @@ def number(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
+@dataclass
+class DateFormat:
+    """The format that reads most values of a text column (None: ISO forms), how many values there are and how many it reads."""
+
+    fmt: str | None
+    values: int
+    read: int
+
+    def parsed(self, c: Column) -> Column:
+        return F.try_to_timestamp(c, F.lit(self.fmt)) if self.fmt else F.try_to_timestamp(c)
+
+
+def date_format(df: DataFrame, name: str) -> DateFormat:
+    """The best single format of a text column, by one aggregate; the first of the list at equal counts."""
+    c = F.col(f"`{name}`")
+    tries = [(None, F.when(c.rlike(fx.ISO_DATE_SHAPE), F.try_to_timestamp(c)))] + [(f, F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(f)))) for f, shape in fx.DATE_FORMATS]
+    counts = df.agg(F.count(c), *[F.count(t) for _, t in tries]).first()
+    best = max(range(len(tries)), key=lambda i: counts[i + 1])
+    return DateFormat(tries[best][0], counts[0], counts[best + 1])
+
+
 def parse_date(df: DataFrame, name: str, fmt: str | None = None) -> Column:
-    """Lenient date parse: what cannot be read becomes null. Timestamps keep their type."""
+    """Lenient date parse: what cannot be read becomes null. Timestamps keep their type.
+
+    A text column without a given format is read in the one that fits most of its values; none that fits is an error.
+    """
+    if fmt is None and isinstance(df.schema[name].dataType, T.StringType):
+        found = date_format(df, name)
+        if found.values and not found.read:
+            raise ValueError(f"no value of {name} can be read as a date; give its format")
+        fmt = found.fmt
     return _as_time(df, name, F.try_to_timestamp, fmt)
 
 
@@ -38,11 +69,6 @@ def _as_time(df: DataFrame, name: str, parse, fmt: str | None) -> Column:
     return c if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else c.cast("timestamp")
 
 
-def parse_number(c: Column) -> Column:
-    """Lenient number parse. The shape test comes first, so long texts never reach the cast."""
-    return F.when(c.rlike(fx.NUMBER_SHAPE), F.trim(c).try_cast("double"))
-
-
 def short_key(c: Column) -> Column:
     """A text that stands for the value in distinct counts: long texts are replaced by their SHA-256.
 

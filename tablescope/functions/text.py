@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.functions import fixed_values as fx
-from tablescope.plans.lookup import BROADCAST_ROWS, lookup_join
+from tablescope.plans.lookup import lookup_join
 
 
 def clean_text(c: Column) -> Column:
@@ -132,7 +133,7 @@ def is_skipped(number: Column, before: Column, context: Column) -> Column:
 
 
 def invented_mentions(
-    df: DataFrame, key: str, text: str, truth: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame, key: str, text: str, truth: DataFrame
 ) -> DataFrame:
     """`<key>, number, context, invented` of all mentions; texts without numbers keep one row with a null number."""
     rows = _exploded_mentions(df, key, text)
@@ -140,7 +141,7 @@ def invented_mentions(
         "number", F.when(~is_skipped(F.col("number"), F.col("before"), F.col("context")), F.col("number"))
     )
     known = truth.select("number", F.lit(True).alias("_known"))
-    joined = lookup_join(checked, known, "number", F.struct(key, "place"), broadcast_rows=broadcast_rows)
+    joined = lookup_join(checked, known, "number")
     return joined.select(
         key,
         "number",
@@ -150,31 +151,34 @@ def invented_mentions(
 
 
 def invented_numbers(
-    df: DataFrame, key: str, text: str, truth: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame, key: str, text: str, truth: DataFrame
 ) -> DataFrame:
     """`<key>, invention_count, pass` per text."""
-    rows = invented_mentions(df, key, text, truth, broadcast_rows)
+    rows = invented_mentions(df, key, text, truth)
     counts = rows.groupBy(key).agg(F.count_if("invented").alias("invention_count"))
     return counts.withColumn("pass", F.col("invention_count") <= fx.MAX_INVENTED_NUMBERS)
 
 
+#: Brackets in a row of which values are looked for.
+DEEPEST = 1000
+
+
 @F.pandas_udf(T.StringType())
 def _first_json_value(texts: pd.Series) -> pd.Series:
     """The first decodable JSON object or array inside each text; null texts are passed over."""
     decoder = json.JSONDecoder()
+    nested, bracket = re.compile(r"(?:[{\[]\s*)+"), re.compile(r"[{\[]")
 
     def find(text):
         if text is None:
             return None
-        at = 0
-        while at < len(text):
-            if text[at] in "{[":
+        for run in nested.finditer(text):
+            # A value that starts further from the end of its brackets is nested too deep for the decoder.
+            for start in [m.start() for m in bracket.finditer(text, run.start(), run.end())][-DEEPEST:]:
                 try:
-                    _, end = decoder.raw_decode(text, at)
-                    return text[at:end]
-                except ValueError:
-                    pass
-            at += 1
+                    return text[start : decoder.raw_decode(text, start)[1]]
+                except (ValueError, RecursionError):
+                    continue
         return None
 
     return texts.map(find, na_action="ignore")
@@ -188,7 +192,7 @@ def json_payload(c: Column) -> Column:
     """
     bare = F.btrim(F.regexp_replace(c, r"```(?:json)?\s*", ""), F.lit(" \t\n\r\f\v"))
     whole = F.try_parse_json(bare)
-    rest = _first_json_value(F.when(whole.isNull(), bare))
+    rest = _first_json_value(F.when(whole.isNull() & bare.rlike(r"[{\[]"), bare))
     text = F.when(whole.isNotNull(), bare).otherwise(rest)
     return F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\\\([nt])", r"$1\\$2")
 
@@ -200,10 +204,21 @@ def result_contents(query: Column, response: Column) -> Column:
     )
 
 
-def text_keys(c: Column) -> Column:
-    """A map with its keys as text."""
-    return F.transform_keys(c, lambda k, v: k.cast("string"))
-
-
-def to_json_text(*columns: str) -> Column:
-    return F.to_json(F.struct(*columns))
+def text_keys(c: Column, kind: T.DataType) -> Column:
+    """A value of the given type with the keys of all maps in it as text, however deep they lie."""
+    if isinstance(kind, T.MapType):
+        values = F.transform_values(c, lambda k, v: text_keys(v, kind.valueType)) if _has_map(kind.valueType) else c
+        return F.transform_keys(values, lambda k, v: k.cast("string"))
+    if isinstance(kind, T.ArrayType) and _has_map(kind):
+        return F.transform(c, lambda v: text_keys(v, kind.elementType))
+    if isinstance(kind, T.StructType) and _has_map(kind):
+        return F.when(c.isNotNull(), F.struct(*[text_keys(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType)

@@ -12,8 +12,8 @@ from tablescope.functions.scalars import compact_number, number, parse_date, per
 from tablescope.operators.findings import correlation_matrix
 from tablescope.operators.order import first_half, first_values, hash_sample, running_total
 from tablescope.operators.quantiles import exact_quantiles
+from tablescope.plans.scratch import write_scratch
 
-MAX_PIVOT_COLUMNS = 1000
 
 
 def _keys(df: DataFrame, **names: str) -> list[Column]:
@@ -123,7 +123,7 @@ def correlation_heatmap(df: DataFrame, columns: list[str] | None = None) -> Data
 
 
 def scatter_points(
-    df: DataFrame, x: str, y: str, keys: list[str], color: str | None = None, size: int = 5000
+    df: DataFrame, x: str, y: str, keys: list[str], color: str | None, size: int
 ) -> DataFrame:
     """`x, y[, color]`: a repeatable sample of points for the drawing."""
     require_columns(df, [x, y], numeric=True)
@@ -155,13 +155,11 @@ def pivot_cells(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
 
 
 def pivot_heatmap(df: DataFrame, x: str, y: str, z: str, y_values: list | None = None) -> DataFrame:
-    """One row per x, one column per y value. Without `y_values` they are looked up and must be few."""
+    """One row per x, one column per y value. Without `y_values` they are looked up in the written cells; Spark's own
+    `spark.sql.pivotMaxValues` limits them (`pivot_cells` has no limit)."""
     cells = pivot_cells(df, x, y, z)
     if y_values is None:
-        found = cells.select("y").distinct().limit(MAX_PIVOT_COLUMNS + 1).collect()
-        if len(found) > MAX_PIVOT_COLUMNS:
-            raise ValueError(f"{y} has more than {MAX_PIVOT_COLUMNS} values; use pivot_cells")
-        y_values = sorted(r["y"] for r in found)
+        cells = write_scratch(cells, "cells")
     return cells.groupBy("x").pivot("y", y_values).agg(F.first("z"))
 
 
@@ -208,7 +206,7 @@ def valid_charts(specs: DataFrame, table: DataFrame) -> DataFrame:
     return specs.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
-def chosen_charts(specs: DataFrame, table: DataFrame, order: list[str], limit: int = fx.MAX_CHARTS) -> DataFrame:
+def chosen_charts(specs: DataFrame, table: DataFrame, order: list[str], limit: int) -> DataFrame:
     """The first valid specs in the given order."""
     return valid_charts(specs, table).where("valid").orderBy(*order).limit(limit)
 
@@ -220,9 +218,9 @@ def kpis(
     date: str | None = None,
     direction: dict[str, str] | None = None,
     default_direction: str = "higher_is_better",
-    limit: int = fx.MAX_KPIS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """`label, value, value_str, direction, delta, is_good` of the first `limit` numeric metrics.
+    """`label, value, value_str, direction, delta, is_good` of the given numeric metrics (the first `limit`, if one is given).
 
     delta compares the mean of the later half of the rows with the earlier half, in date order with unreadable
     dates last; `keys` make the order unique. No rows are sorted beyond those at the cut between the halves.
@@ -262,10 +260,10 @@ def kpis(
     return means.select(F.inline(F.array(*rows))).withColumn("is_good", good)
 
 
-def dimensions(df: DataFrame, limit: int = fx.MAX_DIMENSIONS) -> list[str]:
+def dimensions(df: DataFrame, limit: int | None = None) -> list[str]:
     return category_columns(df)[:limit]
 
 
-def dimension_values(df: DataFrame, order: list[str], limit: int = fx.MAX_FILTER_VALUES) -> DataFrame:
+def dimension_values(df: DataFrame, order: list[str], limit: int) -> DataFrame:
     """`column, value`: first distinct values, by order of appearance, of the first dimension."""
     return first_values(df, dimensions(df)[0], order, limit)

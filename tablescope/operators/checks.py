@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions import fixed_values as fx
 from tablescope.functions.text import percent_sum, section_checks
-from tablescope.plans.lookup import BROADCAST_ROWS, lookup_join
+from tablescope.plans.lookup import lookup_join
 
 NODES = ["domain", "report", "charts", "faithfulness", "causal", "anonymisation"]
 
@@ -50,13 +50,13 @@ def chart_check(specs: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def repeated_pairs(
-    specs: DataFrame, position: str, run: str = "run_id", broadcast_rows: int = BROADCAST_ROWS
+    specs: DataFrame, position: str, run: str = "run_id"
 ) -> DataFrame:
     """The specs with `repeated`: true when the same (run, x, y) stands at an earlier position."""
     first = specs.groupBy(run, "x", "y").agg(F.min(position).alias("_first"))
     first = first.select(F.struct(run, "x", "y").alias("_pair"), "_first")
     paired = specs.withColumn("_pair", F.struct(run, "x", "y"))
-    joined = lookup_join(paired, first, "_pair", F.col(position), "inner", broadcast_rows)
+    joined = lookup_join(paired, first, "_pair", "inner")
     return joined.select(*specs.columns, (F.col(position) > F.col("_first")).alias("repeated"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tablescope.columns import candidate_metrics, date_column, numeric_columns, require_columns
 from tablescope.functions import fixed_values as fx
 from tablescope.functions.scalars import kurtosis, number, parse_date, parse_date_strict, percent_change, skewness
-from tablescope.operators.order import hash_limit, row_hash, sorted_ranges
+from tablescope.operators.order import sorted_ranges
 
 # An aggregate with more than about 100 buffer fields leaves whole-stage code generation, so wide ones are split.
 METRICS_PER_JOB = 5
@@ -41,6 +42,14 @@ class MetricStats:
     high: float | None
     skew: float | None
     kurt: float | None
+    plain_skew: float | None = None
+    plain_kurt: float | None = None
+
+    def normality(self) -> float:
+        """p of the Jarque-Bera test; 1 for a constant."""
+        if not self.varies or self.plain_skew is None or self.plain_kurt is None:
+            return 1.0
+        return math.exp(-self.n / 12 * (self.plain_skew**2 + self.plain_kurt**2 / 4))
 
     @property
     def varies(self) -> bool:
@@ -58,6 +67,8 @@ def metric_stats(df: DataFrame, metrics: list[str] | None = None) -> dict[str, M
     its own columns.
     """
     metrics = _metrics(df, metrics)
+    if not metrics:
+        return {}
     parts = []
     for at in range(0, len(metrics), METRICS_PER_JOB):
         names = metrics[at : at + METRICS_PER_JOB]
@@ -65,6 +76,7 @@ def metric_stats(df: DataFrame, metrics: list[str] | None = None) -> dict[str, M
         for i, m in enumerate(names):
             v = F.col(f"_m{i}")
             facts = [F.count(F.lit(1)), F.count(v), F.avg(v), F.stddev_pop(v), F.min(v), F.max(v), skewness(v), kurtosis(v)]
+            facts += [F.skewness(v), F.kurtosis(v)]
             rows.append(F.struct(F.lit(m).alias("m"), *[c.alias(f"p{j}") for j, c in enumerate(facts)]).alias(f"s{i}"))
         totals = _values(df, names).agg(*rows)
         parts.append(totals.select(F.inline(F.array(*[f"s{i}" for i in range(len(names))]))))
@@ -130,9 +142,11 @@ def trend(
     """
     metrics = _metrics(df, metrics)
     date = date or date_column(df)
-    if date is None:
+    if date is None or not metrics:
         return df.sparkSession.createDataFrame([], "column string, trend string, value double, r2 double")
     keys = require_columns(df, keys or [])
+    if not keys and axis != "time":
+        raise ValueError("trend needs unique row keys: they order rows of equal dates")
     parse = parse_date_strict if strict else parse_date
     when = parse(df, date)
     names = [f"_k{i}" for i in range(len(keys))]
@@ -307,34 +321,17 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
 
 
 def distribution(
-    df: DataFrame,
-    metrics: list[str] | None = None,
-    keys: list[str] | None = None,
-    size: int = fx.NORMALITY_SAMPLE,
-    stats: dict[str, MetricStats] | None = None,
+    df: DataFrame, metrics: list[str] | None = None, stats: dict[str, MetricStats] | None = None
 ) -> DataFrame:
     """`column, skew, distribution, p_value, n`.
 
-    Normality is the Jarque-Bera test on a repeatable sample of at most `size` rows per metric (smallest hash of
-    the unique `keys`); skew, kurtosis and n use all rows. The test differs from Shapiro-Wilk, so a label can
-    differ near p = 0.05.
+    Normality is the Jarque-Bera test over all rows, from the moments that are there already. It differs from
+    Shapiro-Wilk on a sample, so a label can differ near p = 0.05.
     """
     metrics = _metrics(df, metrics)
-    keys = require_columns(df, keys or [])
-    if not keys:
-        raise ValueError("distribution needs unique row keys for its repeatable sample")
-    values = _values(df, metrics, row_hash(keys).alias("_hash"))
     stats = stats or metric_stats(df, metrics)
-    sampled = _metric_samples(values, [stats[m].n for m in metrics], size)
-    g1, g2, m = F.skewness("_y"), F.kurtosis("_y"), F.count("_y").cast("double")
-    tests = sampled.groupBy("_i").agg(
-        F.coalesce(F.exp(-(m / 6 * (g1 * g1 + g2 * g2 / 4)) / 2), F.lit(1.0)).alias("p")
-    )
-    facts = df.sparkSession.createDataFrame(
-        [(i, m, stats[m].skew, stats[m].kurt, stats[m].n) for i, m in enumerate(metrics)],
-        "_i int, column string, skew double, kurt double, n bigint",
-    )
-    found = facts.join(tests, "_i", "left")
+    facts = [(m, stats[m].skew, stats[m].kurt, stats[m].n, stats[m].normality()) for m in metrics]
+    found = df.sparkSession.createDataFrame(facts, "column string, skew double, kurt double, n bigint, p double")
     label = (
         F.when(F.col("n") < 3, F.lit(None))
         .when(F.col("p") > fx.NORMALITY_P, "normal")
@@ -354,28 +351,6 @@ def distribution(
     )
 
 
-def _metric_samples(values: DataFrame, counts: list[int], size: int) -> DataFrame:
-    """`_i, _y`: for each metric the `size` non-null rows with the smallest hash.
-
-    A hash bound per metric leaves about four times `size` rows before the ranking, so each ranked group is small
-    however large the table is.
-    """
-    bounds = [hash_limit(count, size) for count in counts]
-    if None not in bounds:
-        values = values.where(F.col("_hash") < max(bounds))
-    picked = []
-    for i, bound in enumerate(bounds):
-        keep = F.col(f"_m{i}").isNotNull()
-        if bound is not None:
-            keep = keep & (F.col("_hash") < bound)
-        picked.append(F.when(keep, F.struct(F.lit(i).alias("_i"), F.col(f"_m{i}").alias("_y"))))
-    long = values.select("_hash", F.explode(F.array(*picked)).alias("p")).where("p is not null")
-    first = Window.partitionBy("_i").orderBy("_hash")
-    return (
-        long.select("_hash", "p.*").withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= size)
-    ).select("_i", "_y")
-
-
 def period_growth(
     df: DataFrame,
     metrics: list[str] | None = None,
@@ -388,7 +363,7 @@ def period_growth(
         raise ValueError("period must be day, week, month, quarter or year")
     metrics = _metrics(df, metrics)
     date = date or date_column(df)
-    if date is None:
+    if date is None or not metrics:
         return df.sparkSession.createDataFrame(
             [], "metric string, period timestamp, value double, percent_growth double"
         )

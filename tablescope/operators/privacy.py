@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablescope.columns import require_columns, string_columns
 from tablescope.functions import fixed_values as fx
 from tablescope.functions.scalars import short_key
-from tablescope.plans.lookup import BROADCAST_ROWS, lookup_join
+from tablescope.plans.lookup import lookup_join
 
 TOKEN_MARK = "ID-"
 TOKEN_DIGITS = 16
@@ -31,7 +31,7 @@ def sensitive_columns(df: DataFrame, share: float = 0.5, columns: list[str] | No
         shapes = {"email": fx.EMAIL_SHAPE, "phone": fx.PHONE_SHAPE, "id": fx.ID_SHAPE}
         totals = df.agg(
             *[
-                F.avg(F.col(f"`{c}`").rlike(shape).cast("double")).alias(f"{kind}{i}")
+                F.avg(_shaped(F.col(f"`{c}`"), kind, shape).cast("double")).alias(f"{kind}{i}")
                 for i, c in enumerate(names)
                 for kind, shape in shapes.items()
             ]
@@ -57,6 +57,10 @@ def sensitive_columns(df: DataFrame, share: float = 0.5, columns: list[str] | No
     return found.withColumn("is_sensitive", F.coalesce(F.col("name_match") | (highest >= share), F.col("name_match")))
 
 
+def _shaped(value: Column, kind: str, shape: str) -> Column:
+    return value.rlike(shape) & ~value.rlike(fx.PRODUCT_ID) if kind == "id" else value.rlike(shape)
+
+
 def token(value: Column, secret: str, namespace: str) -> Column:
     """Keyed token of a value. Equal values get equal tokens wherever the same namespace is used."""
     digest = F.sha2(F.concat_ws("~", F.lit(secret), F.lit(namespace), value.cast("string")), 256)
@@ -103,19 +107,19 @@ def open_token_map(tokens: DataFrame, secret: str) -> DataFrame:
 
 
 def detokenise(
-    df: DataFrame, column: str, tokens: DataFrame, secret: str, spread: list[str], broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame, column: str, tokens: DataFrame, secret: str
 ) -> DataFrame:
-    """Put the real values back into one column; unknown tokens stay. `spread` names row keys for hot tokens."""
+    """Put the real values back into one column; unknown tokens stay."""
     opened = open_token_map(tokens.where(F.col("column") == column), secret).select(
         F.col("token").alias(column), F.col("value").alias("_value")
     )
-    joined = lookup_join(df, opened, column, F.struct(*spread), broadcast_rows=broadcast_rows)
+    joined = lookup_join(df, opened, column)
     restored = joined.withColumn(column, F.coalesce("_value", F.col(f"`{column}`")))
     return restored.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def detokenise_text(
-    df: DataFrame, key: str, text: str, tokens: DataFrame, secret: str, broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame, key: str, text: str, tokens: DataFrame, secret: str
 ) -> DataFrame:
     """`<key>, <text>` with every token in the text replaced by its real value. `key` must be unique.
 
@@ -131,7 +135,7 @@ def detokenise_text(
         .select(key, F.posexplode(pieces).alias("place", "z"))
         .select(key, "place", "z.part", "z.token")
     )
-    joined = lookup_join(cut, opened, "token", F.struct(key, "place"), broadcast_rows=broadcast_rows)
+    joined = lookup_join(cut, opened, "token")
     piece = F.concat("part", F.coalesce("_value", "token", F.lit("")))
     whole = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", piece.alias("piece")))).alias("p"))
     rebuilt = whole.select(key, F.array_join(F.col("p.piece"), "").alias(text))

@@ -10,9 +10,8 @@ from pyspark.sql import types as T
 
 from tablescope.columns import date_column, numeric_columns, string_columns
 from tablescope.functions import fixed_values as fx
-from tablescope.functions.scalars import kurtosis, number, short_key, skewness
+from tablescope.functions.scalars import date_format, kurtosis, number, short_key, skewness
 from tablescope.operators.quantiles import exact_quantiles
-from tablescope.plans.lookup import BROADCAST_ROWS
 
 COLUMNS_PER_JOB = 25
 TEXT_COLUMNS_PER_JOB = 8
@@ -94,6 +93,10 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: boo
     )
 
 
+#: Repeated 8-byte hashes that are broadcast at most.
+BROADCAST_ROWS = 200_000
+
+
 def duplicate_rows(df: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> int:
     """Rows beyond the first of each group of equal rows (nulls equal).
 
@@ -408,11 +411,16 @@ def _named_like_date(name: str) -> bool:
 
 
 def normalise_types(df: DataFrame, keep_leading_zeros: bool = False) -> DataFrame:
-    """All-numeric string columns become numbers; columns named like dates become timestamps."""
+    """All-numeric string columns become numbers; columns named like dates become timestamps where every value is one.
+
+    What cannot be converted whole stays text, so no value is lost.
+    """
     texts = string_columns(df)
     if not texts:
         return df
     numeric: dict[str, str] = {}
+    dated = {c: date_format(df, c) for c in texts if _named_like_date(c)}
+    dated = {c: found for c, found in dated.items() if found.values and found.read == found.values}
     for names in _chunks(texts, TEXT_COLUMNS_PER_JOB):
         cols = [F.col(f"`{c}`") for c in names]
         checks = df.agg(
@@ -428,8 +436,8 @@ def normalise_types(df: DataFrame, keep_leading_zeros: bool = False) -> DataFram
     out = []
     for f in df.schema:
         col = F.col(f"`{f.name}`")
-        if f.name in texts and _named_like_date(f.name):
-            col = F.try_to_timestamp(col)
+        if f.name in dated:
+            col = dated[f.name].parsed(col)
         elif f.name in numeric:
             col = F.trim(col).cast(numeric[f.name])
         out.append(col.alias(f.name))

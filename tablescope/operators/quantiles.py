@@ -17,7 +17,6 @@ from tablescope.functions.scalars import number
 
 SKETCH_ACCURACY = 10_000
 BRACKET_ROWS = 500_000
-MAX_ROUNDS = 5
 COLUMNS_PER_JOB = 8
 
 
@@ -33,6 +32,7 @@ class Bracket:
     greatest: float
     below: int = 0
     inside: int = 0
+    sure: tuple[float, float] | None = None  # the last ends that held the rank
 
     def holds_rank(self) -> bool:
         return self.below <= math.floor(self.rank) and math.ceil(self.rank) < self.below + self.inside
@@ -98,20 +98,21 @@ def _narrow(values: DataFrame, brackets: list[Bracket], bracket_rows: int) -> No
     """Count the brackets; widen those that miss their rank, sketch again inside those that hold too many rows.
 
     Each round divides the rows inside a bracket by about 2500, down to the rows of a few heavy values, which
-    grouping collapses.
+    grouping collapses. A bracket that misses its rank goes back to the last ends that held it and stays there, or to the
+    whole column; so every bracket holds its rank in the end.
     """
     todo = list(brackets)
-    for _ in range(MAX_ROUNDS):
+    while todo:
         _count(values, todo)
-        large = [b for b in todo if b.holds_rank() and b.inside > bracket_rows and b.low < b.high]
-        missed = [b for b in todo if not b.holds_rank()]
-        for b in missed:
-            b.low, b.high = b.least, b.greatest
-        shrunk = _sketch_inside(values, large)
-        todo = missed + shrunk
-        if not todo:
-            return
-    _count(values, todo)
+        large, again = [], []
+        for b in todo:
+            if not b.holds_rank():
+                b.low, b.high = b.sure or (b.least, b.greatest)
+                again.append(b)
+            elif b.inside > bracket_rows and b.low < b.high and (b.low, b.high) != b.sure:
+                b.sure = (b.low, b.high)
+                large.append(b)
+        todo = again + _sketch_inside(values, large)
 
 
 def _count(values: DataFrame, brackets: list[Bracket]) -> None:

@@ -39,7 +39,7 @@ def analyse(
     found = {
         "outliers": fd.outliers(df, metrics, stats=stats),
         "correlations": fd.correlations(df, numeric, stats=stats),
-        "distribution": fd.distribution(df, metrics, keys, stats=stats),
+        "distribution": fd.distribution(df, metrics, stats=stats),
     }
     if date:
         found["trend"] = fd.trend(df, metrics, date, keys)

@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 16
 
-
-def fits_broadcast(lookup: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Measured, not estimated: at most `rows` rows and `size` bytes of row text. Stops reading just past the limit."""
-    width = F.octet_length(F.to_json(F.struct("*")))
-    found = lookup.limit(rows + 1).select(width.alias("w")).agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
-    return found[0] <= rows and found[1] <= size
-
-
-def lookup_join(
-    big: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    spread: Column,
-    how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
+def lookup_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join on `key`, one lookup row per key.
 
-    The lookup is broadcast only when its counted rows and bytes fit. Otherwise each key of the big
-    side is split over `salts` tasks by `spread`, and the lookup is repeated once per salt, so a key that
-    holds a third of the rows does not land in one task. Null keys match nothing and are spread the same way.
+    Adaptive execution chooses from measured shuffle sizes: it broadcasts a small lookup, and splits the partition of a key
+    that holds many rows of the big side. Null keys match nothing.
     """
-    if fits_broadcast(lookup, broadcast_rows):
-        return big.join(F.broadcast(lookup), key, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    return big.join(lookup, key, how)

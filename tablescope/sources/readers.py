@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescope.functions import fixed_values as fx
+
+#: Text columns whose types are looked for in one pass.
+COLUMNS_PER_JOB = 12
 SEARCH_SCHEMA = "query string, response struct<results: array<struct<content: string>>>"
 
 
+def file_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """`file, utf8, broken_lines` per file: whether every line is valid UTF-8, and whether a quoted field goes over a line end."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("broken_lines")
+    )
+
+
 def file_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 when every line is valid UTF-8, otherwise ISO-8859-1 (which any bytes satisfy)."""
-    valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
-    return "UTF-8" if valid in (True, None) else "ISO-8859-1"
+    return "UTF-8" if file_shapes(spark, path).agg(F.bool_and("utf8")).first()[0] in (True, None) else "ISO-8859-1"
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -27,13 +40,59 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: str | T.StructType | None = None, encoding: str | None = None, **options
+    spark: SparkSession, path: str, schema: str | T.StructType | None = None, encoding: str | None = None,
+    missing: tuple[str, ...] = fx.MISSING_WORDS, **options
 ) -> DataFrame:
-    """Delimited text with a header. Give a schema for large files: type inference reads them once more."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").options(**options)
-    reader = reader.option("encoding", encoding or file_encoding(spark, path))
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return nan_to_null(reader.csv(path))
+    """Delimited text with a header, quotes doubled inside quotes; words of `missing` are null.
+
+    Each file is read in its own encoding, and only files with line ends inside quotes as a whole (Spark can't split
+    those). Give a schema for large files: without one all values are looked at once more to find the types.
+    """
+    shapes = file_shapes(spark, path).collect()  # one row per file
+    kinds: dict[tuple[str, bool], list[str]] = {}
+    for f in shapes:
+        kinds.setdefault((encoding or ("UTF-8" if f.utf8 else "ISO-8859-1"), bool(f.broken_lines)), []).append(unquote(f.file))
+    if len(kinds) < 2:
+        kinds = {k: [path] for k in kinds or [(encoding or "UTF-8", False)]}
+    out = None
+    for (name, broken), files in sorted(kinds.items()):
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').options(**options)
+        reader = reader.option("encoding", name).option("multiLine", broken)
+        part = (reader.schema(schema) if schema else reader).csv(files)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=schema is None)
+    texts = [f.name for f in out.schema if isinstance(f.dataType, T.StringType)]
+    out = out.withColumns({c: F.when(~F.trim(F.col(f"`{c}`")).isin(*missing), F.col(f"`{c}`")) for c in texts}) if texts else out
+    return nan_to_null(out if schema else typed(out))
+
+
+def malformed_records(spark: SparkSession, path: str, schema: str | T.StructType, **options) -> int:
+    """How many records don't fit the schema, in number or type of their fields."""
+    fields = spark.createDataFrame([], schema).schema.add("_corrupt_record", T.StringType())
+    reader = spark.read.option("header", True).option("escape", '"').options(**options)
+    rows = reader.option("columnNameOfCorruptRecord", "_corrupt_record").schema(fields).csv(path)
+    # Spark parses only the columns that are asked for, so all of them are.
+    whole = F.concat_ws("", *[F.col(f"`{f.name}`").cast("string") for f in fields])
+    return rows.select(F.col("_corrupt_record").isNotNull().alias("bad"), F.length(whole).alias("n")).agg(
+        F.count_if("bad"), F.max("n")
+    ).first()[0]
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """Text columns in the narrowest type that every value fits: int, bigint, double, boolean, date, timestamp, else text."""
+    kinds = {
+        "int": fx.INTEGER_SHAPE, "bigint": fx.INTEGER_SHAPE, "double": fx.NUMBER_SHAPE, "boolean": r"^(?i:true|false)$",
+        "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]",
+    }
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    found = {}
+    for at in range(0, len(texts), COLUMNS_PER_JOB):
+        names = texts[at : at + COLUMNS_PER_JOB]
+        fits = [F.count(F.when(F.col(f"`{c}`").rlike(shape), F.trim(F.col(f"`{c}`")).try_cast(k))) for c in names for k, shape in kinds.items()]
+        counts = list(df.agg(*[F.count(F.col(f"`{c}`")) for c in names], *fits).first())
+        for i, c in enumerate(names):
+            own = counts[len(names) + i * len(kinds) :][: len(kinds)]
+            found[c] = next((k for k, n in zip(kinds, own) if n == counts[i] > 0), "string")
+    return df.select(*[(F.trim(F.col(f"`{c}`")).cast(found[c]).alias(c) if found.get(c, "string") != "string" else F.col(f"`{c}`")) for c in df.columns])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -14,8 +14,12 @@ def save_findings(findings: dict[str, DataFrame], folder: str, run_id: str) -> N
 
 def load_findings(spark: SparkSession, folder: str, name: str, run_id: str | None = None) -> DataFrame:
     """One findings table of all runs, or of one run (only its folder is read)."""
-    table = spark.read.parquet(f"{folder}/{name}")
-    return table.where(F.col("run_id") == run_id) if run_id is not None else table
+    if run_id is not None:
+        return spark.read.parquet(f"{folder}/{name}/run_id={run_id}").withColumn("run_id", F.lit(run_id))
+    # Run ids are texts: `7` and `007` are two runs.
+    found = spark.read.parquet(f"{folder}/{name}").schema
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'run_id' else f.dataType.simpleString()}" for f in found)
+    return spark.read.schema(kinds).parquet(f"{folder}/{name}")
 
 
 def save_charts(charts: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:

@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tablescope.operators.profile import column_profile, table_profile
-from tablescope.plans.scratch import shared_folder, write_scratch
 
 
 def landing_stream(
@@ -30,19 +29,21 @@ def profile_landing(
 ) -> StreamingQuery:
     """Take in all files that are new since the last call and write their rows and profiles, per batch.
 
-    A batch that runs again after a failure overwrites its own `batch=` folder, so nothing is counted twice.
+    A batch that runs again after a failure overwrites its own folder below `name=`, so nothing is counted twice; the list of
+    files that were taken in lies beside the results.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        rows = write_scratch(batch, "landing")
-        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
-        table_profile(rows).write.mode("overwrite").parquet(f"{out}/table_profile/batch={batch_id}")
-        column_profile(rows).write.mode("overwrite").parquet(f"{out}/column_profile/batch={batch_id}")
+        written = f"{out}/rows/name={name}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(written)
+        rows = spark.read.schema(batch.schema).parquet(written)
+        table_profile(rows).write.mode("overwrite").parquet(f"{out}/table_profile/name={name}/batch={batch_id}")
+        column_profile(rows).write.mode("overwrite").parquet(f"{out}/column_profile/name={name}/batch={batch_id}")
 
     return (
         landing_stream(spark, folder, schema, max_files, encoding)
         .writeStream.foreachBatch(take)
-        .option("checkpointLocation", f"{shared_folder(spark)}/landing-{name}")
+        .option("checkpointLocation", f"{out}/checkpoint/{name}")
         .trigger(availableNow=True)
         .start()
     )

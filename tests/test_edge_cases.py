@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablescope import columns as cols
 from tablescope.functions import text as tx
 
-from tablescope.operators import charts, checks, findings, groups, order, privacy, profile
+from tablescope.operators import charts, checks, findings, groups, order, privacy, profile, quantiles
 from tablescope.plans import lookup
 
 
@@ -52,7 +52,7 @@ def test_leading_zeros(spark):
 
 
 def test_date_named_column_becomes_timestamp(spark):
-    df = frame(spark, [("2024-01-01 10:00:00", "2024-01-01"), ("bad", "2024-01-02")], "seen_at string, order_date string")
+    df = frame(spark, [("2024-01-01 10:00:00", "2024-01-01"), (None, "2024-01-02")], "seen_at string, order_date string")
     out = profile.normalise_types(df)
     assert dict(out.dtypes) == {"seen_at": "timestamp", "order_date": "string"}
     assert [r["seen_at"] is None for r in out.collect()] == [False, True]
@@ -66,7 +66,7 @@ def test_constant_metric(spark):
     assert findings.correlations(df, ["c", "v"]).count() == 0
     matrix = {(r["col1"], r["col2"]): r["corr"] for r in findings.correlation_matrix(df, ["c", "v"]).collect()}
     assert matrix[("c", "c")] is None and matrix[("v", "v")] == 1.0 and matrix[("v", "c")] is None
-    d = findings.distribution(df, ["c"], ["k"]).first()
+    d = findings.distribution(df, ["c"]).first()
     assert d["n"] == 3 and d["distribution"] == "normal"
     h = charts.histogram(df, "c").collect()
     assert len(h) == 1 and h[0]["n"] == 3
@@ -81,7 +81,7 @@ def test_tiny_tables(spark, n):
     assert row["kurtosis"] is None
     findings.outliers(df, ["v"]).collect()
     assert findings.trend(df, ["v"], "date", ["k"]).count() == 1
-    d = findings.distribution(df, ["v"], ["k"]).first()
+    d = findings.distribution(df, ["v"]).first()
     assert (d["distribution"] is None) == (n < 3)
 
 
@@ -176,7 +176,7 @@ def test_impute(spark):
 def test_column_choices(spark):
     df = frame(spark, [], "id int, order_date string, amount double, Year_no int, area string, flag boolean, d decimal(9,2)")
     assert cols.date_column(df) == "order_date"
-    assert cols.candidate_metrics(df) == ["id", "amount"]
+    assert cols.candidate_metrics(df) == ["id", "amount", "d"]
     assert cols.category_columns(df) == ["area"]
     assert cols.numeric_columns(df) == ["id", "amount", "Year_no", "d"]
     with pytest.raises(ValueError, match="not in table"):
@@ -226,10 +226,9 @@ def test_invented_numbers_rules(spark):
         (7, "x 31 y 32 z 33 u 34 v 35 w 36 q"),
     ]
     df = frame(spark, texts, "k int, t string")
-    for limit in (100, 0):  # broadcast, and the salted join
-        got = as_dict(tx.invented_numbers(df, "k", "t", truth, broadcast_rows=limit), "k")
-        assert {k: r["invention_count"] for k, r in got.items()} == {1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1, 7: 6}
-        assert not got[7]["pass"] and got[1]["pass"]
+    got = as_dict(tx.invented_numbers(df, "k", "t", truth), "k")
+    assert {k: r["invention_count"] for k, r in got.items()} == {1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1, 7: 6}
+    assert not got[7]["pass"] and got[1]["pass"]
 
 
 def test_clean_text(spark):
@@ -300,9 +299,8 @@ def test_chart_check(spark):
     df = frame(spark, specs, "run_id int, pos int, chart_type string, x string, y string, z string, color string")
     got = as_dict(checks.chart_check(df), "run_id")
     assert [got[i]["violation_count"] for i in (1, 2, 3)] == [4, 0, 1]
-    for limit in (100, 0):
-        repeated = checks.repeated_pairs(df, "pos", broadcast_rows=limit).where("repeated").collect()
-        assert sorted((r["run_id"], r["pos"]) for r in repeated) == [(1, 1), (3, 1)]
+    repeated = checks.repeated_pairs(df, "pos").where("repeated").collect()
+    assert sorted((r["run_id"], r["pos"]) for r in repeated) == [(1, 1), (3, 1)]
 
 
 def test_causal_check(spark):
@@ -336,10 +334,9 @@ def test_tokens(spark):
     tokens = privacy.token_map(people, ["name"], "s")
     assert tokens.count() == 2 and "Ann" not in str(tokens.collect())
     assert tokens.collect() == privacy.token_map(people, ["name"], "s").collect()
-    for limit in (100, 0):
-        back = privacy.detokenise(hidden, "name", tokens, "s", ["k"], broadcast_rows=limit)
-        assert {r["k"]: r["name"] for r in back.collect()} == {1: "Ann", 2: "Bob", 3: None, 4: "Ann"}
-    wrong = privacy.detokenise(hidden, "name", tokens, "other", ["k"])
+    back = privacy.detokenise(hidden, "name", tokens, "s")
+    assert {r["k"]: r["name"] for r in back.collect()} == {1: "Ann", 2: "Bob", 3: None, 4: "Ann"}
+    wrong = privacy.detokenise(hidden, "name", tokens, "other")
     assert {r["k"]: r["name"] for r in wrong.collect()} == values
     assert privacy.tokenise(people, [], "s").collect() == people.collect()
     assert privacy.token_map(people, [], "s").count() == 0
@@ -351,9 +348,8 @@ def test_tokens_in_text(spark):
     a, b = (r["t"] for r in privacy.tokenise(people, ["name"], "s").withColumnRenamed("name", "t").collect())
     texts = [(1, f"{a}{b} and {a}"), (2, "none"), (3, f"x {a}"), (4, "ID-0000000000000000 stays"), (5, None), (6, "")]
     df = frame(spark, texts, "k int, t string")
-    for limit in (100, 0):
-        got = {r["k"]: r["t"] for r in privacy.detokenise_text(df, "k", "t", tokens, "s", broadcast_rows=limit).collect()}
-        assert got == {1: "AnnBob and Ann", 2: "none", 3: "x Ann", 4: "ID-0000000000000000 stays", 5: None, 6: ""}
+    got = {r["k"]: r["t"] for r in privacy.detokenise_text(df, "k", "t", tokens, "s").collect()}
+    assert got == {1: "AnnBob and Ann", 2: "none", 3: "x Ann", 4: "ID-0000000000000000 stays", 5: None, 6: ""}
 
 
 def test_leaks(spark):
@@ -392,31 +388,63 @@ def test_kpi_text_and_limits(spark):
     assert rows[0]["value_str"] == "1.00K" and math.isclose(rows[0]["delta"], 0.2) and rows[1]["is_good"]
 
 
-def test_pivot_needs_few_columns(spark, monkeypatch):
+def test_pivot_looks_up_its_columns(spark):
     df = frame(spark, [("a", "x", 1.0), ("a", "y", None), ("b", "x", 3.0)], "r string, c string, v double")
-    assert {r["x"]: r[1] for r in charts.pivot_heatmap(df, "r", "c", "v", ["x"]).toDF("x", "v").collect()} == {"a": 1.0, "b": 3.0}
-    monkeypatch.setattr(charts, "MAX_PIVOT_COLUMNS", 0)
-    with pytest.raises(ValueError, match="pivot_cells"):
-        charts.pivot_heatmap(df, "r", "c", "v")
+    for columns in (["x"], None):
+        assert {r["x"]: r[1] for r in charts.pivot_heatmap(df, "r", "c", "v", columns).toDF("x", "v").collect()} == {"a": 1.0, "b": 3.0}
 
 
-def test_broadcast_is_measured_in_rows_and_bytes(spark):
-    few = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
-    assert lookup.fits_broadcast(few) and lookup.fits_broadcast(few, rows=100, size=200_000)
-    assert not lookup.fits_broadcast(few, rows=99) and not lookup.fits_broadcast(few, size=50_000)
-    assert lookup.fits_broadcast(few.where("id < 0"), rows=0)
+def test_nothing_is_cut_without_a_limit(spark):
+    names = [f"amount_{i}" for i in range(35)]
+    df = spark.range(6).select(F.col("id").alias("k"), *[(F.col("id") * i).cast("double").alias(n) for i, n in enumerate(names)])
+    assert cols.candidate_metrics(df) == ["k", *names]
+    assert len(charts.kpis(df, names, ["k"]).collect()) == 35 and len(charts.kpis(df, names, ["k"], limit=2).collect()) == 2
+    assert findings.distribution(df, names).count() == 35
 
 
-def test_salted_lookup_spreads_a_hot_key(spark):
+def test_decimals_are_metrics_and_no_metric_is_no_row(spark):
+    df = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-01-02")], "s string, date string").withColumn("price", F.lit("1.50").cast("decimal(18,2)"))
+    assert cols.candidate_metrics(df) == ["price"]
+    none = df.drop("price")
+    assert findings.metric_stats(none) == {} and findings.outliers(none).count() == 0
+    assert findings.trend(none, None, "date", ["s"]).count() == 0 and findings.period_growth(none, None, "date").count() == 0
+    with pytest.raises(ValueError, match="keys"):
+        findings.trend(df, ["price"], "date")
+
+
+def test_quantiles_survive_a_wrong_sketch(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    wrong = lambda c, probs: F.array(*[F.lit(e) for _ in probs for e in (800.0, 810.0)])
+    monkeypatch.setattr(quantiles, "sketch", wrong)
+    assert quantiles.exact_quantiles(df, ["v"], [0.25, 0.5], bracket_rows=10) == {"v": [249.75, 499.5]}
+
+
+def test_lookup_of_a_hot_key(spark):
     big = spark.range(3000).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("key")
     )
     small = spark.createDataFrame([("hot", 1), ("1", 2)], "key string, v int")
-    joined = lookup.lookup_join(big, small, "key", F.col("id"), broadcast_rows=0)
-    rows = {r["id"]: r["v"] for r in joined.collect()}
+    rows = {r["id"]: r["v"] for r in lookup.lookup_join(big, small, "key").collect()}
     assert len(rows) == 3000 and rows[0] == 1 and rows[1] == 2 and rows[2] is None and rows[4] is None
-    salts = big.where("key = 'hot'").groupBy(F.pmod(F.xxhash64("id"), F.lit(lookup.SALTS))).count().collect()
-    assert len(salts) == lookup.SALTS and max(r["count"] for r in salts) < 120
+
+
+def test_json_in_hostile_texts(spark):
+    texts = ["[" * 200_000, "[ " * 5000 + '{"a": 1}', "{" * 50 + '"a"', 'x [1, [2, {"b": [3]}]] y', "[[[1,2]", "no brackets"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["j"] for r in df.select("i", tx.json_payload(F.col("t")).alias("j")).collect()}
+    assert got == {0: None, 1: '{"a": 1}', 2: None, 3: '[1, [2, {"b": [3]}]]', 4: "[1,2]", 5: None}
+
+
+def test_keys_become_text_at_every_depth(spark):
+    df = spark.range(1).selectExpr("map(1, array(map(2, struct(map(true, 3) as m, 4 as n)))) AS c")
+    kind = df.select(tx.text_keys(F.col("c"), df.schema["c"].dataType).alias("c")).schema["c"].dataType
+    assert kind.simpleString() == "map<string,array<map<string,struct<m:map<string,int>,n:int>>>>"
+
+
+def test_products_are_no_personal_data(spark):
+    df = spark.createDataFrame([("SKU-12345", "bolt", "Ann B", "Customer#00001", "widget")], "code string, p_name string, full_name string, buyer string, product_name string")
+    got = {r["column"]: r["is_sensitive"] for r in privacy.sensitive_columns(df).collect()}
+    assert got == {"code": False, "p_name": False, "full_name": True, "buyer": True, "product_name": False}
 
 
 def test_long_texts_are_counted_by_digest(spark):
@@ -433,3 +461,21 @@ def test_many_metrics_are_grouped_in_several_jobs(spark):
     got = {(r["metric"], r["key"]): r["total"] for r in stats.collect()}
     assert len(got) == 38 and got[("m19", "0")] == 19.0 * 600
     assert len(findings.metric_stats(df)) == 19 and profile.numeric_summary(df).count() == 19
+
+
+def test_types_change_only_where_every_value_fits(spark):
+    rows = [("12", "5 days", "01/31/2024", "8:30", "2024-01-01"), ("7", "2024-01-01", "02/01/2024", "9:10", None)]
+    df = frame(spark, rows, "lead_time string, updated_at string, created_at string, open_time string, date string")
+    out = profile.normalise_types(df)
+    assert dict(out.dtypes) == {"lead_time": "bigint", "updated_at": "string", "created_at": "timestamp", "open_time": "string", "date": "timestamp"}
+    got = out.orderBy("lead_time").collect()
+    assert [r.updated_at for r in got] == ["2024-01-01", "5 days"] and got[1].created_at.month == 1 and got[0].date is None
+
+
+def test_dates_are_read_in_their_own_format(spark):
+    iso = frame(spark, [(i, f"2024-{1 + i // 28:02d}-{1 + i % 28:02d}", float(i * i)) for i in range(60)], "k int, date string, v double")
+    other = iso.withColumn("date", F.date_format(F.to_date("date"), "MM/dd/yyyy"))
+    for of in (lambda d: findings.trend(d, ["v"], "date", ["k"]), lambda d: findings.period_growth(d, ["v"], "date"), lambda d: charts.kpis(d, ["v"], ["k"], "date")):
+        assert sorted(map(str, of(iso).collect())) == sorted(map(str, of(other).collect()))
+    with pytest.raises(ValueError, match="date"):
+        findings.period_growth(iso.withColumn("date", F.lit("soon")), ["v"], "date")

@@ -24,6 +24,23 @@ def test_utf8_and_latin1_files(spark, tmp_path):
     assert dict(typed.dtypes) == {"a": "bigint", "b": "string"}
 
 
+def test_quotes_line_ends_and_missing_words(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b,c\n1,"x ""quoted"", y",2.5\nNA,"two\nlines",null\n3,plain,7\n')
+    df = readers.read_csv(spark, str(tmp_path / "q.csv"))
+    assert dict(df.dtypes) == {"a": "int", "b": "string", "c": "double"}
+    assert [tuple(r) for r in df.collect()] == [(1, 'x "quoted", y', 2.5), (None, "two\nlines", None), (3, "plain", 7.0)]
+    (tmp_path / "bad.csv").write_text("a,b\n1,x\n2,y,z\nq,w\n")
+    assert readers.malformed_records(spark, str(tmp_path / "bad.csv"), "a int, b string") == 2
+
+
+def test_a_folder_of_both_encodings(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "u 1.csv").write_bytes("a,b\n1,é\n".encode())
+    (tmp_path / "m" / "l.csv").write_bytes("a,b\n2,ü\n".encode("latin-1"))
+    got = {r.a: r.b for r in readers.read_csv(spark, str(tmp_path / "m")).collect()}
+    assert got == {1: "é", 2: "ü"}
+
+
 def test_parquet_nan_is_null(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.createDataFrame([(1.0,), (float("nan"),)], "v double").write.parquet(path)
@@ -49,6 +66,10 @@ def test_findings_are_kept_per_run(spark, tmp_path):
     for run in ("r1", "r2", "r2"):
         stores.save_findings({"concentration": found["concentration"], "segments": found["segments"]}, folder, run)
     assert stores.load_findings(spark, folder, "concentration").count() == 2
+    for run in ("7", "007"):
+        stores.save_findings({"ids": spark.range(len(run))}, folder, run)
+    assert {r["run_id"] for r in stores.load_findings(spark, folder, "ids").collect()} == {"7", "007"}
+    assert stores.load_findings(spark, folder, "ids", "7").count() == 1
     one = stores.load_findings(spark, folder, "concentration", "r2").first()
     assert one["top_contributor"] == "b" and one["contribution_pct"] == 90.0
     whole = summary(found)
