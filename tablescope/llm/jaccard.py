@@ -23,7 +23,6 @@ id is left out of a component's smallest id unless no other is there. Empty tabl
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.components import components
+from tablescope.llm.frames import release
 from tablescope.llm.words import SPACED, hashed, mixed, raw, row_windows, slices, split
 from tablescope.plans.scratch import write_scratch
 
@@ -389,12 +389,6 @@ def _linked(percent: int):
     return run
 
 
-def _released(spark) -> None:
-    """Lets Spark drop the shuffle files of frames that nobody refers to any more, before the next large shuffle."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _node(member: str):
     return F.col(member).bitwiseAND(F.lit(NODE))
 
@@ -419,7 +413,7 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
     sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "member")
     stars = write_scratch(sorted_rows.mapInArrow(_stars, "sig long, pivot long, member long, salted boolean"), "stars")
     del rows, sorted_rows
-    _released(spark)
+    release(spark)
     whole, split_up = stars.where("NOT salted"), stars.where("salted")
     tops = split_up.groupBy("sig").agg(F.min("pivot").alias("top")).where(F.col("top") < INDEX_ONLY)
     split_up = split_up.join(tops, "sig")
@@ -446,10 +440,10 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
         left = needed.select(F.col("node").alias("a"), F.col("elements").alias("left"))
         right = needed.select(F.col("node").alias("b"), F.col("elements").alias("right"))
         out = write_scratch(left_over.join(left, "a").join(right, "b").mapInArrow(_linked(percent), "a long, b long"), "links")
-        _released(spark)
+        release(spark)
         return out
 
-    _released(spark)
+    release(spark)
 
     def of_node(rows: DataFrame, member: str, name: str) -> DataFrame:
         own = found.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
