@@ -579,16 +579,19 @@ ORACLES["chart_check"] = CHART_CHECK
 ORACLES["repeated_pairs"] = f"""SELECT run_id, place, x, y, row_number() OVER (PARTITION BY run_id, x, y ORDER BY place) > 1
   AS repeated FROM (SELECT run_id, concat_ws('-', key1, key2, key3) AS place, x, y FROM ({CHART_SPECS}))"""
 ORACLES["causal_check"] = CAUSAL_CHECK
-ORACLES["anonymisation_check"] = f"""SELECT CAST(1 AS INTEGER) AS run_id, CAST(sum(CAST(missing AS INTEGER)
-  + CAST(leaked_values > 0 AS INTEGER) + CAST(untokenised_values > 0 AS INTEGER) + CAST(collisions > 0 AS INTEGER))
-  AS BIGINT) AS issue_count, false AS pass FROM ({ORACLES["leak_check"]})"""
+LEAK_ISSUES = """CAST(missing AS INTEGER) + CAST(leaked_values > 0 AS INTEGER) + CAST(untokenised_values > 0 AS INTEGER)
+  + CAST(collisions > 0 AS INTEGER)"""
+ORACLES["anonymisation_check"] = f"""SELECT run_id, CAST(sum({LEAK_ISSUES}) AS BIGINT) AS issue_count, sum({LEAK_ISSUES}) = 0 AS pass
+  FROM (SELECT *, CAST(1 AS INTEGER) AS run_id FROM ({ORACLES["leak_check"]})
+  UNION ALL SELECT *, CAST(2 AS INTEGER) FROM ({ORACLES["leak_check"]}) WHERE "column" = 'c_name') GROUP BY run_id"""
 ORACLES["scorecard"] = f"""WITH h AS ({ORACLES["section_check"]}), f AS ({ORACLES["invented_numbers"]}), n AS (
   SELECT run_id, 'domain' AS node, {PASSED} AS passed, 5 AS total FROM ({DOMAIN_CHECK})
   UNION ALL SELECT doc_id, 'report', CAST(has_all_sections AS INTEGER) + CAST(actions_under_5 AS INTEGER)
   + CAST(length_ok AS INTEGER), 3 FROM h
   UNION ALL SELECT doc_id, 'faithfulness', CAST(pass AS INTEGER), 1 FROM f
   UNION ALL SELECT run_id, 'charts', CAST(pass AS INTEGER), 1 FROM ({CHART_CHECK})
-  UNION ALL SELECT run_id, 'causal', CAST(pass AS INTEGER), 1 FROM ({CAUSAL_CHECK})),
+  UNION ALL SELECT run_id, 'causal', CAST(pass AS INTEGER), 1 FROM ({CAUSAL_CHECK})
+  UNION ALL SELECT run_id, 'anonymisation', CAST(pass AS INTEGER), 1 FROM ({ORACLES["anonymisation_check"]})),
   b AS (SELECT run_id, node, passed, total FROM n
   UNION ALL SELECT run_id, 'overall', sum(passed), sum(total) FROM n GROUP BY run_id)
   SELECT run_id, node, CAST(passed AS BIGINT) AS passed, CAST(total AS BIGINT) AS total,

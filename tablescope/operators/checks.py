@@ -6,12 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.functions import fixed_values as fx
 from tablescope.functions.text import percent_sum, section_checks
 from tablescope.plans.lookup import lookup_join
 
-NODES = ["domain", "report", "charts", "faithfulness", "causal", "anonymisation"]
 
 
 def domain_check(records: DataFrame, run: str = "run_id") -> DataFrame:
@@ -68,16 +68,18 @@ def report_check(reports: DataFrame, text: str = "report", run: str = "run_id")
 def causal_check(records: DataFrame, run: str = "run_id") -> DataFrame:
     """`run, connection_count, issue_count, pass` of records with a `connections` array.
 
-    Each connection has `issue, internal_evidence, causal_mechanism, verdict, variance_decomposition` (text).
+    Each connection has `issue, internal_evidence, causal_mechanism, verdict, variance_decomposition` (text, struct or map).
     The array is checked in place, per row.
     """
     low, high = fx.PERCENT_SUM_RANGE
+    as_text = isinstance(records.schema["connections"].dataType.elementType["variance_decomposition"].dataType, T.StringType)
 
     def blank(c: Column) -> Column:
         return F.coalesce(c == "", F.lit(True))
 
     def issues(c: Column) -> Column:
-        total = F.coalesce(percent_sum(c["variance_decomposition"]), F.lit(0))
+        parts = c["variance_decomposition"] if as_text else F.to_json(c["variance_decomposition"])
+        total = F.coalesce(percent_sum(parts), F.lit(0))
         return (
             blank(c["internal_evidence"]).cast("int")
             + blank(c["causal_mechanism"]).cast("int")
@@ -98,18 +100,21 @@ def causal_check(records: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def node_scores(checks: DataFrame, node: str, run: str = "run_id") -> DataFrame:
-    """`run, node, passed, total`: the boolean columns of a check table, per run."""
+    """`run, node, passed, total` per row of a check table: its boolean columns. No shuffle; `scorecard` adds them up."""
     flags = [f.name for f in checks.schema if f.dataType.typeName() == "boolean"]
     passed = reduce(lambda a, b: a + b, [F.coalesce(F.col(f).cast("int"), F.lit(0)) for f in flags], F.lit(0))
-    return checks.groupBy(run).agg(
-        F.sum(passed).alias("passed"), F.sum(F.lit(len(flags))).alias("total")
-    ).select(run, F.lit(node).alias("node"), "passed", "total")
+    return checks.select(run, F.lit(node).alias("node"), passed.alias("passed"), F.lit(len(flags)).alias("total"))
 
 
 def scorecard(nodes: list[DataFrame], run: str = "run_id") -> DataFrame:
-    """`run, node, passed, total, node_score` with one extra `overall` row per run; scores are rounded percents."""
+    """`run, node, passed, total, node_score` with one extra `overall` row per run; scores are rounded percents.
+
+    Nodes and overall come from one shuffle over both groupings.
+    """
     rows = reduce(DataFrame.unionByName, nodes)
-    overall = rows.groupBy(run).agg(F.sum("passed").alias("passed"), F.sum("total").alias("total"))
-    both = rows.unionByName(overall.select(run, F.lit("overall").alias("node"), "passed", "total"))
+    both = rows.groupingSets([[F.col(run), F.col("node")], [F.col(run)]], F.col(run), F.col("node")).agg(
+        F.sum("passed").alias("passed"), F.sum("total").alias("total"), F.grouping("node").alias("_all")
+    )
     score = F.coalesce(F.round(F.try_divide(F.col("passed"), F.col("total")) * 100), F.lit(0.0))
-    return both.withColumn("node_score", score.cast("int"))
+    named = F.when(F.col("_all") == 1, "overall").otherwise(F.col("node"))
+    return both.select(run, named.alias("node"), "passed", "total", score.cast("int").alias("node_score"))

@@ -186,13 +186,13 @@ def leak_check(original: DataFrame, tokenised: DataFrame, columns: list[str]) ->
     return checked.withColumn("pass", clean & (F.col("collisions") == 0))
 
 
-def anonymisation_check(leaks: DataFrame, run_id) -> DataFrame:
-    """`run_id, issue_count, pass` from the leak check of one run: an issue per failing test of a column."""
+def anonymisation_check(leaks: DataFrame, run: str = "run_id") -> DataFrame:
+    """`run, issue_count, pass` from leak checks of any runs: an issue per failing test of a column."""
     issues = (
         F.col("missing").cast("int")
         + (F.col("leaked_values") > 0).cast("int")
         + (F.col("untokenised_values") > 0).cast("int")
         + (F.col("collisions") > 0).cast("int")
     )
-    total = leaks.agg(F.coalesce(F.sum(issues), F.lit(0)).alias("issue_count"))
-    return total.select(F.lit(run_id).alias("run_id"), "issue_count", (F.col("issue_count") == 0).alias("pass"))
+    total = leaks.groupBy(run).agg(F.sum(issues).alias("issue_count"))
+    return total.select(run, "issue_count", (F.col("issue_count") == 0).alias("pass"))

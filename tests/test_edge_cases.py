@@ -479,3 +479,13 @@ def test_dates_are_read_in_their_own_format(spark):
         assert sorted(map(str, of(iso).collect())) == sorted(map(str, of(other).collect()))
     with pytest.raises(ValueError, match="date"):
         findings.period_growth(iso.withColumn("date", F.lit("soon")), ["v"], "date")
+
+
+def test_causal_records_may_hold_a_struct(spark):
+    kind = (
+        "run_id int, connections array<struct<issue:string,internal_evidence:string,causal_mechanism:string,"
+        "verdict:string,variance_decomposition:struct<primary:string,secondary:string>>>"
+    )
+    rows = [(1, [("i", "e", "m", "supported", ("60% x", "35%"))]), (2, [("i", "e", "m", "supported", ("10%", None))])]
+    got = as_dict(checks.causal_check(frame(spark, rows, kind)), "run_id")
+    assert got[1]["pass"] and not got[2]["pass"]
