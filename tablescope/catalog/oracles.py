@@ -613,3 +613,8 @@ ORACLES["decimal_findings"] = """WITH e AS (SELECT CAST(CAST(value AS DECIMAL(18
   s AS (SELECT avg(v) AS m, stddev_pop(v) AS sd FROM e)
   SELECT 'value' AS column, count(*) FILTER (abs((v - m) / sd) > 3) AS counts, round(max(abs((v - m) / sd)), 3) AS max_zscore
   FROM e, s"""
+WIDE = [f"mix_{i}" for i in range(12)]
+WIDE_LINES = "SELECT " + ", ".join(
+    f"(l_quantity * {i + 1} + l_extendedprice / {10 * (i + 1)}) / {i + 1} - l_tax * {i} * {i} AS {c}" for i, c in enumerate(WIDE)
+) + " FROM lineitem"
+ORACLES["correlation_wide"] = f"WITH t AS ({WIDE_LINES}) {strong_pairs(pairs_sql('t', WIDE))}"

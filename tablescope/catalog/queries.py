@@ -602,3 +602,12 @@ def wide_metrics(spark, d):
 def decimal_findings(spark, d):
     rows = table(spark, d, "events").select(F.col("value").cast("decimal(18,4)").alias("value"))
     return findings.outliers(rows)
+
+
+WIDE = [f"mix_{i}" for i in range(12)]
+
+
+@query
+def correlation_wide(spark, d):
+    mixed = [((F.col("l_quantity") * (i + 1) + F.col("l_extendedprice") / (10 * (i + 1))) / (i + 1) - F.col("l_tax") * i * i).alias(c) for i, c in enumerate(WIDE)]
+    return findings.correlations(table(spark, d, "lineitem").select(*mixed), WIDE)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -257,21 +259,45 @@ def _pair_values(df: DataFrame, columns: list[str], stats: dict[str, MetricStats
         a_both, b_both = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
         return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a_both) * F.stddev_pop(b_both)), 6
 
-    jobs, room = [[]], PAIR_SUMS_PER_JOB
-    for i, j in combinations(range(len(columns)), 2):
-        corr, size = pair(i, j)
-        if jobs[-1] and size > room:
-            jobs.append([])
-            room = PAIR_SUMS_PER_JOB
-        room -= size
-        jobs[-1].append(
-            F.struct(F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"), corr.alias("corr"))
-        )
-    parts = []
-    for rows in jobs:
-        totals = values.agg(*[r.alias(f"r{k}") for k, r in enumerate(rows)])
-        parts.append(totals.select(F.inline(F.array(*[f"r{k}" for k in range(len(rows))]))))
-    return reduce(DataFrame.unionByName, parts)
+    found = [(i, j, *pair(i, j)) for i, j in combinations(range(len(columns)), 2)]
+    if sum(size for *_, size in found) > PAIR_SUMS_PER_JOB:
+        return _gram_values(values, columns)
+    rows = [F.struct(F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"), c.alias("corr")) for i, j, c, _ in found]
+    totals = values.agg(*[r.alias(f"r{k}") for k, r in enumerate(rows)])
+    return totals.select(F.inline(F.array(*[f"r{k}" for k in range(len(rows))])))
+
+
+def _gram_values(values: DataFrame, columns: list[str]) -> DataFrame:
+    """`col1, col2, corr` of many standardised columns in one scan.
+
+    Each task multiplies its blocks of rows into sums for all pairs at once, over rows where both sides are there, and hands
+    on one row per pair.
+    """
+    width = len(columns)
+    first, second = np.triu_indices(width, 1)
+
+    def run(batches):
+        sums = np.zeros((6, width, width))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(width)])
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(np.float64)
+            squares = x * x
+            for k, (a, b) in enumerate(((m, m), (x, m), (m, x), (squares, m), (m, squares), (x, x))):
+                sums[k] += a.T @ b
+        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), *(pa.array(s[first, second]) for s in sums)], names=names)
+
+    names = ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"]
+    blocks = values.mapInArrow(run, "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double")
+    total = blocks.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    spread = lambda square, plain: F.col("n") * F.col(square) - F.col(plain) * F.col(plain)
+    least = 1e-12 * F.col("n") * F.col("n")
+    corr = F.when(
+        (spread("sxx", "sx") > least) & (spread("syy", "sy") > least),
+        (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread("sxx", "sx") * spread("syy", "sy")),
+    )
+    name = lambda at: F.get(F.array(*[F.lit(c) for c in columns]), F.col(at).cast("int"))
+    return total.select(name("i").alias("col1"), name("j").alias("col2"), corr.alias("corr"))
 
 
 def correlations(

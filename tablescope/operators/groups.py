@@ -100,19 +100,19 @@ def _extremes(stats: DataFrame) -> DataFrame:
     )
 
 
-def directions(stats: DataFrame, direction: dict[str, str] | None, default: str) -> Column:
+def directions(direction: dict[str, str] | None, default: str) -> Column:
     """Direction of each row's metric; the map is the caller's parameter, so it is small."""
-    c = F.lit(default)
+    c = None
     for metric, way in (direction or {}).items():
-        c = F.when(F.col("metric") == metric, F.lit(way)).otherwise(c)
-    return c
+        c = (F.when if c is None else c.when)(F.col("metric") == metric, F.lit(way))
+    return F.lit(default) if c is None else c.otherwise(F.lit(default))
 
 
 def performers(
     stats: DataFrame, direction: dict[str, str] | None = None, default_direction: str = "lower_is_better"
 ) -> DataFrame:
     """Best and worst category value by mean, read by the metric's direction."""
-    lower = directions(stats, direction, default_direction) == "lower_is_better"
+    lower = directions(direction, default_direction) == "lower_is_better"
     e = _extremes(stats)
     return e.select(
         "category",

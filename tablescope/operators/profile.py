@@ -260,10 +260,10 @@ def column_roles(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
 
 def _by_column(choices: dict[str, Column]) -> Column:
     """The expression that belongs to the row's `column`; the choices come from the schema."""
-    out = F.lit(None)
+    out = None  # one flat CASE: a nested one has a level per column
     for name, value in choices.items():
-        out = F.when(F.col("column") == name, value).otherwise(out)
-    return out
+        out = (F.when if out is None else out.when)(F.col("column") == name, value)
+    return F.lit(None) if out is None else out
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:

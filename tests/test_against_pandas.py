@@ -111,6 +111,21 @@ def test_correlations(data, table):
     assert all(pairs[(i, j)] == pytest.approx(expected.loc[i, j], abs=6e-5) for i in "abc" for j in "abc")
 
 
+def test_sixty_columns_with_gaps_correlate_in_one_scan(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame(rng.normal(size=(300, 60)) @ rng.normal(size=(60, 60)), columns=[f"c{i:02d}" for i in range(60)])
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.1)
+    pdf["c07"] = 4.0
+    got = {(r["col1"], r["col2"]): r["corr"] for r in findings.correlation_matrix(spark.createDataFrame(pdf)).collect()}
+    want = pdf.corr()
+    for a in pdf.columns:
+        for b in pdf.columns:
+            if "c07" in (a, b):
+                assert got[a, b] is None
+            else:
+                assert got[a, b] == pytest.approx(want.loc[a, b], abs=6e-5)
+
+
 def test_many_columns_correlate_in_several_jobs(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame(rng.normal(size=(200, 14)), columns=[f"c{i:02d}" for i in range(14)])
