@@ -43,7 +43,9 @@ FILTER_WORDS = 1 << 17
 #: Of so many segments one has its one-deletion variants indexed.
 RESERVE = 32
 #: Signatures that a task hands on at once, and bytes of sets that it compares at once.
-HANDED, COMPARED = 200_000, 8 << 20
+HANDED, COMPARED = 100_000, 4 << 20
+#: Text that is cut into sets at once.
+PART_BYTES = 2 << 20
 
 ELEMENT = np.uint64((1 << 48) - 1)
 #: A member of a bucket is a node and its part: prober and indexed (no bit), prober only, indexed only. Probers sort first.
@@ -198,7 +200,7 @@ def _first_pass(width: int, percent: int, names: list[str]):
         cells, kind = np.zeros(CELLS, np.int64), None
         for batch in batches:
             kind = batch.column("doc").type
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 sets = Sets(part.column("text"), width)
                 node, other = sets.names()
                 rows = np.flatnonzero(sets.sizes)
@@ -222,7 +224,7 @@ def _signature_pass(width: int, percent: int, shared, crowded: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 sets = Sets(part.column("text"), width)
                 nodes, _ = sets.names()
                 rows = np.sort(np.unique(nodes, return_index=True)[1])
@@ -279,7 +281,7 @@ def _set_pass(width: int, shared):
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 sets = Sets(part.column("text"), width)
                 nodes, _ = sets.names()
                 rows = np.sort(np.unique(nodes, return_index=True)[1])
