@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.llm.frames import smallest_hashes
 from tablescope.llm.words import SPACED, coded, mixed, raw, slices, split, windows
 from tablescope.plans.scratch import write_scratch
 
@@ -195,7 +196,7 @@ def judge(
     known = labels.select(F.col("doc_id").alias("_doc"), F.col("quality").alias("_quality")).where("_doc IS NOT NULL AND _quality IS NOT NULL")
     passing = counted.where(~F.col("base_failed"))
     labelled = write_scratch(passing.join(known, F.col("doc_id") == F.col("_doc")).drop("_doc"), "labelled")
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "_quality").limit(fit_rows).toPandas()  # bounded by fit_rows
+    sample = smallest_hashes(labelled, ["doc_id", "_quality"], fit_rows).toPandas()  # bounded by fit_rows
     rows, good = features({c: sample[c].to_numpy() for c in COUNTS}), (sample["_quality"] == 1).to_numpy(bool)
     if not good.any() or good.all():
         return counted.withColumn("score", F.lit(0.0)).withColumn("kept", ~F.col("base_failed"))

@@ -18,6 +18,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescope.llm.frames import smallest_hashes
+from tablescope.plans.scratch import write_scratch
+
 #: Labelled findings that the forest is fitted on, at most; those with the smallest hashes.
 FIT_ROWS = 20_000
 TREES, DEPTH = 24, 6
@@ -168,9 +171,11 @@ class Forest:
 
 def train(findings: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 11) -> Forest:
     """A forest of findings (text, label): the first candidate of each text has the label."""
-    rows = findings_of(findings.where("text IS NOT NULL AND label IS NOT NULL").select("text", F.col("text").alias("_whole"), "label"))
+    # Written once: the trainer reads its rows several times, and finding them means a pass over the corpus.
+    known = write_scratch(findings.where("text IS NOT NULL AND label IS NOT NULL").select("text", "label"), "findings")
+    rows = findings_of(known.select("text", F.col("text").alias("_whole"), "label"))
     # At most fit_rows rows, in one order, so that the same findings give the same trees.
-    rows = rows.where(F.col("label").isin(0, 1)).orderBy(F.xxhash64("_whole"), "_whole", "candidate", "label").limit(fit_rows)
+    rows = write_scratch(smallest_hashes(rows.where(F.col("label").isin(0, 1)), ["_whole", "candidate", "label"], fit_rows), "fitted")
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return Forest([])
