@@ -14,7 +14,7 @@ case) and buy one-deletion neighbourhoods where that is cheaper.
 
 Rows that share a signature form a bucket. Each bucket is streamed in sorted order and every member is paired with its first
 prober only, so pairs grow with the rows; crowded buckets are salted and their first probers paired again. Histograms of
-the sets rule out most pairs that can't link (their difference is a lower bound); the others are verified on the whole sets, unless their sets are in one component by then. Where a bucket still spans several components, further probers (four times as many in each round) are
+the sets rule out most pairs that can't link (their difference is a lower bound); the others are verified on the whole sets, unless their sets are in one component by then. Where a bucket still spans several components, further probers (twice as many in each round) are
 paired with the members of other components, until every prober of such a bucket has met all others: no link is lost.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows and equal texts share a component; a null
@@ -43,9 +43,9 @@ FILTER_WORDS = 1 << 17
 #: Of so many segments one has its one-deletion variants indexed.
 RESERVE = 32
 #: Signatures that a task hands on at once, and bytes of sets that it compares at once.
-HANDED, COMPARED = 100_000, 4 << 20
+HANDED, COMPARED = 100_000, 2 << 20
 #: Text that is cut into sets at once.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 ELEMENT = np.uint64((1 << 48) - 1)
 #: A member of a bucket is a node and its part: prober and indexed (no bit), prober only, indexed only. Probers sort first.
@@ -477,7 +477,7 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
         if not more.isEmpty():
             edges = edges.unionAll(more)
             found = components(edges)
-        low, high = high, 4 * high
+        low, high = high, 2 * high
 
     same = F.when(F.min("other") != F.max("other"), F.raise_error(F.lit("two sets have one 61-bit name"))).otherwise(F.min("doc"))
     least = heads.where("n > 0").groupBy("node").agg(same.alias("least"))
