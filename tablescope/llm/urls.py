@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from tablescope.plans.scratch import write_scratch
 
 DAMPING = 0.85
-#: Steps of propagation at most; after so many steps the ranks are written and compared with those written before.
-STEPS, WRITTEN = 24, 6
-#: A change of ranks, summed over all hosts, that counts as none.
-CHANGE = 1e-4
+#: After so many steps of propagation the ranks are written and compared with those written before.
+WRITTEN = 6
+#: A change of every host's rank, as a part of that rank, that counts as none.
+CHANGE = 1e-8
 SHARE = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s{0,4}=\s{0,4}["']?(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -74,11 +74,12 @@ def edges_of(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.where("src <> dst").unionAll(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
     """(kind, host, rank): `trust` along the edges and `distrust` against them, from seeds (kind, host, weight).
 
     Both ranks are one table and go through the same joins, and sum up to 1 each. Scaling them at the end is the same as returning
-    to the seeds what reaches a host without edges onward.
+    to the seeds what reaches a host without edges onward. Ranks only grow from step to step; they are done when no host is reached
+    anew and none grows by more than CHANGE of its own rank, however small, so that the shares of both kinds are done as well.
     """
     way = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionAll(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
@@ -89,18 +90,18 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, ste
     start = write_scratch(seeds.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("start")), "seeds")
     base = start.select("kind", "host", (F.col("start") * (1 - damping)).alias("rank"))
     ranks = before = base
-    for step in range(1, steps + 1):
-        moved = ranks.withColumnRenamed("host", "src").join(way, ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank")
-        )
-        ranks = moved.unionAll(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if step % WRITTEN == 0 or step == steps:
-            ranks = write_scratch(ranks, "ranks")
-            other = before.select("kind", "host", F.col("rank").alias("was"))
-            change = ranks.join(other, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("c")).first().c
-            if change is None or change < CHANGE:
-                break
-            before = ranks
+    while True:
+        for _ in range(WRITTEN):
+            moved = ranks.withColumnRenamed("host", "src").join(way, ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank")
+            )
+            ranks = moved.unionAll(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        ranks = write_scratch(ranks, "ranks")
+        other = before.select("kind", "host", F.col("rank").alias("was"))
+        grown = F.col("was").isNull() | (F.abs(F.col("rank") - F.col("was")) > CHANGE * F.col("rank"))
+        if ranks.where("rank > 0").join(other, ["kind", "host"], "left").where(grown).isEmpty():
+            break
+        before = ranks
     whole = ranks.groupBy("kind").agg(F.sum("rank").alias("whole"))
     return ranks.join(whole, "kind").select("kind", "host", (F.col("rank") / F.col("whole")).alias("rank"))
 
@@ -113,8 +114,9 @@ def judge(pages: DataFrame, rules: DataFrame, page: str = "page_id", url: str =
         F.when(F.col("action") == "block", "distrust").otherwise("trust").alias("kind"), "host", "weight"
     )
     ranks = propagated(edges_of(given), seeds)
-    amount = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)), 9)
+    amount = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
     hosts = ranks.groupBy(F.col("host").alias("_host")).agg(amount("trust").alias("trust"), amount("distrust").alias("distrust"))
-    blocked = hosts.where(F.col("distrust") > share * (F.col("trust") + F.col("distrust"))).select("_host", F.lit(True).alias("blocked"))
+    part = F.round(F.try_divide("distrust", F.col("trust") + F.col("distrust")), 6)
+    blocked = hosts.where(part > share).select("_host", F.lit(True).alias("blocked"))
     verdict = F.coalesce("action", F.when(F.col("blocked"), "block"), F.lit("allow"))
     return ruled.join(blocked, F.col("host") == F.col("_host"), "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))

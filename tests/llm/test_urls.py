@@ -109,3 +109,15 @@ def test_ranks_converge(spark):
         want = ranks(way, {h: w for k, h, w in seeds if k == kind})
         for host, value in want.items():
             assert abs(got.get((kind, host), 0) - value) < 0.02
+
+
+def test_distrust_reaches_hosts_far_away_however_small_it_is(spark):
+    html = lambda *hosts: "".join(f"<a href='https://{h}/x'>x</a>" for h in hosts)
+    long = 32
+    rows = [("https://h0.t/", html("bad.t")), ("https://bad.t/x", None), ("https://good.t/x", html("kept.t")), ("https://kept.t/", None)]
+    rows += [(f"https://h{i}.t/", html(f"h{i - 1}.t")) for i in range(1, long)]
+    rows += [(f"https://leaf{k}of{i}.t/", html(f"h{i}.t")) for i in range(long - 1) for k in range(3)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    rules = urls.rules_of(spark, [("block", "bad.t", "/x"), ("allow", "good.t", "/x")])
+    got = {x.host: x.verdict for x in urls.judge(df, rules).collect()}
+    assert {h for h, v in got.items() if v == "allow"} == {"good.t", "kept.t"}
