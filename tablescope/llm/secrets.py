@@ -1,7 +1,6 @@
 """Secret scans: candidates in texts, judged by a random forest that was trained on labelled findings.
 
-Candidates are values assigned to credential names, private-key blocks, and long runs with a digit within their first 81
-characters. Their features are columns
+Candidates are values assigned to credential names, private-key blocks, and long runs with a digit anywhere. Their features are columns
 of SQL functions: length, transitions between kinds of characters, distinct characters, shares of digits and capitals, dictionary
 coverage, path-like parts, and words beside them. The forest is fitted with Spark's own trainer on a bounded number of labelled
 findings; its trees then become one SQL expression, so that texts are judged and redacted in place: no shuffle, no Python.
@@ -44,7 +43,7 @@ DICTIONARY = (
 
 KEY_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
 ASSIGNED = r"(?i:(?<![a-z0-9])(?:" + "|".join(NAMES) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[^\s\"',;<>]{8,}+"
-LONG_RUN = r"(?<![A-Za-z0-9+/_.=\-])(?=[A-Za-z+/_.=\-]{0,80}[0-9])[A-Za-z0-9+/_.=\-]{16,}+"
+LONG_RUN = r"(?<![A-Za-z0-9+/_.=\-])(?=[A-Za-z+/_.=\-]*+[0-9])[A-Za-z0-9+/_.=\-]{16,}+"
 CANDIDATE = f"{KEY_BLOCK}|{ASSIGNED}|{LONG_RUN}"
 #: Every candidate holds one of these.
 HINT = "[0-9:=]|-----BEGIN"
@@ -106,7 +105,7 @@ def features(candidate: Column, before: Column, after: Column) -> dict[str, Colu
     return {
         "length": F.least(size, F.lit(200.0)),
         "transitions": F.length(runs) / size,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(value, 1, 200), ""))) / F.least(size, F.lit(200.0)),
+        "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(size, F.lit(200.0)),
         "digits": F.regexp_count(value, F.lit("[0-9]")) / size,
         "capitals": F.regexp_count(value, F.lit("[A-Z]")) / size,
         "hexadecimal": F.regexp_count(value, F.lit("[0-9a-fA-F]")) / size,

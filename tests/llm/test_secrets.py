@@ -69,3 +69,15 @@ def test_trees_are_the_trained_ones(spark):
     rows = secrets.findings_of(findings.where("label IS NOT NULL").select("text", "label"))
     shares = rows.withColumn("p", forest.probability({n: F.col(n) for n in secrets.FEATURES})).collect()
     assert len(forest.trees) == secrets.TREES and all((x.p > 0.5) == (x.label == 1) for x in shares)
+
+
+def test_runs_are_candidates_wherever_their_digits_are(spark):
+    key = "ghp_16C7e42F292c6912E7710c838347Ae178B4a"
+    texts = ["https://host/" + "some/long-slug/" * 8 + key, "=" * 81 + key, "-" * 50_000 + key, "x" * 50_000 + " y", "=" * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    every = secrets.scan(df, secrets.train(spark.createDataFrame([], "text string, label int"))).collect()
+    got = {x.doc_id: x for x in every}
+    assert [got[i].n_secrets for i in range(5)] == [1, 1, 1, 0, 0]
+    assert all(key not in x.redacted for x in every)
+    late = spark.createDataFrame([("a1" * 150 + "bcdefgh",)], "text string")
+    assert secrets.findings_of(late).first().distinct == 9 / 200
