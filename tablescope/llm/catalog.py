@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import chat, decontaminate, jaccard, language, passages, pieces, quality, rules, secrets, urls
+from tablescope.llm import chat, decontaminate, divergence, jaccard, language, licenses, passages, pieces, quality, rules, runs, secrets, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -176,3 +176,79 @@ SELECT conv_id, count(*) AS n_turns,
                 AND (NOT last OR role = 'assistant')) AS valid
 FROM e GROUP BY conv_id
 """
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text); in every tenth one, by the checksum of its id, the words from one place on repeat with a period."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    known = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string")))
+    known = known.withColumn("words", F.when(F.expr("h % 10 = 0"), words))
+    placed = known.withColumn("a", F.expr("int((h div 10) % nullif(size(words), 0))"))
+    placed = placed.withColumn("p", F.expr("int(1 + (size(words) - a) div (3 + (h div 10) % 8))"))
+    repeated = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[a + (i - a) % p])), ' ')")
+    return placed.select("doc_id", F.when(F.expr("size(words) > 0"), repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark, d):
+    found = runs.find(with_planted_periods(table(spark, d, "documents", "doc_id", "text")), keep_text=False)
+    # The first of the runs, by start and period, that no other one exceeds in length over period.
+    best = F.aggregate(
+        "runs", F.get("runs", F.lit(0)), lambda b, x: F.when(x["length"] * b["period"] > b["length"] * x["period"], x).otherwise(b)
+    )
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    known = found.withColumn("best", best)
+    return known.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+@query
+def op12_licenses(spark, d):
+    found = licenses.scan(table(spark, d, "documents", "doc_id", "text"), keep_text=False)
+    base = F.filter("findings", lambda x: x["kind"] == "base")
+    starts = F.transform(base, lambda x: x["first_word"])
+    joined = lambda x: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(x, lambda y: y["labels"])))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"), joined("findings").alias("labels"), "score",
+    )
+
+
+@query
+def op13_source_divergence(spark, d):
+    return divergence.divergence(table(spark, d, "documents", "lang", "source", "text"))
+
+
+ORACLES["op13_source_divergence"] = r"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+t AS MATERIALIZED (SELECT doc, lang, source, term, count(*) AS n FROM (SELECT doc, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(n) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(total) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, sum(n) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS whole FROM c GROUP BY ALL),
+p AS MATERIALIZED (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.whole, 0) + 2 * l.v) AS p,
+           1 + (1000000000::HUGEINT * (k.total + 2)) // (l.total + 2 * l.v) AS q
+    FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+    FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 10
+"""
