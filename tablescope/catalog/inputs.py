@@ -215,3 +215,36 @@ def model_answers(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(props)
     )
     return events.select("event_id", text.alias("answer"))
+
+
+def memos(spark: SparkSession, folder: str) -> DataFrame:
+    """One text per document; every third one ends with the name and segment of a customer."""
+    documents, customers = table(spark, folder, "documents"), table(spark, folder, "customer")
+    named = documents.where("doc_id % 3 = 0").join(customers, F.col("c_custkey") == F.col("doc_id") + 1, "left")
+    ending = F.concat(F.lit(" Agreed with "), "c_name", F.lit(" ("), "c_mktsegment", F.lit(")."))
+    plain = documents.where("doc_id % 3 <> 0").select("doc_id", "text")
+    return named.select("doc_id", F.concat("text", F.coalesce(ending, F.lit(""))).alias("text")).unionAll(plain)
+
+
+def private_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Names and segments of the customers, nations, and the sources of documents."""
+    columns = [("customer", "c_name"), ("customer", "c_mktsegment"), ("nation", "n_name"), ("documents", "source")]
+    parts = [table(spark, folder, t).select(F.col(c).alias("value")) for t, c in columns]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
+def figures(spark: SparkSession, folder: str) -> DataFrame:
+    """One text per order with its total cut to tenths of thousands, hundredths of millions and whole units, and a percentage."""
+    orders = table(spark, folder, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    text = (
+        "concat('About ', cents div 100000, '.', (cents div 10000) % 10, 'K or ', cents div 100000000, '.', "
+        "lpad(string((cents div 1000000) % 100), 2, '0'), ' million; ', cents div 100, ' in all, ', o_custkey % 100, ' % of it late.')"
+    )
+    return orders.select("o_orderkey", F.expr(text).alias("text"))
+
+
+def known_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of the finished orders, and the discounts and quantities of all lines."""
+    orders, lines = table(spark, folder, "orders").where("o_orderstatus = 'F'"), table(spark, folder, "lineitem")
+    parts = [orders.select(F.col("o_totalprice").alias("v")), lines.select("l_discount"), lines.select("l_quantity")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).select(F.round("v", 2).alias("v"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from tablescope.catalog.inputs import SALES_CATEGORIES, SALES_METRICS, SECRET
 from tablescope.functions import fixed_values as fx
+from tablescope.functions import rounded as rd
+from tablescope.operators import normality as nm
 
 ORACLES: dict[str, str] = {}
 
@@ -618,3 +622,125 @@ WIDE_LINES = "SELECT " + ", ".join(
     f"(l_quantity * {i + 1} + l_extendedprice / {10 * (i + 1)}) / {i + 1} - l_tax * {i} * {i} AS {c}" for i, c in enumerate(WIDE)
 ) + " FROM lineitem"
 ORACLES["correlation_wide"] = f"WITH t AS ({WIDE_LINES}) {strong_pairs(pairs_sql('t', WIDE))}"
+
+# ---- merged states, keys, texts against values, runs ----------------------------------------------------
+
+ORACLES["landing_merged"] = f"""SELECT "column", dtype, (SELECT count(*) FROM orders) AS rows, null_count, mean, std, min, max,
+  skewness, kurtosis, role, true AS cardinality_close, true AS quartiles_close FROM ({ORACLES['profile_columns']})"""
+
+
+def unique_keys_sql(source: str, columns: list[str], width: int) -> str:
+    """Every group of up to `width` columns counted, and the minimal ones among those without repeated rows."""
+    groups = [g for size in range(1, width + 1) for g in combinations(columns, size)]
+    rows = [
+        f"SELECT '{','.join(g)}' AS key_columns, {len(g)} AS size, [{', '.join(quoted(c) for c in g)}] AS names "
+        f"WHERE (SELECT count(*) FROM (SELECT DISTINCT {', '.join(g)} FROM {source})) = (SELECT count(*) FROM {source})"
+        for g in groups
+    ]
+    return f"""WITH k AS MATERIALIZED ({union(rows)})
+      SELECT key_columns, CAST(size AS INTEGER) AS size FROM k AS x
+      WHERE NOT EXISTS (SELECT 1 FROM k AS y WHERE y.size < x.size AND list_has_all(x.names, y.names))"""
+
+
+ORACLES["unique_keys"] = unique_keys_sql("lineitem", LINE_COLUMNS, 3)
+MEMOS = """SELECT doc_id, CASE WHEN doc_id % 3 = 0
+    THEN text || coalesce(' Agreed with ' || c_name || ' (' || c_mktsegment || ').', '') ELSE text END AS text
+  FROM documents LEFT JOIN customer ON c_custkey = doc_id + 1"""
+ORACLES["text_leaks"] = f"""WITH m AS ({MEMOS}), v AS (
+    SELECT c_name AS value FROM customer UNION SELECT c_mktsegment FROM customer UNION SELECT n_name FROM nation
+    UNION SELECT source FROM documents)
+  SELECT doc_id, value FROM m JOIN v ON length(value) >= 4 AND contains(m.text, v.value)"""
+
+
+def polynomial(coefficients: list[float], x: str) -> str:
+    return " + ".join(f"{c!r} * pow({x}, {k})" for k, c in enumerate(coefficients))
+
+
+def normality_sql(source: str, metric: str, key: str) -> str:
+    """The test on the 5,000 rows with the smallest md5 of their keys, as published (algorithms AS 241 and AS R94)."""
+    centre = f"q * ({polynomial(nm.CENTRE_TOP, 'r')}) / ({polynomial(nm.CENTRE_BOTTOM, 'r')})"
+    tail = f"sign(q) * ({polynomial(nm.TAIL_TOP, 't')}) / ({polynomial(nm.TAIL_BOTTOM, 't')})"
+    return f"""SELECT "column", n, round(w, 6) AS w, round(p, 4) AS p_value, p > 0.05 AS normal FROM (
+      WITH s AS (SELECT {metric} AS x FROM {source} WHERE {metric} IS NOT NULL ORDER BY md5({key}) LIMIT 5000),
+      o AS (SELECT x - avg(x) OVER () AS x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM s),
+      q AS (SELECT *, (i - 0.375) / (n + 0.25) - 0.5 AS q FROM o),
+      r AS (SELECT *, 0.180625 - q * q AS r, sqrt(-ln(0.5 - abs(q))) - 1.6 AS t FROM q),
+      m AS (SELECT x, i, n, CASE WHEN abs(q) <= 0.425 THEN {centre} ELSE {tail} END AS m FROM r),
+      f AS (SELECT any_value(n) AS n, sum(x * x) AS ss, sum(m * m) AS mm, max(m) AS m1, max(m) FILTER (i = n - 1) AS m2,
+        1 / sqrt(any_value(n)) AS u FROM m),
+      a AS (SELECT *, {polynomial(nm.LAST, 'u')} + m1 / sqrt(mm) AS a1, {polynomial(nm.SECOND, 'u')} + m2 / sqrt(mm) AS a2 FROM f),
+      b AS (SELECT *, sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) AS phi FROM a),
+      l AS (SELECT sum(x * CASE i WHEN 1 THEN -a1 WHEN 2 THEN -a2 WHEN m.n THEN a1 WHEN m.n - 1 THEN a2 ELSE m / phi END) AS line
+        FROM m, b),
+      w AS (SELECT n, least(1.0, line * line / ss) AS w, ln(n) AS g FROM l, b),
+      z AS (SELECT n, w, (ln(1 - w) - ({polynomial(nm.LARGE_MEAN, 'g')})) / exp({polynomial(nm.LARGE_LOG, 'g')}) AS z FROM w),
+      h AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS h FROM z),
+      e AS (SELECT n, w, z, exp(-z * z / 2) * 0.3989422804014327 * ({polynomial(nm.UPPER, 'h')}) AS e FROM h)
+      SELECT '{metric}' AS "column", n, w, CASE WHEN z >= 0 THEN e ELSE 1 - e END AS p FROM e)"""
+
+
+LINE_KEY = "concat_ws('~', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+ORACLES["normality_w"] = union(
+    [
+        normality_sql("events", "value", "CAST(event_id AS VARCHAR)"),
+        normality_sql("lineitem", "l_quantity", LINE_KEY),
+        normality_sql("lineitem", "l_extendedprice", LINE_KEY),
+    ]
+)
+FIGURES = """SELECT o_orderkey, 'About ' || (cents // 100000) || '.' || (cents // 10000) % 10 || 'K or ' || (cents // 100000000) || '.'
+    || lpad(CAST((cents // 1000000) % 100 AS VARCHAR), 2, '0') || ' million; ' || (cents // 100) || ' in all, ' || (o_custkey % 100)
+    || ' % of it late.' AS text FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)"""
+MENTION_PARTS = ", ".join(f"regexp_extract_all(text, {quoted(rd.ROUNDED_PATTERN)}, {k})[i] AS {n}" for k, n in enumerate(["mention", "number", "unit"]))
+ORACLES["rounded_numbers"] = f"""WITH f AS ({FIGURES}),
+  v AS (SELECT DISTINCT 2 * CAST(round(abs(v) * 100) AS HUGEINT) * 100000000 AS x FROM (
+    SELECT o_totalprice AS v FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT l_discount FROM lineitem
+    UNION ALL SELECT l_quantity FROM lineitem)),
+  m AS (SELECT o_orderkey, i - 1 AS place, {MENTION_PARTS} FROM
+    (SELECT *, unnest(range(1, len(regexp_extract_all(text, {quoted(rd.ROUNDED_PATTERN)})) + 1)) AS i FROM f)),
+  d AS (SELECT o_orderkey, CAST(place AS INTEGER) AS place, mention, CAST(replace(replace(number, ',', ''), '.', '') AS HUGEINT) AS digits,
+    CASE WHEN contains(number, '.') THEN len(split_part(number, '.', 2)) ELSE 0 END AS shown,
+    CASE lower(unit) WHEN 'k' THEN 3 WHEN 'million' THEN 6 ELSE 0 END AS power, unit = '%' AS percent FROM m),
+  e AS (SELECT *, unnest(CASE WHEN percent THEN [power - shown, power - shown - 2] ELSE [power - shown] END) AS scale FROM d),
+  u AS (SELECT DISTINCT digits, scale, (2 * digits - 1) * CAST(pow(10, scale + 10) AS HUGEINT) AS a,
+    (2 * digits + 1) * CAST(pow(10, scale + 10) AS HUGEINT) AS b FROM e),
+  c AS (SELECT digits, scale, count(*) AS n FROM u JOIN v ON v.x BETWEEN u.a AND u.b GROUP BY ALL)
+  SELECT o_orderkey, place, mention, round(CASE WHEN any_value(digits) = 0 THEN 0.0
+      ELSE (any_value(digits) - 0.5::DOUBLE) * pow(10, any_value(power - shown)) END, 6) AS low,
+    round((any_value(digits) + 0.5::DOUBLE) * pow(10, any_value(power - shown)), 6) AS high,
+    CAST(coalesce(sum(n), 0) AS BIGINT) AS matches, coalesce(sum(n), 0) > 0 AS supported
+  FROM e LEFT JOIN c USING (digits, scale) GROUP BY o_orderkey, place, mention"""
+ORACLES["findings_difference"] = f"""WITH sales AS ({SALES}), home AS (SELECT * FROM sales WHERE market = 'home'),
+  b AS (SELECT category, key, metric, round(total, 2) AS total FROM ({stats_sql('sales', SALES_METRICS, SALES_CATEGORIES)})),
+  a AS (SELECT category, key, metric, round(total, 2) AS total, n FROM ({stats_sql('home', SALES_METRICS, SALES_CATEGORIES)}))
+  SELECT category, key, metric, CASE WHEN b.total IS NULL THEN 'added' WHEN a.n IS NULL THEN 'gone' ELSE 'changed' END AS change,
+    CASE WHEN b.total IS NULL OR a.n IS NULL THEN '' ELSE
+      concat_ws(',', CASE WHEN a.total <> b.total THEN 'total' END, 'n') END AS changed_columns
+  FROM b FULL JOIN a USING (category, key, metric)"""
+
+SPINE = """WITH t AS (SELECT date_trunc('{period}', o_orderdate) AS period, sum(o_totalprice) AS value, count(*) AS rows FROM orders
+    WHERE extract('dayofyear' FROM o_orderdate) % 3 > 0 AND month(o_orderdate) <> 7 AND day(o_orderdate) < 20 GROUP BY 1),
+  s AS (SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 {period})) AS TIMESTAMP) AS period FROM t),
+  p AS (SELECT s.period, t.value, coalesce(t.rows, 0) AS rows FROM s LEFT JOIN t USING (period))
+  SELECT 'o_totalprice' AS metric, '{period}' AS unit, p.period, p.rows, round(p.value, 4) AS value,
+    round(CASE WHEN e.value = 0 THEN 0 ELSE (p.value - e.value) / e.value * 100 END, 2) AS percent_growth,
+    round(CASE WHEN y.value = 0 THEN 0 ELSE (p.value - y.value) / y.value * 100 END, 2) AS percent_growth_year
+  FROM p LEFT JOIN p AS e ON e.period = p.period - INTERVAL 1 {period} LEFT JOIN p AS y ON y.period = p.period - INTERVAL {year}"""
+ORACLES["period_growth_spine"] = union(
+    [SPINE.format(period="month", year="12 month"), SPINE.format(period="week", year="52 week"), SPINE.format(period="day", year="12 month")]
+)
+ORACLES["csv_header_orders"] = """SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_mktsegment,
+  CASE WHEN c_custkey % 3 = 2 THEN c_acctbal END AS c_acctbal FROM customer"""
+ORACLES["csv_mixed_encoding"] = """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, 'é ' || o_orderpriority AS label,
+  CAST(o_orderkey % 2 AS INTEGER) AS part FROM orders"""
+ORACLES["csv_records"] = """SELECT count(*) AS records, count(*) FILTER (o_orderkey % 5 < 2) AS bad_records FROM orders"""
+ORACLES["search_results_broken"] = """SELECT source AS query, CAST(1 AS INTEGER) AS results,
+  (SELECT count(*) FROM documents WHERE doc_id % 4 = 1) AS broken FROM documents WHERE doc_id % 4 <> 1"""
+ORACLES["date_evidence"] = """WITH o AS (SELECT o_orderkey % 6 AS k, day(o_orderdate) AS d, month(o_orderdate) AS m FROM orders),
+  f AS (SELECT * FROM (VALUES (0, 'y-m-d', 'ymd', 'form'), (1, 'a/b/y', 'mdy', 'impossible days'), (2, 'a.b.y', 'dmy', 'impossible days'),
+    (3, 'name d, y', 'ndy', 'form'), (4, 'd name y', 'dny', 'form'), (5, 'unread', NULL, NULL)) AS f(k, form, reading, reason))
+  SELECT form, reading, count(*) AS values, count(*) FILTER (k < 5) AS read,
+    count(*) FILTER (k IN (1, 2) AND d <= 12 AND d <> m) AS doubtful, reason FROM o JOIN f USING (k) GROUP BY form, reading, reason"""
+ORACLES["dates_read"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS day FROM orders"""
+ORACLES["payload_fields"] = """SELECT event_id, CAST(props->>'k' AS BIGINT) AS k,
+  CASE WHEN event_type IN ('click', 'view') THEN event_type END AS kind, CASE WHEN event_type <> 'view' THEN value END AS amount,
+  CASE WHEN event_type = 'click' THEN user_id || ',' || event_id END AS ids FROM events WHERE event_type <> 'error'"""

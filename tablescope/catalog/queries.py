@@ -11,12 +11,14 @@ from tablescope import columns as cols
 from tablescope.catalog import inputs as inp
 from tablescope.catalog.inputs import rounded, table
 from tablescope.functions import fixed_values as fx
+from tablescope.functions import rounded as rd
 from tablescope.functions import text as tx
-from tablescope.operators import charts, checks, findings, groups, order, privacy, profile
+from tablescope.functions.dates import read_dates
+from tablescope.operators import charts, checks, findings, groups, keys, leaks, normality, order, privacy, profile
 from tablescope.plans.analysis import analyse, summary, to_json_rows
-from tablescope.plans.scratch import shared_folder
+from tablescope.plans.scratch import shared_folder, write_scratch
 from tablescope.sources import readers, stores
-from tablescope.streaming.landing import profile_landing
+from tablescope.streaming.landing import landing_total, profile_landing
 
 QUERIES = {}
 
@@ -611,3 +613,155 @@ WIDE = [f"mix_{i}" for i in range(12)]
 def correlation_wide(spark, d):
     mixed = [((F.col("l_quantity") * (i + 1) + F.col("l_extendedprice") / (10 * (i + 1))) / (i + 1) - F.col("l_tax") * i * i).alias(c) for i, c in enumerate(WIDE)]
     return findings.correlations(table(spark, d, "lineitem").select(*mixed), WIDE)
+
+
+# ---- merged states, keys, texts against values, runs ----------------------------------------------------
+
+
+@query
+def landing_merged(spark, d):
+    """Three intakes of one folder; the profile of all rows comes from their states, and is held against the table."""
+    orders, place, name = table(spark, d, "orders"), f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}", uuid.uuid4().hex
+    for part in range(3):
+        rows = orders.where(F.col("o_orderkey") % 3 == part)
+        rows.write.mode("append").option("header", True).csv(f"{place}/in")
+        profile_landing(spark, f"{place}/in", orders.schema, f"{place}/out", name, each_batch=False).awaitTermination()
+    total = write_scratch(landing_total(spark, f"{place}/out", name), "total")
+    exact = profile.distinct_counts(orders).withColumnRenamed("cardinality", "exact")
+    close = (F.abs(F.col("cardinality") - F.col("exact")) <= 0.03 * F.col("exact")).alias("cardinality_close")
+    checks_of = []
+    for r in total.where("q50 IS NOT NULL").select("column", "q25", "q50", "q75").collect():
+        inside = F.lit(True)
+        for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+            v = F.col(r["column"])
+            inside = inside & (F.avg((v < r[q]).cast("int")) <= p + 0.02) & (F.avg((v <= r[q]).cast("int")) >= p - 0.02)
+        checks_of.append(orders.agg(F.lit(r["column"]).alias("column"), inside.alias("inside")))
+    ranks = checks_of[0]
+    for more in checks_of[1:]:
+        ranks = ranks.unionAll(more)
+    joined = total.join(exact, "column").join(ranks, "column", "left")
+    exactly = ["column", "dtype", "rows", "null_count", "mean", "std", "min", "max", "skewness", "kurtosis", "role"]
+    return rounded(joined.select(*exactly, close, F.coalesce("inside", F.lit(True)).alias("quartiles_close")), 4)
+
+
+@query
+def unique_keys(spark, d):
+    found = keys.unique_keys(table(spark, d, "lineitem"), 3)
+    return found.select(F.array_join("columns", ",").alias("key_columns"), "size")
+
+
+@query
+def text_leaks(spark, d):
+    return leaks.text_leaks(inp.memos(spark, d), "doc_id", "text", inp.private_values(spark, d), "value")
+
+
+@query
+def normality_w(spark, d):
+    lines = normality.normality(table(spark, d, "lineitem"), inp.LINE_KEYS, ["l_quantity", "l_extendedprice"])
+    return normality.normality(table(spark, d, "events"), ["event_id"], ["value"]).unionAll(lines)
+
+
+@query
+def rounded_numbers(spark, d):
+    found = rd.rounded_numbers(inp.figures(spark, d), "o_orderkey", "text", inp.known_amounts(spark, d), "v")
+    return rounded(found, 6)
+
+
+@query
+def findings_difference(spark, d):
+    """Two runs in the store, the second without the export market and with another measure; what changed between them."""
+    folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    whole = rounded(_sales_stats(spark, d, "total"), 2)
+    home = groups.group_stats(inp.sales(spark, d).where("market = 'home'"), inp.SALES_METRICS, inp.SALES_CATEGORIES, measures=["total", "n"])
+    stores.save_findings({"totals": whole}, folder, "all/markets")
+    stores.save_findings({"totals": rounded(home, 2)}, folder, "home market")
+    before, after = (stores.load_findings(spark, folder, "totals", run).drop("run_id", "dated_rows") for run in ("all/markets", "home market"))
+    found = stores.findings_difference(before, after, ["category", "key", "metric"])
+    return found.withColumn("changed_columns", F.array_join("changed_columns", ","))
+
+
+@query
+def period_growth_spine(spark, d):
+    """Months, weeks and days of a table in which whole months, weeks and days are missing."""
+    gone = "dayofyear(o_orderdate) % 3 > 0 AND month(o_orderdate) <> 7 AND day(o_orderdate) < 20"
+    orders = table(spark, d, "orders").where(gone)
+    parts = [
+        findings.period_growth_spine(orders, ["o_totalprice"], "o_orderdate", unit).withColumn("unit", F.lit(unit)) for unit in ("month", "week", "day")
+    ]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).withColumn("value", F.round("value", 4))
+
+
+# ---- files and texts of mixed forms ---------------------------------------------------------------------
+
+
+@query
+def csv_header_orders(spark, d):
+    """Three files of one folder, each with its columns in another order and one with a further column."""
+    path, customers = f"{shared_folder(spark)}/customers-csv-{uuid.uuid4().hex}", table(spark, d, "customer")
+    for part, names in enumerate((["c_custkey", "c_name", "c_mktsegment"], ["c_mktsegment", "c_custkey", "c_name"], ["c_name", "c_acctbal", "c_mktsegment", "c_custkey"])):
+        customers.where(F.col("c_custkey") % 3 == part).select(*names).write.mode("append").option("header", True).csv(path)
+    return readers.read_csv(spark, path).select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+
+
+@query
+def csv_mixed_encoding(spark, d):
+    """Two folders of one table, one in each encoding; the folder's name is a column."""
+    path = f"{shared_folder(spark)}/labels-csv-{uuid.uuid4().hex}"
+    orders = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("é "), "o_orderpriority").alias("label"))
+    for part, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+        rows = orders.where(F.col("o_orderkey") % 2 == part)
+        rows.write.option("header", True).option("encoding", encoding).csv(f"{path}/part={part}")
+    return readers.read_csv(spark, path)
+
+
+@query
+def csv_records(spark, d):
+    """Records with a field too many or too few are counted."""
+    path = f"{shared_folder(spark)}/ragged-csv-{uuid.uuid4().hex}"
+    line = F.concat_ws(",", "o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")), F.when(F.col("o_orderkey") % 5 == 1, "more"))
+    lines = table(spark, d, "orders").select(line.alias("key,status,priority"))
+    lines.write.option("header", True).option("quote", "\u0000").option("sep", "|").csv(path)
+    return readers.file_records(spark, path).agg(F.sum("records").alias("records"), F.sum("bad_records").alias("bad_records"))
+
+
+@query
+def search_results_broken(spark, d):
+    path = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    results = F.array(F.struct(F.col("lang").alias("content")))
+    good = F.to_json(F.struct(F.col("source").alias("query"), F.struct(results.alias("results")).alias("response")))
+    table(spark, d, "documents").select(F.when(F.col("doc_id") % 4 == 1, F.lit("{broken")).otherwise(good).alias("value")).write.text(path)
+    count = readers.broken_lines(spark, path).agg(F.sum("broken").alias("broken"))
+    found = readers.read_search_results(spark, path).select("query", F.size("content").alias("results"))
+    return found.select("query", "results", F.lit(count.first().broken).cast("bigint").alias("broken"))
+
+
+def _mixed_dates(spark, d):
+    """Orders with their day in five forms, and one that is no date."""
+    form = F.col("o_orderkey") % 6
+    day = F.when(form == 5, "soon")
+    for k, pattern in enumerate(("yyyy-MM-dd", "MM/dd/yyyy", "dd.MM.yyyy", "MMM d, yyyy", "d-MMM-yy")):
+        day = day.when(form == k, F.date_format("o_orderdate", pattern))
+    return table(spark, d, "orders").select("o_orderkey", day.alias("day"))
+
+
+@query
+def date_evidence(spark, d):
+    return read_dates(_mixed_dates(spark, d), "day").evidence
+
+
+@query
+def dates_read(spark, d):
+    orders = _mixed_dates(spark, d)
+    return orders.select("o_orderkey", read_dates(orders, "day").parsed(F.col("day")).alias("day"))
+
+
+@query
+def payload_fields(spark, d):
+    """JSON objects whose fields differ by event type, as typed columns."""
+    events = table(spark, d, "events").where("event_type <> 'error'")
+    kind = F.when(F.col("event_type").isin("click", "view"), F.col("event_type"))
+    amount = F.when(F.col("event_type") != "view", F.col("value"))
+    ids = F.when(F.col("event_type") == "click", F.array("user_id", "event_id"))
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    payload = F.to_json(F.struct(k.alias("k"), kind.alias("kind"), amount.alias("amount"), ids.alias("ids")))
+    return tx.payload_fields(events.select("event_id", payload.alias("payload")), "payload").select("event_id", "k", "kind", F.col("amount").cast("double").alias("amount"), F.array_join("ids", ",").alias("ids"))

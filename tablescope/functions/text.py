@@ -222,3 +222,33 @@ def _has_map(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
         return any(_has_map(f.dataType) for f in kind)
     return isinstance(kind, T.MapType)
+
+
+def payload_schema(df: DataFrame, column: str) -> T.StructType:
+    """The merged schema of all JSON objects in a text column; what isn't a JSON object is left out."""
+    parsed = F.try_parse_json(F.col(column))
+    found = df.select(parsed.alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'").agg(F.schema_of_variant_agg("v")).first()[0]
+    if found is None or not found.startswith("OBJECT<"):
+        return T.StructType([])
+    # An object is a struct; a field of nothing but nulls or of mixed types is kept as text.
+    ddl = found.replace("OBJECT<", "struct<")
+    return T.DataType.fromDDL(ddl)
+
+
+def payload_fields(df: DataFrame, column: str, schema: T.StructType | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` and one typed column per field of the JSON objects in a text column.
+
+    The fields and their types are those of all rows together unless a schema is given; a value that doesn't fit is null, and so
+    are the fields of a row that is no JSON object. Fields of mixed types are JSON text.
+    """
+    schema = payload_schema(df, column) if schema is None else schema
+    keep = [c for c in df.columns if c != column] if keep is None else keep
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.try_parse_json(F.col(column)).alias("_payload"))
+
+    def field(f: T.StructField) -> Column:
+        path = "$." + f.name if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", f.name) else "$[" + json.dumps(f.name) + "]"
+        if isinstance(f.dataType, (T.VariantType, T.NullType)):
+            return F.to_json(F.try_variant_get("_payload", path, "variant")).alias(f.name)
+        return F.try_variant_get("_payload", path, f.dataType.simpleString()).alias(f.name)
+
+    return rows.select(*[F.col(f"`{c}`") for c in keep], *[field(f) for f in schema.fields])

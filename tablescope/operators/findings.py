@@ -410,6 +410,48 @@ def period_growth(
     )
 
 
+#: Periods from one period to the same one a year before.
+YEAR_BEFORE = {"day": "INTERVAL 12 MONTH", "week": "INTERVAL 52 WEEK", "month": "INTERVAL 12 MONTH", "quarter": "INTERVAL 12 MONTH", "year": "INTERVAL 12 MONTH"}
+STEPS = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 1 WEEK", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTH", "year": "INTERVAL 12 MONTH"}
+
+
+def period_growth_spine(
+    df: DataFrame,
+    metrics: list[str] | None = None,
+    date: str | None = None,
+    period: str = "month",
+    how: str = "sum",
+) -> DataFrame:
+    """`metric, period, rows, value, percent_growth, percent_growth_year` of every calendar period from the first to the last.
+
+    A period without rows stands there with 0 rows and no value. Growth is against the calendar period before and against the same
+    one a year before (for weeks 52 before); it is null where one of the two has no value. Only one row per period is joined.
+    """
+    if period not in STEPS:
+        raise ValueError("period must be day, week, month, quarter or year")
+    metrics = _metrics(df, metrics)
+    date = date or date_column(df)
+    if date is None or not metrics:
+        kind = "metric string, period timestamp, rows bigint, value double, percent_growth double, percent_growth_year double"
+        return df.sparkSession.createDataFrame([], kind)
+    agg = {"sum": F.sum, "avg": F.avg}[how]
+    rows = _values(df, metrics, F.date_trunc(period, parse_date(df, date)).alias("period")).where("period is not null")
+    wide = rows.groupBy("period").agg(F.count(F.lit(1)).alias("rows"), *[agg(f"_m{i}").alias(f"_m{i}") for i in range(len(metrics))])
+    # One row per period from here on.
+    span = wide.agg(F.min("period").alias("first"), F.max("period").alias("last")).where("first is not null")
+    spine = span.select(F.explode(F.expr(f"sequence(first, last, {STEPS[period]})")).alias("period"))
+    filled = spine.join(wide, "period", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"_m{i}").alias("value")) for i, m in enumerate(metrics)])
+    now = filled.select("period", "rows", F.inline(pairs))
+    before = now.select("metric", F.expr(f"period + {STEPS[period]}").alias("period"), F.col("value").alias("_before"))
+    step = now.join(before, ["metric", "period"], "left")
+    # A leap day has the last day of February before it, and no day has it.
+    year = now.select("metric", F.col("period").alias("_then"), F.col("value").alias("_year"))
+    joined = step.withColumn("_then", F.expr(f"period - {YEAR_BEFORE[period]}")).join(year, ["metric", "_then"], "left")
+    growth = lambda base: F.round(percent_change(F.col("value"), F.col(base)), 2)
+    return joined.select("metric", "period", "rows", "value", growth("_before").alias("percent_growth"), growth("_year").alias("percent_growth_year"))
+
+
 def confidence_caps(
     metrics: list[str],
     shares: DataFrame,

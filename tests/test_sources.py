@@ -138,3 +138,50 @@ def test_landing_folder_takes_each_file_once(spark, tmp_path):
 def test_group_statistics_keep_all_keys(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("name"), F.lit(1.0).alias("v"))
     assert groups.group_stats(df, ["v"], ["name"]).count() == 3000
+
+
+def test_each_file_by_its_own_header(spark, tmp_path):
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "1.csv").write_text("a,b\n1,x\n2,y\n")
+    (tmp_path / "h" / "2.csv").write_text("b,a\nz,3\n")
+    (tmp_path / "h" / "3.csv").write_bytes("b,a,c d\né,4,5.5\n".encode("latin-1"))
+    path = str(tmp_path / "h")
+    got = readers.read_csv(spark, path)
+    assert dict(got.dtypes) == {"a": "int", "b": "string", "c d": "double"}
+    assert sorted((r.a, r.b, r["c d"]) for r in got.collect()) == [(1, "x", None), (2, "y", None), (3, "z", None), (4, "é", 5.5)]
+    (tmp_path / "h" / "3.csv").unlink()
+    given = readers.read_csv(spark, path, schema="a bigint, b string")
+    assert given.columns == ["a", "b"] and sorted(tuple(r) for r in given.collect()) == [(1, "x"), (2, "y"), (3, "z")]
+    placed = readers.read_csv(spark, str(tmp_path / "h" / "1.csv"), schema="k bigint, v string")
+    assert sorted(tuple(r) for r in placed.collect()) == [(1, "x"), (2, "y")]
+
+
+def test_folder_columns_of_mixed_files(spark, tmp_path):
+    for day, text in ((1, "a,b\n1,é\n".encode()), (2, "a,b\n2,ü\n".encode("latin-1"))):
+        (tmp_path / "m" / f"day={day}").mkdir(parents=True)
+        (tmp_path / "m" / f"day={day}" / "x.csv").write_bytes(text)
+    for path in (str(tmp_path / "m"), str(tmp_path / "m") + "/*"):
+        got = readers.read_csv(spark, path)
+        assert sorted((r.a, r.b, r.day) for r in got.collect()) == [(1, "é", 1), (2, "ü", 2)]
+    given = readers.read_csv(spark, str(tmp_path / "m"), schema="a bigint, b string")
+    assert given.columns == ["a", "b", "day"]
+
+
+def test_records_that_do_not_fit_are_counted(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "1.csv").write_text('a,b\n1,"two\nlines"\n2,y\n')
+    (tmp_path / "r" / "2.csv").write_text("a,b\n1,x,9\n2\n3,z\n")
+    got = {r.file[-5:]: (r.records, r.bad_records) for r in readers.file_records(spark, str(tmp_path / "r")).collect()}
+    assert got == {"1.csv": (2, 0), "2.csv": (3, 2)}
+    assert readers.malformed_records(spark, str(tmp_path / "r" / "1.csv"), "a int, b string") == 0
+    assert readers.malformed_records(spark, str(tmp_path / "r"), "a int, b string") == 2
+    assert readers.read_csv(spark, str(tmp_path / "r")).count() == 5
+
+
+def test_broken_search_lines_are_counted(spark, tmp_path):
+    good = '{"query": "q", "response": {"results": [{"content": "c", "score": 1}]}}'
+    (tmp_path / "s.json").write_text(good + "\n{broken\n" + good.replace('"q"', '"r"') + "\n[1]\n")
+    got = readers.read_search_results(spark, str(tmp_path / "s.json"))
+    assert sorted((r.query, r.content) for r in got.collect()) == [("q", ["c"]), ("r", ["c"])]
+    counted = readers.broken_lines(spark, str(tmp_path / "s.json")).first()
+    assert (counted.lines, counted.broken) == (4, 2)
