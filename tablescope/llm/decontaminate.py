@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.llm.fm_index import FMIndex
+from tablescope.llm.frames import tidy
 from tablescope.llm.words import LETTERED, coded, raw, slices, split
 
 WIDTH = 13
@@ -194,7 +195,7 @@ def _search(df: DataFrame, block: DataFrame, text: str, width: int, cleaned: str
             for shard in slices(batch, text, SHARD_BYTES):
                 yield pa.RecordBatch.from_arrays([*(shard.column(c) for c in names), *_shard(shard.column(text), phrases, bool(cleaned))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Small helpers over whole frames: disk of those that are done with, bounded samples."""
+"""Small helpers over whole frames: memory and disk of those that are done with, bounded samples."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +33,28 @@ def smallest_hashes(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     if count > 2 * rows:
         df = df.where(digest < F.lit(-(1 << 63) + int((1 << 64) * (2 * rows / count))))
     return df.orderBy(digest, *keys).limit(rows)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets at most `rows` rows go to Python at once from now on; texts of ten thousand rows can be a large part of a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
+def tidy(run):
+    """`run` for mapInArrow, with the memory that a task has used given back to the system at its end.
+
+    Workers serve many tasks, also of later jobs, and otherwise each keeps the most it ever needed.
+    """
+
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # only this C library knows it
+            pass
+
+    return tidied

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.components import components
-from tablescope.llm.frames import release
+from tablescope.llm.frames import release, small_batches, tidy
 from tablescope.llm.words import SPACED, hashed, mixed, raw, row_windows, slices, split
 from tablescope.plans.scratch import write_scratch
 
@@ -403,17 +403,18 @@ def _meet(pivot: str = "pivot", member: str = "member"):
 def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that a row reaches by links) of every row."""
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)["doc"]
     names = ["doc", "n", "node", "other", "cell", "rows"]
-    first = write_scratch(docs.mapInArrow(_first_pass(width, percent, names), f"doc {kind}, n long, node long, other long, cell long, rows long"), "sets")
+    first = write_scratch(docs.mapInArrow(tidy(_first_pass(width, percent, names)), f"doc {kind}, n long, node long, other long, cell long, rows long"), "sets")
     heads, counts = first.where("n IS NOT NULL"), np.zeros(CELLS, np.int64)
     cells = first.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("rows").alias("rows")).toArrow()  # CELLS rows at most
     counts[cells.column("cell").to_numpy()] = cells.column("rows").to_numpy()
 
-    rows = docs.mapInArrow(_signature_pass(width, percent, spark.sparkContext.broadcast(counts), crowded), "bucket long, sig long, member long")
+    rows = docs.mapInArrow(tidy(_signature_pass(width, percent, spark.sparkContext.broadcast(counts), crowded)), "bucket long, sig long, member long")
     sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "member")
-    stars = write_scratch(sorted_rows.mapInArrow(_stars, "sig long, pivot long, member long, salted boolean"), "stars")
+    stars = write_scratch(sorted_rows.mapInArrow(tidy(_stars), "sig long, pivot long, member long, salted boolean"), "stars")
     del rows, sorted_rows
     release(spark)
     whole, split_up = stars.where("NOT salted"), stars.where("salted")
@@ -424,9 +425,9 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
 
     candidates = stars.select(F.explode(F.array(_node("pivot"), _node("member"))).alias("node"))
     known = spark.sparkContext.broadcast(filter_of(candidates))
-    sets = write_scratch(docs.mapInArrow(_set_pass(width, known), "node long, elements binary").dropDuplicates(["node"]), "elements")
+    sets = write_scratch(docs.mapInArrow(tidy(_set_pass(width, known)), "node long, elements binary").dropDuplicates(["node"]), "elements")
 
-    cells = write_scratch(sets.mapInArrow(_histogram_pass, "node long, size long, cells binary"), "histograms")
+    cells = write_scratch(sets.mapInArrow(tidy(_histogram_pass), "node long, size long, cells binary"), "histograms")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (pivot, member) that link, as edges of nodes. Histograms rule out most of the others exactly; sets are
@@ -435,13 +436,13 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
         one = cells.select(F.col("node").alias("a"), F.col("size").alias("left_size"), F.col("cells").alias("left"))
         two = cells.select(F.col("node").alias("b"), F.col("size").alias("right_size"), F.col("cells").alias("right"))
         fits = F.least("left_size", "right_size") * 100 >= F.greatest("left_size", "right_size") * percent
-        left_over = nodes.join(one, "a").join(two, "b").where(fits).mapInArrow(_possible(percent), "a long, b long")
+        left_over = nodes.join(one, "a").join(two, "b").where(fits).mapInArrow(tidy(_possible(percent)), "a long, b long")
         left_over = write_scratch(left_over, "pairs")
         asked = spark.sparkContext.broadcast(filter_of(left_over.select(F.explode(F.array("a", "b")).alias("node"))))
-        needed = sets.mapInArrow(_sifted(asked), "node long, elements binary")
+        needed = sets.mapInArrow(tidy(_sifted(asked)), "node long, elements binary")
         left = needed.select(F.col("node").alias("a"), F.col("elements").alias("left"))
         right = needed.select(F.col("node").alias("b"), F.col("elements").alias("right"))
-        out = write_scratch(left_over.join(left, "a").join(right, "b").mapInArrow(_linked(percent), "a long, b long"), "links")
+        out = write_scratch(left_over.join(left, "a").join(right, "b").mapInArrow(tidy(_linked(percent)), "a long, b long"), "links")
         release(spark)
         return out
 

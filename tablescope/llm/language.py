@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescope.llm.frames import tidy
 from tablescope.llm.words import mixed, slices
 
 ORDERS = (3, 4)
@@ -99,7 +100,7 @@ def gram_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
                         [pa.array(found.view(np.int64)), pa.array([name] * len(found), pa.string()), pa.array(counts, pa.int64())], names=["gram", "lang", "n"]
                     )
 
-    counted = df.select(text, lang).mapInArrow(run, "gram long, lang string, n long")
+    counted = df.select(text, lang).mapInArrow(tidy(run), "gram long, lang string, n long")
     return counted.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
 
@@ -190,7 +191,7 @@ def predict(df: DataFrame, filters: Filters, text: str = "text", predicted: str
                 languages, scores = shared.value.decide(part.column(text))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(languages, pa.string()), pa.array(scores)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc: str = "doc_id"):

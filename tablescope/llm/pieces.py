@@ -22,12 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tablescope.llm.frames import tidy
 from tablescope.llm.words import raw, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
-#: Distinct parts whose ids one Python worker keeps between slices.
-KEPT_PARTS = 300_000
+#: Bytes of distinct parts, with what a dictionary takes for each, that one Python worker keeps between slices; bytes of a slice.
+KEPT_BYTES, PART_BYTES, SLICE_BYTES = 16 << 20, 160, 2 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -254,6 +255,7 @@ class Encoder:
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.counts = [], []
+        self.kept = 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and the offsets of each row."""
@@ -272,7 +274,7 @@ class Encoder:
         parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         found = parts.dictionary_encode()
         codes, distinct = found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
-        if len(self.known) > KEPT_PARTS:
+        if self.kept > KEPT_BYTES:
             self.clear()
         known = self.known
         fresh = [x for x in distinct if x not in known]
@@ -283,6 +285,7 @@ class Encoder:
             ids, counts = self.vocab.merge(points, np.fromiter(map(len, texts_new), np.int64, len(fresh)))
             first = len(known)
             known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            self.kept += sum(map(len, fresh)) + PART_BYTES * len(fresh)
             self.ids.append(ids)
             self.counts.append(counts)
         if len(self.ids) > 1:
@@ -322,7 +325,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
                 texts = vocab.decode_parts(flat, np.concatenate([[0], np.cumsum(counts)]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -365,8 +368,8 @@ def _per_slice(df: DataFrame, text: str, fields: list[T.StructField], made, path
     def run(batches):
         encoder = Encoder(vocabulary(path))
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE_BYTES):
                 columns = made(encoder.vocab, *encoder.encode(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

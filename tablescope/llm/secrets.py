@@ -209,10 +209,14 @@ def scan(df: DataFrame, forest: Forest, text: str = "text", redacted: str = "red
 
     verdicts = F.transform(F.transform("_found", judged), marked)
     shown = F.transform("_verdicts", lambda v: F.when(v["secret"], F.concat(F.regexp_extract(v["candidate"], HEAD, 0), F.lit(REDACTED))).otherwise(v["candidate"]))
-    rows = df.withColumns({"_between": between, "_found": F.coalesce(found, F.array().cast("array<string>"))}).withColumn("_verdicts", verdicts)
+    # The given columns are set aside as one, so that none of them has a name that is used here.
+    given = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(given.alias("_row"), F.col(text).alias("_text"), between.alias("_between"), F.coalesce(found, F.array().cast("array<string>")).alias("_found"))
+    rows = rows.withColumn("_verdicts", verdicts)
     joined = F.array_join(F.flatten(F.zip_with("_between", shown, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return rows.withColumns({
-        "n_candidates": F.size("_found").cast("long"),
-        "n_secrets": F.size(F.filter("_verdicts", lambda v: v["secret"])).cast("long"),
-        redacted: F.when(F.size("_found") == 0, F.col(text)).otherwise(joined),
-    }).drop("_between", "_found", "_verdicts")
+    return rows.select(
+        *[F.col("_row").getField(c).alias(c) for c in df.columns],
+        F.size("_found").cast("long").alias("n_candidates"),
+        F.size(F.filter("_verdicts", lambda v: v["secret"])).cast("long").alias("n_secrets"),
+        F.when(F.size("_found") == 0, F.col("_text")).otherwise(joined).alias(redacted),
+    )

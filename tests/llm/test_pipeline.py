@@ -75,3 +75,18 @@ def test_repeated_rows_nulls_and_further_columns(spark):
     for stage in (corpus_pipeline.languages, corpus_pipeline.benchmarks, corpus_pipeline.leaks, corpus_pipeline.encoded):
         assert stage(spark, df.limit(0), FOLDER).count() == 0
         assert stage(spark, df, FOLDER).count() <= len(rows)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    names = ["n_hit", "n_words", "items", "spans", "contaminated", "n_tokens", "ids", "_key", "_found", "_between", "_verdicts", "_row", "_language", "n_secrets", "aside_0", "score"]
+    rows = [(k, f'token = "{k}f3a9c27d8e1b4f6a7c5d2e9b8a1f4c6d3e7b2a9" {words} {k}', "en", k, *[f"{n}{k}" for n in names]) for k in range(3)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "n_chars", *names])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, df, FOLDER)
+        assert got.columns == df.columns
+        for r in got.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+    last = corpus_pipeline.encoded(spark, df, FOLDER)
+    assert last.columns == [f"given_{c}" if c in ("ids", "n_tokens") else c for c in df.columns] + ["ids", "n_tokens"]
+    assert all(r.given_ids == f"ids{r.doc_id}" and len(r.ids) == r.n_tokens for r in last.collect())

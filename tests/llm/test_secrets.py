@@ -81,3 +81,9 @@ def test_runs_are_candidates_wherever_their_digits_are(spark):
     assert all(key not in x.redacted for x in every)
     late = spark.createDataFrame([("a1" * 150 + "bcdefgh",)], "text string")
     assert secrets.findings_of(late).first().distinct == 9 / 200
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = spark.createDataFrame([("key = ghp_16C7e42F292c6912E7710c838347Ae178B4a", 1, 2, 3, 4, 5)], "text string, _found int, _between int, _verdicts int, _row int, _text int")
+    got = secrets.scan(df, secrets.Forest([])).first()
+    assert tuple(got)[:6] == ("key = ghp_16C7e42F292c6912E7710c838347Ae178B4a", 1, 2, 3, 4, 5) and got.n_secrets == 1
