@@ -744,3 +744,17 @@ ORACLES["dates_read"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN
 ORACLES["payload_fields"] = """SELECT event_id, CAST(props->>'k' AS BIGINT) AS k,
   CASE WHEN event_type IN ('click', 'view') THEN event_type END AS kind, CASE WHEN event_type <> 'view' THEN value END AS amount,
   CASE WHEN event_type = 'click' THEN user_id || ',' || event_id END AS ids FROM events WHERE event_type <> 'error'"""
+
+ORACLES["sql_surface"] = f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i FROM orders),
+  f AS ({FIGURES})
+  SELECT 'trend' AS operator, o_orderpriority AS key, CAST(count(*) AS VARCHAR) AS a,
+    CAST(CAST(regr_slope(o_totalprice, i) AS DECIMAL(18,4)) AS VARCHAR) AS b,
+    CAST(CAST(regr_r2(o_totalprice, i) AS DECIMAL(12,8)) AS VARCHAR) AS c FROM o GROUP BY o_orderpriority
+  UNION ALL SELECT 'mentions', CAST(o_orderkey AS VARCHAR), CAST(i - 1 AS VARCHAR), regexp_extract_all(text, {quoted(rd.ROUNDED_PATTERN)})[i], NULL
+    FROM (SELECT *, unnest(range(1, len(regexp_extract_all(text, {quoted(rd.ROUNDED_PATTERN)})) + 1)) AS i FROM f)
+  UNION ALL SELECT 'token', CAST(o_orderkey AS VARCHAR), 'ID-' || substr(sha256('key~p~' || o_orderpriority), 1, 16), NULL, NULL FROM orders
+  UNION ALL SELECT 'number', CAST(o_orderkey AS VARCHAR), CASE WHEN o_totalprice >= 1000
+      THEN printf('%.2fK', floor(o_totalprice / 10) * 10 / 1000) ELSE CAST(round(floor(o_totalprice / 10) * 10, 2) AS VARCHAR) END,
+    CAST(CAST(CASE WHEN o_custkey = 0 THEN 0 ELSE (o_orderkey - o_custkey) / o_custkey * 100 END AS DECIMAL(18,2)) AS VARCHAR), NULL FROM orders
+  UNION ALL SELECT 'words', CAST(doc_id AS VARCHAR), CAST(len(regexp_extract_all(text, '\\S+')) AS VARCHAR),
+    sha256(text), NULL FROM documents"""

@@ -17,6 +17,7 @@ from tablescope.functions.dates import read_dates
 from tablescope.operators import charts, checks, findings, groups, keys, leaks, normality, order, privacy, profile
 from tablescope.plans.analysis import analyse, summary, to_json_rows
 from tablescope.plans.scratch import shared_folder, write_scratch
+from tablescope.plans.sql_functions import register
 from tablescope.sources import readers, stores
 from tablescope.streaming.landing import landing_total, profile_landing
 
@@ -765,3 +766,21 @@ def payload_fields(spark, d):
     k = F.get_json_object("props", "$.k").cast("bigint")
     payload = F.to_json(F.struct(k.alias("k"), kind.alias("kind"), amount.alias("amount"), ids.alias("ids")))
     return tx.payload_fields(events.select("event_id", payload.alias("payload")), "payload").select("event_id", "k", "kind", F.col("amount").cast("double").alias("amount"), F.array_join("ids", ",").alias("ids"))
+
+
+@query
+def sql_surface(spark, d):
+    """Five operators called from SQL: two table functions and three scalar ones."""
+    register(spark)
+    orders, letters, documents = f"surface_{uuid.uuid4().hex}", f"surface_{uuid.uuid4().hex}", f"surface_{uuid.uuid4().hex}"
+    table(spark, d, "orders").createOrReplaceTempView(orders)
+    inp.figures(spark, d).createOrReplaceTempView(letters)
+    table(spark, d, "documents").createOrReplaceTempView(documents)
+    trend = f"trend_of(TABLE(SELECT o_orderpriority, o_orderkey, o_totalprice FROM {orders}) PARTITION BY o_orderpriority ORDER BY o_orderkey)"
+    mentions = f"mentions_of(TABLE(SELECT o_orderkey, text FROM {letters}))"
+    return spark.sql(f"""
+        SELECT 'trend' AS operator, o_orderpriority AS key, string(n) AS a, string(cast(slope AS decimal(18,4))) AS b, string(cast(r2 AS decimal(12,8))) AS c FROM {trend}
+        UNION ALL SELECT 'mentions', string(o_orderkey), string(place), mention, NULL FROM {mentions}
+        UNION ALL SELECT 'token', string(o_orderkey), value_token(o_orderpriority, 'key', 'p'), NULL, NULL FROM {orders}
+        UNION ALL SELECT 'number', string(o_orderkey), compact_number(floor(o_totalprice / 10) * 10), string(cast(percent_change(o_orderkey, o_custkey) AS decimal(18,2))), NULL FROM {orders}
+        UNION ALL SELECT 'words', string(doc_id), string(word_count(text)), sha2(clean_text(text), 256), NULL FROM {documents}""")

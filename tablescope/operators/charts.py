@@ -235,6 +235,8 @@ def kpis(
         *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)],
         *[number(df, m).alias(f"_m{i}") for i, m in enumerate(metrics)],
     )
+    # Written once: the cut between the halves takes several looks at it.
+    narrow = write_scratch(narrow, "kpis")
     early = first_half(narrow, [f"_k{i}" for i in range(len(keys))], "_when" if date else None)
     split = narrow.withColumn("_early", early)
     means = split.agg(

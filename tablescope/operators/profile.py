@@ -12,6 +12,7 @@ from tablescope.columns import date_column, numeric_columns, string_columns
 from tablescope.functions import fixed_values as fx
 from tablescope.functions.scalars import date_format, kurtosis, number, short_key, skewness
 from tablescope.operators.quantiles import exact_quantiles
+from tablescope.plans.scratch import write_scratch
 
 COLUMNS_PER_JOB = 25
 TEXT_COLUMNS_PER_JOB = 8
@@ -93,26 +94,21 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: boo
     )
 
 
-#: Repeated 8-byte hashes that are broadcast at most.
-BROADCAST_ROWS = 200_000
-
-
-def duplicate_rows(df: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> int:
+def duplicate_rows(df: DataFrame) -> int:
     """Rows beyond the first of each group of equal rows (nulls equal).
 
-    Pass one shuffles an 8-byte hash per row. Only rows whose hash occurs more than once can be duplicates; when
-    those hashes are few they are broadcast and only such rows are compared in full. Otherwise all rows are.
+    Pass one shuffles an 8-byte hash per row. Only rows whose hash occurs more than once can be duplicates; those hashes are
+    written, and such rows are compared in full. Adaptive execution broadcasts the hashes if they are few, by their measured
+    size; otherwise the rows are shuffled by hash once, for the join and the comparison.
     """
     names = [F.col(f"`{c}`") for c in df.columns]
     hashed = df.withColumn("_hash", F.xxhash64(*names))
     repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
-    candidates = repeated.limit(broadcast_rows + 1).count()
-    if candidates == 0:
+    repeated = write_scratch(repeated, "repeated")
+    if repeated.isEmpty():
         return 0
-    rows = df
-    if candidates <= broadcast_rows:
-        rows = hashed.join(F.broadcast(repeated), "_hash", "left_semi")
-    groups = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    rows = hashed.join(repeated, "_hash", "left_semi")
+    groups = rows.groupBy("_hash", *names).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from tablescope.functions.scalars import number
 
 SKETCH_ACCURACY = 10_000
 BRACKET_ROWS = 500_000
-COLUMNS_PER_JOB = 8
+#: Columns or brackets that one aggregate takes; the aggregates of all run side by side in one job.
+TOGETHER = 8
 
 
 @dataclass
@@ -57,27 +59,35 @@ def sketch(c: Column, probs: list[float]) -> Column:
     return F.percentile_approx(c, ends, SKETCH_ACCURACY)
 
 
+def _gathered(values: DataFrame, items: list, aggregates) -> list:
+    """A struct of aggregates for each item. Each aggregate reads only the columns of its own items."""
+    parts = []
+    for at in range(0, len(items), TOGETHER):
+        own = items[at : at + TOGETHER]
+        totals = values.agg(*[aggregates(x).alias(f"r{k}") for k, x in enumerate(own)])
+        parts.append(totals.select(F.inline(F.array(*[F.struct(F.lit(at + k).alias("i"), F.col(f"r{k}").alias("r")) for k in range(len(own))]))))
+    rows = reduce(DataFrame.unionAll, parts).collect()  # one row per item
+    return [x.r for x in sorted(rows, key=lambda x: x.i)]
+
+
 def exact_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], bracket_rows: int = BRACKET_ROWS
 ) -> dict[str, list[float | None]]:
     """`{column: [value per prob]}`; None for a column without values."""
-    if len(columns) > COLUMNS_PER_JOB:  # every pass reads only the columns of its group
-        head, tail = columns[:COLUMNS_PER_JOB], columns[COLUMNS_PER_JOB:]
-        return exact_quantiles(df, head, probs, bracket_rows) | exact_quantiles(df, tail, probs, bracket_rows)
     if not columns:
         return {}
     values = df.select(*[number(df, c).alias(c) for c in columns])
-    aggs = []
-    for i, c in enumerate(columns):
+
+    def facts(c: str) -> Column:
         v = F.col(f"`{c}`")
-        aggs.append(F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).alias(f"e{i}"))
-        aggs.append(sketch(v, probs).alias(f"s{i}"))
-    first = values.agg(*aggs).first()
+        return F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), sketch(v, probs).alias("ends"))
+
+    first = _gathered(values, columns, facts)
     places, brackets = [], []
     for i, c in enumerate(columns):
-        n, lo, hi = first[f"e{i}"]
+        n, lo, hi, ends = first[i]
         for j, p in enumerate(probs if n else []):
-            low, high = first[f"s{i}"][2 * j : 2 * j + 2]
+            low, high = ends[2 * j : 2 * j + 2]
             places.append((c, j))
             brackets.append(Bracket(c, (n - 1) * p, low, high, lo, hi))
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
@@ -116,23 +126,17 @@ def _narrow(values: DataFrame, brackets: list[Bracket], bracket_rows: int) -> No
 
 
 def _count(values: DataFrame, brackets: list[Bracket]) -> None:
-    counts = values.agg(
-        *[F.count_if(F.col(f"`{b.column}`") < b.low) for b in brackets], *[F.count_if(b.contains()) for b in brackets]
-    ).first()
-    for i, b in enumerate(brackets):
-        b.below, b.inside = counts[i], counts[len(brackets) + i]
+    counted = lambda b: F.struct(F.count_if(F.col(f"`{b.column}`") < b.low).alias("below"), F.count_if(b.contains()).alias("inside"))
+    for b, found in zip(brackets, _gathered(values, brackets, counted)):
+        b.below, b.inside = found
 
 
 def _sketch_inside(values: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
     """Tighten the brackets and return those that changed."""
     if not brackets:
         return []
-    ends = values.agg(
-        *[
-            sketch(F.when(b.contains(), F.col(f"`{b.column}`")), [(b.rank - b.below) / max(b.inside - 1, 1)])
-            for b in brackets
-        ]
-    ).first()
+    inner = lambda b: F.struct(sketch(F.when(b.contains(), F.col(f"`{b.column}`")), [(b.rank - b.below) / max(b.inside - 1, 1)]).alias("ends"))
+    ends = [r.ends for r in _gathered(values, brackets, inner)]
     changed = []
     for b, (low, high) in zip(brackets, ends):
         if (low, high) != (b.low, b.high):
@@ -143,13 +147,14 @@ def _sketch_inside(values: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
 
 def _read(values: DataFrame, brackets: list[Bracket]) -> list[Found]:
     """Group the values inside each bracket (map-side first) and read the rows on both sides of each rank."""
-    tagged = F.array(
-        *[
-            F.when(b.contains(), F.struct(F.lit(i).alias("target"), F.col(f"`{b.column}`").alias("value")))
-            for i, b in enumerate(brackets)
+    parts = []
+    for at in range(0, len(brackets), TOGETHER):
+        targets = [
+            F.when(b.contains(), F.struct(F.lit(at + k).alias("target"), F.col(f"`{b.column}`").alias("value")))
+            for k, b in enumerate(brackets[at : at + TOGETHER])
         ]
-    )
-    inside = values.select(F.explode(tagged).alias("t")).where("t is not null").select("t.*")
+        parts.append(values.select(F.explode(F.array(*targets)).alias("t")).where("t is not null").select("t.*"))
+    inside = reduce(DataFrame.unionAll, parts)
     counted = inside.groupBy("target", "value").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("target").orderBy("value")
     ranked = counted.withColumn("seen", F.sum("n").over(upto))

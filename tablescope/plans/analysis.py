@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.columns import candidate_metrics, category_columns, date_column, numeric_columns
+from tablescope.functions.dates import read_dates
 from tablescope.operators import findings as fd
 from tablescope.operators import groups as gr
 from tablescope.plans.scratch import write_scratch
@@ -26,7 +28,8 @@ def analyse(
 
     The metric statistics are one pass that four findings share; the category statistics are computed and written
     once for five more. With `store` the needed columns are written first: for an input that is itself a join or
-    another costly plan, which every pass would otherwise repeat.
+    another costly plan, which every pass would otherwise repeat. A date column of texts is read once, each form in its own way;
+    `date_evidence` then says how many values of each form were read, and how many not at all.
     """
     metrics = metrics or candidate_metrics(df)
     categories = category_columns(df) if categories is None else categories
@@ -35,8 +38,13 @@ def analyse(
     if store:
         needed = {*keys, *metrics, *categories, *numeric, *([date] if date else [])}
         df = write_scratch(df.select(*[F.col(f"`{c}`") for c in df.columns if c in needed]), "input")
+    dates = {}
+    if date and isinstance(df.schema[date].dataType, T.StringType):
+        reading = read_dates(df, date)
+        df = df.withColumn(date, reading.parsed(F.col(f"`{date}`")))
+        dates["date_evidence"] = reading.evidence
     stats = fd.metric_stats(df, list(dict.fromkeys(metrics + numeric)))
-    found = {
+    found = dates | {
         "outliers": fd.outliers(df, metrics, stats=stats),
         "correlations": fd.correlations(df, numeric, stats=stats),
         "distribution": fd.distribution(df, metrics, stats=stats),

@@ -56,7 +56,7 @@ def test_distinct_and_duplicates(data, table):
     near = {r["column"]: r["cardinality"] for r in profile.distinct_counts(table, approx=True).collect()}
     assert near["a"] == pytest.approx(4000, rel=0.05)
     assert profile.duplicate_rows(table.select("c", "s")) == int(data[["c", "s"]].duplicated().sum())
-    assert profile.duplicate_rows(table.select("c", "s"), broadcast_rows=0) == int(data[["c", "s"]].duplicated().sum())
+    assert profile.duplicate_rows(table) == 0
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -23,7 +23,7 @@ def as_dict(df, key):
 def test_duplicates_count_rows_with_null(spark):
     df = frame(spark, [(1, None), (1, None), (2, "a"), (2, "a"), (3, "b")], "a int, b string")
     assert profile.duplicate_rows(df) == 2
-    assert profile.duplicate_rows(df, broadcast_rows=0) == 2
+    assert profile.duplicate_rows(df.union(df)) == 7
     assert profile.table_profile(df).first().asDict() == {"rows": 5, "columns": 2, "duplicates": 2}
 
 

@@ -59,9 +59,10 @@ def test_findings_are_kept_per_run(spark, tmp_path):
     df = spark.createDataFrame([(1, "2024-01-01", "a", 1.0), (2, "2024-01-02", "b", 9.0)], "k int, date string, cat string, v double")
     found = analyse(df, ["k"], ["v"], direction={"v": "higher_is_better"}, store=True)
     assert set(found) == {
-        "outliers", "correlations", "distribution", "trend", "period_growth", "segments", "performers",
+        "date_evidence", "outliers", "correlations", "distribution", "trend", "period_growth", "segments", "performers",
         "concentration", "pareto_critical", "key_growth",
     }
+    assert [tuple(r)[:4] for r in found["date_evidence"].collect()] == [("y-m-d", "ymd", 2, 2)]
     folder = str(tmp_path / "runs")
     for run in ("r1", "r2", "r2"):
         stores.save_findings({"concentration": found["concentration"], "segments": found["segments"]}, folder, run)
