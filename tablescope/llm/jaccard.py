@@ -46,6 +46,8 @@ RESERVE = 32
 HANDED, COMPARED = 100_000, 2 << 20
 #: Text that is cut into sets at once.
 PART_BYTES = 1 << 20
+#: Parts in which pairs are verified, and pairs that are verified in one go.
+PARTS, ONE_PART = 4, 20_000
 
 ELEMENT = np.uint64((1 << 48) - 1)
 #: A member of a bucket is a node and its part: prober and indexed (no bit), prober only, indexed only. Probers sort first.
@@ -438,12 +440,19 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
         fits = F.least("left_size", "right_size") * 100 >= F.greatest("left_size", "right_size") * percent
         left_over = nodes.join(one, "a").join(two, "b").where(fits).mapInArrow(tidy(_possible(percent)), "a long, b long")
         left_over = write_scratch(left_over, "pairs")
-        asked = spark.sparkContext.broadcast(filter_of(left_over.select(F.explode(F.array("a", "b")).alias("node"))))
-        needed = sets.mapInArrow(tidy(_sifted(asked)), "node long, elements binary")
-        left = needed.select(F.col("node").alias("a"), F.col("elements").alias("left"))
-        right = needed.select(F.col("node").alias("b"), F.col("elements").alias("right"))
-        out = write_scratch(left_over.join(left, "a").join(right, "b").mapInArrow(tidy(_linked(percent)), "a long, b long"), "links")
-        release(spark)
+        # The sets of many pairs are shuffled in parts, and each part's shuffles go before the next one's come.
+        parts, out = PARTS if left_over.count() > ONE_PART else 1, None
+        for k in range(parts):
+            own = left_over.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == k)
+            asked = spark.sparkContext.broadcast(filter_of(own.select(F.explode(F.array("a", "b")).alias("node"))))
+            needed = sets.mapInArrow(tidy(_sifted(asked)), "node long, elements binary")
+            left = needed.select(F.col("node").alias("a"), F.col("elements").alias("left"))
+            right = needed.select(F.col("node").alias("b"), F.col("elements").alias("right"))
+            links = write_scratch(own.join(left, "a").join(right, "b").mapInArrow(tidy(_linked(percent)), "a long, b long"), "links")
+            out = links if out is None else out.unionAll(links)
+            del own, needed, left, right
+            release(spark)
+            asked.destroy()
         return out
 
     release(spark)
