@@ -61,6 +61,8 @@ def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
             F.concat("rule_host", "rule_path").alias("rule"), "rule_path", "action",
         )).alias("_rules")
     )
+    # Written: a hot host's pages can be split in the join only if nothing there was dealt by host for another reason.
+    fitting = write_scratch(fitting, "fitting")
     best = F.array_max(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["rule_path"])))
     joined = pages.join(fitting.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
     return joined.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "action": F.col("_best.action")}).drop("_host", "_rules", "_best")
