@@ -142,8 +142,8 @@ def find(
 ) -> DataFrame:
     """All columns of `df`, its words `n_words`, the merged hit `spans` in words, and the `items` found, sorted.
 
-    `cleaned` names a further column with the text without its hit spans; it needs a benchmark of one block. Without
-    `keep_text` the text column is left out, so it does not travel back from the tasks.
+    `cleaned` names a further column with the text without its hit spans. Without `keep_text` the text column is left out, so it
+    does not travel back from the tasks.
     """
     added = ["n_words", "spans", "items", *([cleaned] if cleaned else [])]
     if clash := {c.lower() for c in df.columns} & {c.lower() for c in added}:
@@ -151,8 +151,6 @@ def find(
     parts = blocks(benchmark, item, item_text, block_bytes)
     if len(parts) == 1:
         return _search(df, parts[0], text, width, cleaned, keep_text)
-    if cleaned:
-        raise ValueError("a benchmark of several blocks gives spans only")
     from tablescope.plans.scratch import write_scratch
 
     # A row is known by its key in every pass; the text itself isn't shuffled.
@@ -177,8 +175,33 @@ def find(
             ),
         ).otherwise(F.concat(done, F.array(x))),
     )
-    kept = keyed if keep_text else keyed.drop(text)
-    return kept.join(merged.withColumn("spans", joined), "_row").drop("_row")
+    kept = keyed if keep_text or cleaned else keyed.drop(text)
+    rows = kept.join(merged.withColumn("spans", joined), "_row").drop("_row")
+    return without_spans(rows, text, cleaned, keep_text) if cleaned else rows
+
+
+def without_spans(df: DataFrame, text: str, cleaned: str, keep_text: bool = True) -> DataFrame:
+    """All columns, and `cleaned`: the text without the words of its `spans` and what stands between these."""
+    kept = [f for f in df.schema.fields if keep_text or f.name != text]
+    schema = T.StructType([*kept, T.StructField(cleaned, T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text, SHARD_BYTES):
+                words = split(part.column(text), LETTERED, lower=True)
+                data, offsets = raw(part.column(text))
+                spans = part.column("spans")
+                row = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+                first, last = (words.offsets[row] + spans.flatten().field(n).to_numpy(zero_copy_only=False) for n in ("start", "stop"))
+                change = np.zeros(len(data) + 1, np.int64)
+                np.add.at(change, words.begin[first], 1)
+                np.add.at(change, words.end[last - 1], -1)
+                keep = np.cumsum(change)[:-1] == 0
+                left = np.concatenate([[0], np.cumsum(keep)])[offsets]
+                found = pa.StringArray.from_buffers(part.num_rows, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[keep])))
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), found], names=schema.names)
+
+    return df.mapInArrow(tidy(run), schema)
 
 
 def _search(df: DataFrame, block: DataFrame, text: str, width: int, cleaned: str | None, keep_text: bool) -> DataFrame:

@@ -76,3 +76,17 @@ def test_text_without_its_hits_and_empty_inputs(spark):
     assert decontaminate.find(docs.limit(0), items).count() == 0
     with pytest.raises(ValueError):
         decontaminate.find(docs.withColumnRenamed("doc_id", "Spans"), items)
+
+
+def test_cleaned_texts_with_any_number_of_blocks(spark):
+    item = lambda k: " ".join(f"b{k}x{i}" for i in range(14))
+    items = spark.createDataFrame([(k, item(k)) for k in range(12)], "item_id long, text string")
+    texts = [f"Before, {item(k)}! {item((k + 5) % 12)} and é after {item(k)[:30]}." for k in range(12)] + [None, "", "nothing here", item(3)]
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, more int")
+    for keep in (True, False):
+        one = decontaminate.find(docs, items, cleaned="clean", keep_text=keep)
+        many = decontaminate.find(docs, items, cleaned="clean", keep_text=keep, block_bytes=400)
+        assert one.columns == many.columns
+        got = [{r.doc_id: r for r in x.collect()} for x in (one, many)]
+        assert got[0] == got[1] and len(got[0]) == 16
+    assert got[0][0].clean == f"Before,  and é after {item(0)[:30]}." and got[0][15].clean == "" and got[0][12].clean == ""
