@@ -35,6 +35,8 @@ MIN_RATIO = 0.02
 SLOTS, HASHES = 1 << 21, 3
 #: Text expanded into n-grams at once.
 PART_BYTES = 2 << 20
+#: Numbers that are counted anew in a table, also for short texts.
+TABLE = 1 << 20
 #: Languages in one word of a slot.
 WORD = 62
 UNKNOWN = "und"
@@ -51,8 +53,22 @@ def letters() -> np.ndarray:
     return table
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all n-grams with the row of each, and which rows have a letter."""
+def densified(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below `size` counted anew from 0 on in the same order, and a place of each that occurs."""
+    if size > max(TABLE, 2 * len(numbers)):
+        _, place, again = np.unique(numbers, return_index=True, return_inverse=True)
+        return again, place
+    place = np.full(size, -1, np.int64)
+    place[numbers] = np.arange(len(numbers))
+    found = np.flatnonzero(place >= 0)
+    again = np.zeros(size, np.int64)
+    again[found] = np.arange(len(found))
+    return again[numbers], place[found]
+
+
+def coded_grams(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """For each order the hashes of the different n-grams, and for each n-gram in the texts which of these it is and its
+    row, in order; and which rows have a letter. Only different n-grams are hashed."""
     parts = [x or "" for x in texts.to_pylist()]
     points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -66,22 +82,38 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gap = code == 0
     keep = np.ones(len(code), dtype=bool)
     keep[1:] = ~(gap[1:] & gap[:-1])
-    code, row = code[keep].astype(np.uint64), row[keep]
+    code, row = code[keep], row[keep]
     spoken = np.bincount(row[code > 0], minlength=len(parts) + 1)[: len(parts)] > 0
-    hashes, rows = [], []
-    for order in ORDERS:
+    known = np.zeros(0x110000, dtype=bool)
+    known[code] = True
+    alphabet = np.flatnonzero(known)
+    number = np.zeros(0x110000, np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    letter = number[code]
+    found, now, have = [], letter, len(alphabet)
+    for order in range(2, max(ORDERS) + 1):
         n = len(code) - order + 1
         if n <= 0:
+            break
+        now, first = densified(now[:n] * len(alphabet) + letter[order - 1 :], have * len(alphabet))
+        have = len(first)
+        if order not in ORDERS:
             continue
-        value = np.full(n, order, np.uint64)
-        whole = np.ones(n, dtype=bool)
+        value = np.full(have, order, np.uint64)
         for k in range(order):
-            value = mixed((value << np.uint64(1)) ^ (code[k : k + n] + (value << np.uint64(22))))
-            if 0 < k < order - 1:
-                whole &= code[k : k + n] > 0
+            value = mixed((value << np.uint64(1)) ^ (code[first + k].astype(np.uint64) + (value << np.uint64(22))))
         # A gap may only be first or last; the gap that opens the next text closes this one. Letters decide the row.
-        hashes.append(value[whole])
-        rows.append(row[1 : n + 1][whole])
+        whole = np.ones(n, dtype=bool)
+        for k in range(1, order - 1):
+            whole &= code[k : k + n] > 0
+        found.append((value, now[whole], row[1 : n + 1][whole]))
+    return found, spoken
+
+
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all n-grams with the row of each, and which rows have a letter."""
+    found, spoken = coded_grams(texts)
+    hashes, rows = [value[which] for value, which, _ in found], [row for _, _, row in found]
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), (np.concatenate(rows) if rows else np.zeros(0, np.int64)), spoken
 
 
@@ -91,14 +123,17 @@ def gram_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, PART_BYTES):
-                hashes, rows, _ = grams(part.column(text))
+                found, _ = coded_grams(part.column(text))
                 coded = part.column(lang).dictionary_encode()
-                code = coded.indices.to_numpy(zero_copy_only=False)[rows].astype(np.int64)
-                for k, name in enumerate(coded.dictionary.to_pylist()):
-                    found, counts = np.unique(hashes[code == k], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.view(np.int64)), pa.array([name] * len(found), pa.string()), pa.array(counts, pa.int64())], names=["gram", "lang", "n"]
-                    )
+                code = coded.indices.to_numpy(zero_copy_only=False)
+                for hashes, which, rows in found:
+                    own = code[rows]
+                    for k, name in enumerate(coded.dictionary.to_pylist()):
+                        counts = np.bincount(which[own == k], minlength=len(hashes))
+                        some = np.flatnonzero(counts)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(hashes[some].view(np.int64)), pa.array([name] * len(some), pa.string()), pa.array(counts[some])], names=["gram", "lang", "n"]
+                        )
 
     counted = df.select(text, lang).mapInArrow(tidy(run), "gram long, lang string, n long")
     return counted.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
@@ -121,18 +156,40 @@ class Filters:
             bits = here if bits is None else bits & here
         return bits
 
+    def hits(self, hashes: np.ndarray, which: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """How many n-grams of each row each language contains; `counts` of `which` belong to each row, in order.
+
+        Languages are counted side by side in the bits of one number, as many as fit at the longest row's count.
+        """
+        out = np.zeros((len(counts), len(self.languages)))
+        filled = np.flatnonzero(counts)
+        if not len(filled):
+            return out
+        bits = self.containing(hashes).view(np.uint64)
+        begin = (np.cumsum(counts) - counts)[filled]
+        width = int(counts.max()).bit_length()
+        mask = np.uint64((1 << width) - 1)
+        for low in range(0, len(self.languages), 64 // width):
+            own = range(low, min(low + 64 // width, len(self.languages)))
+            packed = np.zeros(len(hashes), np.uint64)
+            for lane, k in enumerate(own):
+                packed |= (bits[k // WORD] >> np.uint64(k % WORD) & np.uint64(1)) << np.uint64(lane * width)
+            sums = np.add.reduceat(packed[which], begin)
+            for lane, k in enumerate(own):
+                out[filled, k] = sums >> np.uint64(lane * width) & mask
+        return out
+
     def decide(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        hashes, rows, spoken = grams(texts)
+        found, spoken = coded_grams(texts)
         n = len(spoken)
         if not self.languages:
             return [UNKNOWN] * n, np.zeros(n)
-        bits = self.containing(hashes)
-        total = np.bincount(rows, minlength=n).astype(np.float64)
+        counts = [np.bincount(rows, minlength=n) for _, _, rows in found]
+        total = sum(counts, np.zeros(n))
+        hits = sum((self.hits(hashes, which, own) for (hashes, which, _), own in zip(found, counts, strict=True)), np.zeros((n, len(self.languages))))
         share = np.zeros((n, len(self.languages)))
         for k in range(len(self.languages)):
-            has = bits[k // WORD] >> (k % WORD) & 1
-            hits = np.bincount(rows, weights=has, minlength=n)
-            share[:, k] = (hits - total * self.chance[k]) / (np.maximum(total, 1) * (1 - self.chance[k]))
+            share[:, k] = (hits[:, k] - total * self.chance[k]) / (np.maximum(total, 1) * (1 - self.chance[k]))
         share = np.clip(np.round(share, 9), 0, 1)
         best = np.where(share.max(axis=1) > 0, share.argmax(axis=1), int(self.totals.argmax()))
         score = np.where(spoken, share[np.arange(n), best], 0.0)

@@ -69,3 +69,24 @@ def test_more_languages_than_one_word_of_bits(spark):
     filters = language.train(spark.createDataFrame(rows, "text string, lang string"))
     found, scores = filters.decide(pa.array([t for t, _ in rows]))
     assert found == [x for _, x in rows] and filters.slots.shape[0] == 3
+
+
+def test_only_different_grams_are_hashed(monkeypatch):
+    hashed = []
+    mixed = language.mixed
+    monkeypatch.setattr(language, "mixed", lambda x: hashed.append(np.size(x)) or mixed(x))
+    hashes, _, _ = language.grams(pa.array(["the cat sat on the mat " * 2000]))
+    assert len(hashes) > 50_000 and sum(hashed) < 2000
+
+
+def test_hits_side_by_side_are_those_counted_one_by_one():
+    r = np.random.default_rng(3)
+    slots = r.integers(0, 1 << 62, (2, language.SLOTS)) | r.integers(0, 1 << 62, (2, language.SLOTS))
+    filters = language.Filters([f"l{i:02d}" for i in range(70)], slots, np.zeros(70), np.ones(70))
+    texts = pa.array(["abc " * 3000, None, "".join(map(chr, r.integers(0x4E00, 0x9FFF, 3000))), "x", ""])
+    found, _ = language.coded_grams(texts)
+    for hashes, which, rows in found:
+        counts = np.bincount(rows, minlength=len(texts))
+        bits = filters.containing(hashes)[:, which]
+        plain = [np.bincount(rows, weights=bits[k // language.WORD] >> (k % language.WORD) & 1, minlength=len(texts)) for k in range(70)]
+        assert np.array_equal(filters.hits(hashes, which, counts), np.array(plain).T)
