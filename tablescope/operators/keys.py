@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +15,17 @@ from pyspark.sql import types as T
 from tablescope.columns import require_columns
 from tablescope.functions.scalars import short_key
 
-#: Column groups that one job estimates, and that one job checks.
-ESTIMATES_PER_JOB, CHECKS_PER_JOB = 60, 16
+#: Column groups that one job estimates, that one job checks, and that one looks for in a slice (the lowest bits of a hash
+#: tell the group); rows that one task hands on and that one compares at once.
+ESTIMATES_PER_JOB, CHECKS_PER_JOB, GROUPS_PER_JOB = 60, 16, 256
+CHUNK_ROWS, ROWS_PER_TASK = 1 << 17, 1 << 19
 #: log2 of a sketch's registers (a relative error of 0.8 %), and the share of the rows that a key's estimate reaches in any
 #: case: some twelve deviations, beyond which an estimate does not err in practice.
 SKETCH_LOG, REACHED = 14, 0.9
 #: The part of the hash space in which duplicates are looked for first.
 SLICE = 64
+#: Values of a column from which on its slice is about as large as a slice of the rows.
+VARIED = 100 * SLICE
 
 
 def _parts(df: DataFrame, names: tuple[str, ...]) -> list[Column]:
@@ -44,36 +50,88 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _repeating(df: DataFrame, groups: list[tuple[str, ...]], whole: bool) -> set[tuple[str, ...]]:
-    """The groups in which two rows agree; unless `whole`, among the rows of one slice of the hash space only.
-
-    Rows are compared by 128 bits of hashes, put together from those of the columns, for many groups in one shuffle.
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The places of those that are equal to another one in both, equal ones side by side."""
+    order = np.argsort(a)
+    same = np.zeros(len(a) + 1, dtype=bool)
+    same[1:-1] = a[order[1:]] == a[order[:-1]]
+    order = order[same[1:] | same[:-1]]
+    order = order[np.lexsort((b[order], a[order]))]
+    same = np.zeros(len(order) + 1, dtype=bool)
+    same[1:-1] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+    return order[same[1:] | same[:-1]]
+
+
+def _chunks_of(batches):
+    """The columns of the batches as arrays, many rows at a time."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK_ROWS:
+            yield {n: np.concatenate([x.column(n).to_numpy() for x in held]).view(np.uint64) for n in batch.schema.names}
+            held, rows = [], 0
+    if rows:
+        yield {n: np.concatenate([x.column(n).to_numpy() for x in held]).view(np.uint64) for n in held[0].schema.names}
+
+
+def _meeting(batches):
+    """Packed rows (a, b) of a whole partition to the numbers of the groups in which two agree."""
+    both = np.frombuffer(b"".join(x for batch in batches for x in batch.column("packed").to_pylist()), np.uint64).reshape(-1, 2)
+    found = np.unique(both[_agreeing(both[:, 0], both[:, 1]), 1] & np.uint64(GROUPS_PER_JOB - 1))
+    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32))], names=["i"])
+
+
+def _repeating(df: DataFrame, groups: list[tuple[str, ...]], pivots: dict[tuple[str, ...], str | None] | None, rows: int) -> set[tuple[str, ...]]:
+    """The groups in which two rows agree; with `pivots`, among the rows of a slice of the hash space only: that of the
+    group's pivot, a column of it, or of the whole group if there is none.
+
+    Rows are compared by 120 bits of hashes, put together from those of the columns, for many groups in one shuffle of packed
+    hashes. A task that has seen two rows of a group agree hands on these and no more of the group.
     """
-    found, step = set(), CHECKS_PER_JOB if whole else CHECKS_PER_JOB * SLICE // 4
+    found, step = set(), GROUPS_PER_JOB if pivots else CHECKS_PER_JOB
     for at in range(0, len(groups), step):
         own = groups[at : at + step]
         names = sorted({c for g in own for c in g})
         place = {c: k for k, c in enumerate(names)}
         parts = _parts(df, tuple(names))
         hashes = [F.xxhash64(p).alias(f"a{k}") for k, p in enumerate(parts)] + [F.xxhash64(F.lit("again"), p).alias(f"b{k}") for k, p in enumerate(parts)]
-
-        def run(batches, own=own, place=place):
-            for batch in batches:
-                columns = {n: batch.column(n).to_numpy().view(np.uint64) for n in batch.schema.names}
-                for i, g in enumerate(own):
-                    a, b = (np.zeros(batch.num_rows, np.uint64) for _ in range(2))
-                    for c in g:
-                        a = _mixed(a * np.uint64(31) + columns[f"a{place[c]}"])
-                        b = _mixed(b * np.uint64(31) + columns[f"b{place[c]}"])
-                    if not whole:
-                        inside = a % np.uint64(SLICE) == 0
-                        a, b = a[inside], b[inside]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), i, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["i", "a", "b"])
-
-        rows = df.select(*hashes).mapInArrow(run, "i int, a long, b long")
-        counts = rows.groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-        found |= {own[r.i] for r in counts.where("n > 1").select("i").distinct().collect()}
+        hashed = df.select(*hashes)
+        ways = [place.get(pivots[g]) for g in own] if pivots else []
+        if pivots and None not in ways:
+            hashed = hashed.where(reduce(Column.__or__, [F.pmod(f"a{k}", F.lit(SLICE)) == 0 for k in sorted(set(ways))]))
+
+        cells = 1 + rows // (ROWS_PER_TASK * (SLICE if pivots else 1))
+
+        def run(batches, own=own, place=place, ways=ways, cells=cells):
+            left = list(range(len(own)))
+            for columns in _chunks_of(batches):
+                inside = {k: np.flatnonzero(columns[f"a{k}"] % np.uint64(SLICE) == 0) for k in {*ways} - {None}}
+                for i in list(left):
+                    which = inside.get(ways[i], slice(None)) if ways else slice(None)
+                    a, b = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+                    for c in own[i]:
+                        a = _mixed(a * np.uint64(31) + columns[f"a{place[c]}"][which])
+                        b = _mixed(b * np.uint64(31) + columns[f"b{place[c]}"][which])
+                    if ways and ways[i] is None:
+                        chosen = a % np.uint64(SLICE) == 0
+                        a, b = a[chosen], b[chosen]
+                    order = np.argsort(a)
+                    both = np.stack([a[order], b[order] & ~np.uint64(GROUPS_PER_JOB - 1) | np.uint64(i)], axis=1)
+                    if (both[1:, 0] == both[:-1, 0]).any() and len(two := _agreeing(both[:, 0], both[:, 1])[:2]):
+                        both = both[two]
+                        left.remove(i)
+                    # Equal hashes go to one cell, a range of them.
+                    cell = ((both[:, 0] >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+                    begin = np.flatnonzero(np.diff(cell, prepend=-1))
+                    ends = pa.py_buffer((np.append(begin, len(both)) * 16).astype(np.int32))
+                    packed = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, ends, pa.py_buffer(np.ascontiguousarray(both))])
+                    if len(begin):
+                        yield pa.RecordBatch.from_arrays([pa.array(i * cells + cell[begin]), packed], names=["cell", "packed"])
+
+        spread = max(cells * len(own), df.sparkSession.sparkContext.defaultParallelism)
+        met = hashed.mapInArrow(run, "cell long, packed binary").repartition(spread, "cell").mapInArrow(_meeting, "i int")
+        found |= {own[r.i] for r in met.distinct().collect()}
     return found
 
 
@@ -81,25 +139,25 @@ def unique_keys(df: DataFrame, width: int = 3, columns: list[str] | None = None)
     """`columns array<string>, size int`: all minimal keys of at most `width` columns; nulls agree with each other.
 
     The groups of columns are gone through by size. A group that holds a known key isn't minimal. Where the estimated
-    numbers of different values, multiplied, stay below the number of rows, or the group's own estimate does, two rows
-    agree; all estimates of a size take a few reads without a shuffle of rows. What is left is checked exactly: first the
-    rows of a sixty-fourth of the hash space, then all of them. `df` is read many times, so it should be stored.
+    numbers of different values of its columns, multiplied, stay below the number of rows, or a column's own estimate does,
+    two rows agree. What is left is checked exactly: first the rows of a sixty-fourth of the hash space of the group's column
+    with most values, which hold all rows that agree with them, then all rows. `df` is read many times, so it should be stored.
     """
     names = require_columns(df, columns or df.columns)
     rows, keys = df.count(), []
-    known: dict[tuple[str, ...], float] = {}
+    known: dict[str, float] = {}
     for size in range(1, width + 1):
         groups = [g for g in combinations(names, size) if not any(set(k) <= set(g) for k in keys)]
         room = rows * REACHED
-        if size > 1:
-            most = {g: min(known[s] * known[tuple(c for c in g if c not in s)] for k in range(1, size) for s in combinations(g, k)) for g in groups}
-            known |= {g: m for g, m in most.items() if m < room}
-            groups = [g for g in groups if most[g] >= room]
-        found = _estimates(df, groups)
-        known |= {g: n / REACHED for g, n in found.items()}
-        groups = [g for g in groups if found[g] >= room]
-        for whole in (False, True):
-            repeating = _repeating(df, groups, whole)
+        if size == 1:
+            found = _estimates(df, groups)
+            known = {c: n / REACHED for (c,), n in found.items()}
+            groups = [g for g in groups if found[g] >= room]
+        groups = [g for g in groups if prod(known[c] for c in g) >= room]
+        widest = {g: max(g, key=known.get) for g in groups}
+        pivots = {g: c if known[c] >= VARIED else None for g, c in widest.items()}
+        for ways in (pivots, None):
+            repeating = _repeating(df, groups, ways, rows)
             groups = [g for g in groups if g not in repeating]
         keys += groups
     listed = [(list(k), len(k)) for k in keys]

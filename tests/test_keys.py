@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 
+from tablescope.operators import keys
 from tablescope.operators.keys import unique_keys
 
 
@@ -34,3 +35,17 @@ def test_no_key_and_empty_table(spark):
     assert sorted(k.columns[0] for k in unique_keys(df.limit(0)).collect()) == ["a", "b"]
     with pytest.raises(ValueError, match="not in table"):
         unique_keys(df, columns=["zz"])
+
+
+def test_only_columns_are_estimated_and_many_tasks_compare(spark, monkeypatch):
+    r = random.Random(5)
+    names = ["a", "b", "c", "d"]
+    # Half of the rows agree in a, b and c; every row differs from the others in b and d, or in c and d.
+    rows = [(r.randrange(3000), k // 2, k % 1000, k % 2 * 1000 + k // 1000) if k % 2 else (7, 7, 7, k) for k in range(4000)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int").repartition(3)
+    estimated, estimates = [], keys._estimates
+    monkeypatch.setattr(keys, "_estimates", lambda df, groups: estimated.extend(groups) or estimates(df, groups))
+    monkeypatch.setattr(keys, "VARIED", 100)
+    monkeypatch.setattr(keys, "ROWS_PER_TASK", 500)
+    assert sorted(tuple(k.columns) for k in unique_keys(df).collect()) == plain(names, rows, 3)
+    assert all(len(g) == 1 for g in estimated)
