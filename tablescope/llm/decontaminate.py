@@ -28,7 +28,7 @@ WIDTH = 13
 #: Text of benchmark items that a task gets at once; more items go in further blocks.
 BLOCK_BYTES = 8 << 20
 #: Text of documents that one index covers.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("stop", T.IntegerType(), False)]), False)
 
 

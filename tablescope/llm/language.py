@@ -34,9 +34,9 @@ MIN_SHARE = 1e-5
 MIN_RATIO = 0.02
 SLOTS, HASHES = 1 << 21, 3
 #: Text expanded into n-grams at once.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 19
 #: Numbers that are counted anew in a table, also for short texts.
-TABLE = 1 << 20
+TABLE = 1 << 19
 #: Languages in one word of a slot.
 WORD = 62
 UNKNOWN = "und"
@@ -58,12 +58,12 @@ def densified(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     if size > max(TABLE, 2 * len(numbers)):
         _, place, again = np.unique(numbers, return_index=True, return_inverse=True)
         return again, place
-    place = np.full(size, -1, np.int64)
-    place[numbers] = np.arange(len(numbers))
+    place = np.full(size, -1, np.int32)
+    place[numbers] = np.arange(len(numbers), dtype=np.int32)
     found = np.flatnonzero(place >= 0)
-    again = np.zeros(size, np.int64)
-    again[found] = np.arange(len(found))
-    return again[numbers], place[found]
+    first = place[found]
+    place[found] = np.arange(len(found), dtype=np.int32)
+    return place[numbers].astype(np.int64), first
 
 
 def coded_grams(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
