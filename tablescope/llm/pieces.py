@@ -28,7 +28,7 @@ from tablescope.llm.words import raw, slices
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: Bytes of distinct parts, with what a dictionary takes for each, that one Python worker keeps between slices; bytes of a slice.
-KEPT_BYTES, PART_BYTES, SLICE_BYTES = 16 << 20, 160, 2 << 20
+KEPT_BYTES, PART_BYTES, SLICE_BYTES = 16 << 20, 160, 1 << 18
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:

@@ -10,6 +10,7 @@ import sentencepiece
 
 from tablescope.llm import pieces
 from tablescope.llm.catalog import QUERIES, piece_model
+from tablescope.llm.words import slices
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -61,3 +62,17 @@ def test_columns_encode_and_decode(spark, library):
     assert pieces.round_trip(df.limit(0), piece_model()).count() == 0
     with pytest.raises(ValueError):
         pieces.encode(df.withColumn("IDS", df.doc_id), piece_model())
+
+
+def test_memory_of_a_task_is_bounded():
+    import tracemalloc
+
+    texts = pa.array([" ".join(f"{7919 * (400 * k + i) % 1_000_003:x}" for i in range(400)) for k in range(1000)])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    encoder = pieces.Encoder(pieces.vocabulary(piece_model()))
+    tracemalloc.start()
+    for part in slices(batch, "text", pieces.SLICE_BYTES):
+        encoder.encode(part.column("text"))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 2_000_000 and most < 150 << 20
