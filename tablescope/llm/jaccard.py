@@ -1,21 +1,20 @@
-"""N-gram Jaccard self-join by universe partitioning with one-deletion neighbourhoods.
+"""N-gram Jaccard self-join by prefixes of the rarest shingles.
 
 A text's set are the hashes of its distinct shingles (A-Z lower-cased words; a text of fewer words, but not none, is one shingle).
 Two sets link when 100 * intersection >= percent * union. Equal sets collapse to one node before anything is compared.
 
-Sizes fall into bands so that linked sets are in the same or the next band. A band has a fixed number of segments; hashing
-sends every shingle to one of them. Sets that differ in at most H shingles, and a vector of budgets v over the segments with
-sum(v + 1) = H + 1, must have a segment that differs in at most v places. v = -1 skips a segment, v = 0 asks for an equal
-one, v = 1 asks for equality up to one shingle: the segment, its one-deletion variants and those of the other side. Every set
-is indexed by all segments of its band (and one-deletion variants of a few of them), and probes its own band and the
-one below, in which smaller partners are. Where to spend the budget is decided by cost: a count sketch of fixed size over all
-indexed segments of the corpus says how crowded each one is. Probes skip crowded segments (empty ones are the usual
-case) and buy one-deletion neighbourhoods where that is cheaper.
+All sets are ordered alike: by how often a shingle's cell of a count sketch of fixed size occurs in the corpus, rare ones first.
+The first shingle that two sets share comes early in both: sets of n >= m shingles that link share at least
+percent * (n + m) / (100 + percent) of them, so it is no later than so many before the end. The smaller set is found by its first
+n - ceil(2 * percent * n / (100 + percent)) + 1 shingles (its short prefix), the larger one looks for it with a longer prefix.
+Sizes fall into bands so that linked sets are in the same or the next band. A signature is a shingle and a band; every set stands
+with the prefix of its own band and looks for smaller partners in the one below. The order decides the cost only: any
+one order that all sets share loses no link, whatever the sketch holds.
 
 Rows that share a signature form a bucket. Each bucket is streamed in sorted order and every member is paired with its first
-prober only, so pairs grow with the rows; crowded buckets are salted and their first probers paired again. Histograms of
-the sets rule out most pairs that can't link (their difference is a lower bound); the others are verified on the whole sets, unless their sets are in one component by then. Where a bucket still spans several components, further probers (twice as many in each round) are
-paired with the members of other components, until every prober of such a bucket has met all others: no link is lost.
+short prefix only, so pairs grow with the rows; crowded buckets are salted and their first short prefixes paired again. Histograms of
+the sets rule out most pairs that can't link (their difference is a lower bound); the others are verified on the whole sets, unless their sets are in one component by then. Where a bucket still spans several components, further members are
+paired with those of other components: twice as many in each round, or all as soon as no more pairs are left than rows, until every short prefix of such a bucket has met all others: no link is lost.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows and equal texts share a component; a null
 id is left out of a component's smallest id unless no other is there. Empty tables give empty results, further columns are dropped.
@@ -40,8 +39,8 @@ from tablescope.plans.scratch import write_scratch
 CELLS, CROWDED = 1 << 17, 100_000
 #: Longs of the filter over nodes that have candidates.
 FILTER_WORDS = 1 << 17
-#: Of so many segments one has its one-deletion variants indexed.
-RESERVE = 32
+#: A round takes all pairs that are left if these are no more for each row of the open buckets, or no more in all.
+ROW_PAIRS, ROUND_PAIRS = 1, 100_000
 #: Signatures that a task hands on at once, and bytes of sets that it compares at once.
 HANDED, COMPARED = 100_000, 2 << 20
 #: Text that is cut into sets at once.
@@ -50,9 +49,9 @@ PART_BYTES = 1 << 20
 PARTS, ONE_PART = 4, 20_000
 
 ELEMENT = np.uint64((1 << 48) - 1)
-#: A member of a bucket is a node and its part: prober and indexed (no bit), prober only, indexed only. Probers sort first.
-PROBE_ONLY, INDEX_ONLY = 1 << 61, 1 << 62
-NODE = PROBE_ONLY - 1
+#: A member of a bucket is a node and its part: within its short prefix (no bit), or beyond it. The former sort first.
+BEYOND = 1 << 62
+NODE = (1 << 61) - 1
 
 
 def allowed(total: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -95,108 +94,53 @@ class Sets:
         return whole.take(pa.array(which)).cast(pa.binary())
 
 
-class Segments:
-    """The segments of some sets in one band each: flat, one entry per segment."""
-
-    def __init__(self, sets: Sets, rows: np.ndarray, bands: np.ndarray, starts: np.ndarray, percent: int):
-        """`rows`: the rows to cut up, in ascending order; `bands`: the band of each."""
-        self.row = rows
-        top = starts[bands + 1] - 1
-        self.count = allowed(top + 100 * top // percent, percent) + 1
-        base = np.cumsum(self.count) - self.count
-        chosen = np.full(len(sets.sizes), -1, np.int64)
-        chosen[rows] = np.arange(len(rows))
-        of = chosen[sets.rows]
-        inside = of >= 0
-        self.element, of = sets.elements[inside], of[inside]
-        place = mixed(self.element + (bands[of].astype(np.uint64) << np.uint64(48)))
-        self.of_element = base[of] + ((place >> np.uint64(16)) % self.count[of].astype(np.uint64)).astype(np.int64)
-        n = int(self.count.sum())
-        self.entry = np.repeat(np.arange(len(rows)), self.count)
-        self.number = np.arange(n) - np.repeat(base, self.count)
-        self.size = np.bincount(self.of_element, minlength=n)
-        self.value = mixed(self.element)
-        self.sum = np.zeros(n, np.uint64)
-        np.add.at(self.sum, self.of_element, self.value)
-        self.place = mixed((np.repeat(bands, self.count).astype(np.uint64) << np.uint64(32)) | (self.number.astype(np.uint64) << np.uint64(1)))
-        self.reserve = self.number <= np.repeat(self.count // RESERVE, self.count)
-
-    def whole(self, which=slice(None)) -> np.ndarray:
-        """Signatures of whole segments."""
-        return mixed(self.sum[which] ^ self.place[which])
-
-    def shortened(self, elements: np.ndarray) -> np.ndarray:
-        """Signatures of segments less one element each, as if these were whole segments."""
-        at = self.of_element[elements]
-        return mixed((self.sum[at] - self.value[elements]) ^ self.place[at])
-
-    def lacking(self, signatures: np.ndarray) -> np.ndarray:
-        """The same signature in the index of one-deletion variants."""
-        return mixed(signatures + np.uint64(1))
-
-    def allotted(self, need: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Segments with v >= 0 and those with v = 1, such that each set spends `need` units at the least cost."""
-        n = len(self.number)
-        spare = np.flatnonzero(self.reserve)
-        element = np.flatnonzero(self.reserve[self.of_element])
-        more = np.bincount(self.of_element[element], weights=cost(self.shortened(element)) + 1.0, minlength=n)
-        first = cost(self.whole()) + 1.0
-        second = np.maximum(first[spare], more[spare] + first[spare])
-        entry = np.concatenate([self.entry, self.entry[spare]])
-        order = np.lexsort((np.concatenate([first, second]), entry))
-        begin = np.searchsorted(entry[order], np.arange(len(self.row)))
-        rank = np.arange(len(order)) - begin[entry[order]]
-        taken = order[rank < need[entry[order]]]
-        equal, near = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-        equal[taken[taken < n]] = True
-        near[spare[taken[taken >= n] - n]] = True
-        return equal, near
-
-
-def signatures(sets: Sets, nodes: np.ndarray, rows: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures and members (node, probes, indexed) of the sets in `rows`."""
-    found, members = [], []
-    starts = band_starts(int(sets.sizes.max(initial=1)), percent)
+def cell_of(elements: np.ndarray) -> np.ndarray:
+    """The cell of the count sketch of each element."""
+    return (elements & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def places(sets: Sets, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elements of the sets in `rows` (ascending), rare ones first, with the index into `rows` and the place in the set of each."""
+    chosen = np.full(len(sets.sizes), -1, np.int64)
+    chosen[rows] = np.arange(len(rows))
+    of = chosen[sets.rows]
+    elements, of = sets.elements[of >= 0], of[of >= 0]
+    often = np.minimum(counts[cell_of(elements)], (1 << 24) - 1).astype(np.uint64)
+    # Elements ascend in each row, so a stable sort leaves equal keys in one order in all sets.
+    key = (of.astype(np.uint64) << np.uint64(48)) | (often << np.uint64(24)) | (mixed(elements) & np.uint64((1 << 24) - 1))
+    order = np.argsort(key, kind="stable")
+    sizes = sets.sizes[rows]
+    return elements[order], of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def prefix(sizes: np.ndarray, least: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingle that sets of these sizes share with linked ones of `least` shingles or more is among so many."""
+    return sizes - -(-percent * (sizes + least) // (100 + percent)) + 1
+
+
+def signatures(sets: Sets, rows: np.ndarray, nodes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, members (node and part) and elements of the prefixes of the sets in `rows`."""
     rows = rows[sets.sizes[rows] > 0]
     if not len(rows):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def cost(signature: np.ndarray) -> np.ndarray:
-        return counts[(signature & np.uint64(CELLS - 1)).astype(np.int64)]
-
-    for below in (0, 1):
-        sizes = sets.sizes[rows]
-        bands = np.searchsorted(starts, sizes, side="right") - 1 - below
-        fits = bands >= 0
-        if below:
-            fits &= 100 * (starts[np.maximum(bands, 0) + 1] - 1) >= percent * sizes
-        own, bands, sizes = rows[fits], bands[fits], sizes[fits]
-        if not len(own):
-            continue
-        cut = Segments(sets, own, bands, starts, percent)
-        differing = allowed(np.minimum(starts[bands + 1] - 1, sizes) + sizes, percent)
-        equal, near = cut.allotted(np.where(differing > 0, differing + 1, 0), cost)
-        node = nodes[own][cut.entry]
-        whole = cut.whole()
-        if below:
-            found.append(whole[equal])
-            members.append(node[equal] | PROBE_ONLY)
-        else:
-            found.append(whole)
-            members.append(node | np.where(equal, 0, INDEX_ONLY))
-            variants = np.flatnonzero(cut.reserve[cut.of_element])
-            found.append(cut.lacking(cut.shortened(variants)))
-            members.append(node[cut.of_element[variants]] | INDEX_ONLY)
-        found.append(cut.lacking(whole[near]))
-        members.append(node[near] | PROBE_ONLY)
-        variants = np.flatnonzero(near[cut.of_element])
-        found.append(cut.shortened(variants))
-        members.append(node[cut.of_element[variants]] | PROBE_ONLY)
-    return np.concatenate(found), np.concatenate(members)
-
-
-def _first_pass(width: int, percent: int, names: list[str]):
-    """Size and names of each row's set; at a task's end the cells of its indexed segments."""
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    starts = band_starts(int(sets.sizes[rows].max()), percent)
+    sizes, node = sets.sizes[rows], nodes[rows]
+    band = np.searchsorted(starts, sizes, side="right") - 1
+    element, of, place = places(sets, rows, counts)
+    early = place < prefix(sizes, sizes, percent)[of]
+    own = place < prefix(sizes, starts[band], percent)[of]
+    # The smallest partner has percent of the size; no smaller band holds one.
+    least = -(-percent * sizes // 100)
+    below = (place < prefix(sizes, least, percent)[of]) & (least < starts[band])[of]
+    found, members = [], []
+    for which, beneath in ((own, 0), (below, 1)):
+        found.append(mixed(element[which] + ((band[of[which]] - beneath).astype(np.uint64) << np.uint64(48))))
+        members.append(node[of[which]] | np.where(early[which] & (beneath == 0), 0, BEYOND))
+    return np.concatenate(found), np.concatenate(members), np.concatenate([element[own], element[below]])
+
+
+def _first_pass(width: int, names: list[str]):
+    """Size and names of each row's set; at a task's end the cells of its shingles."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         cells, kind = np.zeros(CELLS, np.int64), None
@@ -205,11 +149,7 @@ def _first_pass(width: int, percent: int, names: list[str]):
             for part in slices(batch, "text", PART_BYTES):
                 sets = Sets(part.column("text"), width)
                 node, other = sets.names()
-                rows = np.flatnonzero(sets.sizes)
-                if len(rows):
-                    starts = band_starts(int(sets.sizes.max()), percent)
-                    cut = Segments(sets, rows, np.searchsorted(starts, sets.sizes[rows], side="right") - 1, starts, percent)
-                    cells += np.bincount((cut.whole() & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                cells += np.bincount(cell_of(sets.elements), minlength=CELLS)
                 blank = pa.nulls(part.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sets.sizes, pa.int64()), pa.array(node), pa.array(other), blank, blank], names=names)
         used = np.flatnonzero(cells)
@@ -225,13 +165,15 @@ def _signature_pass(width: int, percent: int, shared, crowded: int):
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         counts = shared.value
+        # What a cell holds beyond the usual is taken for one shingle.
+        usual = int(np.median(counts))
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):
                 sets = Sets(part.column("text"), width)
                 nodes, _ = sets.names()
                 rows = np.sort(np.unique(nodes, return_index=True)[1])
-                found, members = signatures(sets, nodes, rows, counts, percent)
-                crowd = counts[(found & np.uint64(CELLS - 1)).astype(np.int64)]
+                found, members, elements = signatures(sets, rows, nodes, counts, percent)
+                crowd = counts[cell_of(elements)] - usual
                 hot = crowd > crowded
                 bucket = found.copy()
                 if hot.any():
@@ -248,10 +190,10 @@ def _signature_pass(width: int, percent: int, shared, crowded: int):
 
 
 def _stars(batches) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (bucket, sig, member) to (sig, pivot, member, salted): each other member with its bucket's first prober.
+    """Sorted rows (bucket, sig, member) to (sig, pivot, member, salted): each other member with its bucket's first one.
 
     Rows of one bucket may go on over many batches; only its first and its last member are remembered. A salted bucket has its
-    first member for a pivot whether that probes or not, and also gives it with itself.
+    first member for a pivot whatever its part is, and also gives it with itself.
     """
     bucket = pivot = last = None
     for batch in batches:
@@ -269,8 +211,8 @@ def _stars(batches) -> Iterator[pa.RecordBatch]:
         pivots = np.where(at >= 0, members[np.maximum(at, 0)], 0 if pivot is None else pivot)
         bucket, pivot, last = buckets[-1], pivots[-1], members[-1]
         salted = np.asarray(batch.column("sig").is_valid())
-        probes = salted | (pivots < INDEX_ONLY)
-        keep = np.flatnonzero(probes & ((~again & ((pivots & NODE) != (members & NODE))) | (salted & fresh)))
+        early = salted | (pivots < BEYOND)
+        keep = np.flatnonzero(early & ((~again & ((pivots & NODE) != (members & NODE))) | (salted & fresh)))
         if len(keep):
             sig = np.where(salted, batch.column("sig").fill_null(0).to_numpy(zero_copy_only=False), buckets)
             yield pa.RecordBatch.from_arrays(
@@ -397,11 +339,6 @@ def _node(member: str):
     return F.col(member).bitwiseAND(F.lit(NODE))
 
 
-def _meet(pivot: str = "pivot", member: str = "member"):
-    """Whether a pivot and a later member of its bucket are to be compared: the pivot probes, and one of the two is indexed."""
-    return (F.col(pivot) < PROBE_ONLY) | ((F.col(pivot) < INDEX_ONLY) & (F.col(member) >= INDEX_ONLY))
-
-
 def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that a row reaches by links) of every row."""
     spark = df.sparkSession
@@ -409,7 +346,7 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
     docs = df.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)["doc"]
     names = ["doc", "n", "node", "other", "cell", "rows"]
-    first = write_scratch(docs.mapInArrow(tidy(_first_pass(width, percent, names)), f"doc {kind}, n long, node long, other long, cell long, rows long"), "sets")
+    first = write_scratch(docs.mapInArrow(tidy(_first_pass(width, names)), f"doc {kind}, n long, node long, other long, cell long, rows long"), "sets")
     heads, counts = first.where("n IS NOT NULL"), np.zeros(CELLS, np.int64)
     cells = first.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("rows").alias("rows")).toArrow()  # CELLS rows at most
     counts[cells.column("cell").to_numpy()] = cells.column("rows").to_numpy()
@@ -420,7 +357,7 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
     del rows, sorted_rows
     release(spark)
     whole, split_up = stars.where("NOT salted"), stars.where("salted")
-    tops = split_up.groupBy("sig").agg(F.min("pivot").alias("top")).where(F.col("top") < INDEX_ONLY)
+    tops = split_up.groupBy("sig").agg(F.min("pivot").alias("top")).where(F.col("top") < BEYOND)
     split_up = split_up.join(tops, "sig")
     over = split_up.select("sig", F.col("top").alias("pivot"), F.col("pivot").alias("member"), "salted").distinct()
     stars = whole.unionAll(split_up.drop("top")).unionAll(over).where(_node("pivot") != _node("member"))
@@ -462,7 +399,7 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
         return rows.join(own, _node(member) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", _node(member))).drop("_node", "_component")
 
     # One pair for each member first, which joins most groups of near copies; then the pairs that are still apart.
-    meeting = stars.where(_meet()).select(_node("pivot").alias("pivot"), _node("member").alias("member")).distinct()
+    meeting = stars.where(F.col("pivot") < BEYOND).select(_node("pivot").alias("pivot"), _node("member").alias("member")).distinct()
     nearest = write_scratch(meeting.groupBy("member").agg(F.min("pivot").alias("pivot")), "nearest")
     edges = verified(nearest)
     found = components(edges)
@@ -475,14 +412,26 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4,
     apart = of_node(of_node(stars, "pivot", "ours"), "member", "theirs").where("ours <> theirs").select("sig").distinct()
     open_ = stars.join(apart, "sig", "left_semi")
     members = open_.select("sig", "salted", F.explode(F.array("pivot", "member")).alias("member")).groupBy("sig", "member").agg(F.max("salted").alias("salted"))
+    # Texts with a passage in common meet in all its shingles: of buckets with the same members one is enough.
+    alike = F.struct(F.count("*"), F.bit_xor(F.xxhash64("member")), F.bit_xor(F.xxhash64("member", F.lit(1))), F.max("salted")).alias("alike")
+    kept = members.groupBy("sig").agg(alike).groupBy("alike").agg(F.min("sig").alias("sig")).select("sig")
+    members = members.join(kept, "sig", "left_semi")
     ranked = write_scratch(members.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("member"))), "open")
-    last = ranked.where(F.col("member") < INDEX_ONLY).agg(F.max("rank").alias("rank")).first().rank or 0
+    # The first of a salted bucket has met the first ones of its parts only, so it has its turn in the first round.
+    turn = F.col("rank") + F.col("salted").cast("int")
+    rows, last = ranked.count(), ranked.where(F.col("member") < BEYOND).agg(F.max(turn).alias("turn")).first().turn or 0
     low, high = 1, 2
     while low < last:
         now = of_node(ranked, "member", "component")
-        pivots = now.where((F.col("member") < INDEX_ONLY) & (F.col("rank") <= high) & ((F.col("rank") > low) | (F.col("salted") & (F.lit(low) == 1))))
+        own = now.groupBy("sig", "component").agg(F.count("*").cast("double").alias("n")).groupBy("sig")
+        left = own.agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs")).agg(F.sum("pairs") / 2).first()[0]
+        if not left:
+            break
+        if left <= max(ROW_PAIRS * rows, ROUND_PAIRS):
+            high = last
+        pivots = now.where((F.col("member") < BEYOND) & (F.col("rank") <= high) & ((F.col("rank") > low) | (F.col("salted") & (F.lit(low) == 1))))
         pivots = pivots.select("sig", F.col("member").alias("pivot"), F.col("rank").alias("place"), F.col("component").alias("ours"))
-        pairs = pivots.join(now, "sig").where((F.col("rank") > F.col("place")) & (F.col("ours") != F.col("component")) & _meet())
+        pairs = pivots.join(now, "sig").where((F.col("rank") > F.col("place")) & (F.col("ours") != F.col("component")))
         more = verified(pairs.where(_node("pivot") != _node("member")))
         if not more.isEmpty():
             edges = edges.unionAll(more)

@@ -101,3 +101,43 @@ def test_histograms_never_overstate_a_difference():
         bound = jaccard.least_difference(jaccard.histogram(a), jaccard.histogram(b))
         assert bound <= len(np.setxor1d(a, b))
     assert jaccard.least_difference(jaccard.histogram(a), jaccard.histogram(a)) == 0
+
+
+def test_any_order_of_shingles_finds_linked_sets_in_their_prefixes():
+    r = np.random.default_rng(7)
+    for percent in (60, 80, 85, 99):
+        for counts in (np.zeros(jaccard.CELLS, np.int64), r.integers(0, 1 << 26, jaccard.CELLS)):
+            for _ in range(60):
+                common = np.unique(r.integers(0, 1 << 48, r.integers(1, 400))).astype(np.uint64)
+                more = [np.unique(r.integers(0, 1 << 48, r.integers(0, 2 + len(common) * (100 - percent) // percent))).astype(np.uint64) for _ in range(2)]
+                both = [np.union1d(common, x) for x in more]
+                if 100 * len(np.intersect1d(*both)) < percent * len(np.union1d(*both)):
+                    continue
+                sets = jaccard.Sets.__new__(jaccard.Sets)
+                sets.elements, sets.sizes = np.concatenate(both), np.array([len(x) for x in both])
+                sets.rows, sets.offsets = np.repeat([0, 1], sets.sizes), np.concatenate([[0], np.cumsum(sets.sizes)])
+                found, members, _ = jaccard.signatures(sets, np.array([0, 1]), np.array([1, 2]), counts, percent)
+                node, early = members & jaccard.NODE, members < jaccard.BEYOND
+                assert any(np.isin(found[(node == a) & early], found[node == 3 - a]).any() for a in (1, 2))
+
+
+def test_signatures_are_few_and_rare_ones_come_first():
+    common = [f"c{i}" for i in range(300)]
+    texts = [" ".join(common + [f"t{k}x{i}" for i in range(100)]) for k in range(50)]
+    sets = jaccard.Sets(jaccard.pa.array(texts), 4)
+    counts = np.bincount(jaccard.cell_of(sets.elements), minlength=jaccard.CELLS)
+    found, members, _ = jaccard.signatures(sets, np.arange(50), np.arange(50), counts, 85)
+    assert len(found) < 0.35 * len(sets.elements)
+    # Texts with three quarters of their shingles in common never meet.
+    owners = {}
+    for sig, member in zip(found.tolist(), members.tolist()):
+        owners.setdefault(sig, set()).add(member & jaccard.NODE)
+    assert max(map(len, owners.values())) == 1
+
+
+def test_crowded_bucket_with_one_short_prefix(spark):
+    # The smaller set alone stands in its band; larger ones look for it and are dealt over many parts.
+    base = [f"b{i}" for i in range(100)]
+    rows = [(0, " ".join(base))] + [(i, " ".join([*base, *(f"x{i}y{k}" for k in range(14 + i % 3))])) for i in range(1, 40)]
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), crowded=2).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows)
