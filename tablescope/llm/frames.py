@@ -4,22 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of frames that nobody refers to any more, before the next large shuffle.
-
-    Python hands its dropped frames over to the JVM from a thread of its own, hence the short waits and the second round.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.4)
-        spark.sparkContext._jvm.System.gc()
+from tablescope.plans.scratch import release  # noqa: F401 (memory and disk belong together)
 
 
 def smallest_hashes(df: DataFrame, keys: list[str], rows: int) -> DataFrame:

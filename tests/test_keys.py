@@ -49,3 +49,30 @@ def test_only_columns_are_estimated_and_many_tasks_compare(spark, monkeypatch):
     monkeypatch.setattr(keys, "ROWS_PER_TASK", 500)
     assert sorted(tuple(k.columns) for k in unique_keys(df).collect()) == plain(names, rows, 3)
     assert all(len(g) == 1 for g in estimated)
+
+
+def test_whole_checks_compare_few_rows_in_full(spark, monkeypatch):
+    # Only k and g, k and h and k and g and h agree nowhere; 3 pairs of rows agree in g and h, and 500 rows in h.
+    rows = [(k, k % 3000, 0 if k < 500 else k // 2 if k < 5994 else 2993) for k in range(6000)]
+    rows[10:13] = [(10 + i, *rows[3000 + i][1:]) for i in range(3)]
+    df = spark.createDataFrame(rows, "k int, g int, h int").repartition(5)
+    monkeypatch.setattr(keys, "ROWS_PER_TASK", 700)
+    groups = [("k", "g"), ("g", "h"), ("k", "h")]
+    known = keys._suspects(df, groups, 6000)
+    assert 3 <= known.sum() <= 10
+    assert keys._repeating(df, groups, None, 6000) == {("g", "h")}
+    assert keys._repeating(df, [("k",), ("h",)], None, 6000) == {("h",)} and keys._repeating(df, [], None, 6000) == set()
+
+
+def test_few_groups_are_on_disk_at_once(spark, monkeypatch):
+    names = ["a", "b", "c", "d"]
+    rows = [(k, 3 * k, -k, k % 5) for k in range(300)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int")
+    jobs = []
+    monkeypatch.setattr(keys, "LARGE", 1)
+    monkeypatch.setattr(keys, "release", lambda spark: jobs.append("done"))
+    tagged, hashes = [], keys._hashes
+    monkeypatch.setattr(keys, "_hashes", lambda df, names, seconds=True: (seconds or tagged.append(len(names))) and None or hashes(df, names, seconds))
+    assert sorted(tuple(k.columns) for k in unique_keys(df, 2).collect()) == plain(names, rows, 2)
+    # Three keys of one column are tagged two at a time, and every job is given back.
+    assert tagged == [2, 1] and len(jobs) >= 3
